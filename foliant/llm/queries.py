@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, secrets, urls, warc
+from . import common, decontaminate, jaccard, secrets, urls, warc
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +40,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_secret_scan, op7_warc, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op6_secret_scan, op7_warc, op8_decontamination)}
 ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}

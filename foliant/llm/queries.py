@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, secrets, toxicity, urls, warc
+from . import common, decontaminate, fingerprint, jaccard, secrets, toxicity, urls, warc
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +40,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(common.table(spark, sf_dir, "documents"), common.fragments(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op6_secret_scan, op7_warc, op8_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
 ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprint, jaccard, secrets, toxicity, urls, warc
+from . import common, decontaminate, fingerprint, jaccard, packing, secrets, toxicity, urls, warc
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(common.table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def _spans(column, kinds) -> F.Column:
     """kind:start:end, comma-joined, of the spans of the given kinds."""
     own = F.filter(column, lambda x: x["kind"].isin(*kinds))
@@ -50,5 +57,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
 ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprint, jaccard, packing, secrets, toxicity, urls, warc
+import corpus_pipeline
+
+from . import common, decontaminate, fingerprint, html, jaccard, packing, secrets, toxicity, urls, warc
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(common.table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(common.table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
 ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}

@@ -91,6 +91,17 @@ def _arrow(ids, n_words, n_hit, items, ranges, spans) -> pa.RecordBatch:
     return batch(schema, [ids, n_words, n_hit, items, dicts(ranges), dicts(spans)])
 
 
+def _items(bench: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
+
+
+def _held(items: DataFrame, most: int):
+    """The items on every machine, unless they have more characters than that."""
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > most:
+        return None
+    return items.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.sort("item", "text").collect()])
+
+
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Per document: its words, the words inside an occurrence of any item's window, those items and the places.
 
@@ -98,10 +109,10 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     their ids alone (equal ids count once). Rows with equal ids stay separate rows.
     """
     docs = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
-    items = bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
-    if (items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] or 0) > automaton_chars:
+    items = _items(bench, item_col, item_text)
+    held = _held(items, automaton_chars)
+    if held is None:
         return _by_shuffle(docs, items, window)
-    held = docs.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.sort("item", "text").collect()])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(held.value, window)
@@ -164,3 +175,24 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     """At least a twentieth of the words are hit."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+
+
+def clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns; null and empty texts are clean."""
+    held = _held(_items(bench, item_col, item_text), automaton_chars)
+    if held is None:
+        found = contamination(docs, bench, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text, window=window, automaton_chars=automaton_chars)
+        return docs.join(found.where(contaminated()).select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+
+    @F.arrow_udf("boolean")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = Automaton(held.value, window)
+        for own in texts:
+            out = []
+            for text in as_bytes(own):
+                of = words(text)
+                hit = sum(b - a for a, b in automaton.hits(of)[0])
+                out.append(hit == 0 or 20 * hit < len(of))
+            yield pa.array(out, pa.bool_())
+
+    return docs.where(judge(F.col(text_col)))

@@ -14,7 +14,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import batch, spread, text_of
 
@@ -171,3 +172,14 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield batch(schema, [b.column(0), rows] + [[redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]] * with_text)
 
     return spread(text_of(docs, id_col, text_col)).mapInArrow(judge, "id long, spans array<struct<start:int,end:int,kind:string>>" + ", redacted string" * with_text)
+
+
+def redacted_column(text: Column) -> Column:
+    """A column of texts with every span replaced; nulls stay."""
+
+    @F.arrow_udf("string")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for own in texts:
+            yield pa.array([t and redact(t, scan(t)) for t in own.to_pylist()], pa.string())
+
+    return judge(text)

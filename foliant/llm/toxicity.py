@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, saved, spread, text_of
@@ -203,3 +203,15 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield batch(schema, [b.column(0), [held_out(k) for k in b.column(0).to_pylist()], got, [int(x >= 0.5) for x in got]])
 
     return spread(text_of(docs, id_col, text_col)).mapInArrow(judge, "id long, held_out boolean, score double, predicted int")
+
+
+def score_column(model: Model, text: Column) -> Column:
+    """The score of a column of texts, for filters that keep a table's other columns."""
+
+    @F.arrow_udf("double")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = model.compiled()
+        for own in texts:
+            yield pa.array([scorer.score(scorer.features(t or "")) for t in own.to_pylist()], pa.float64())
+
+    return judge(text)

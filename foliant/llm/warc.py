@@ -99,8 +99,12 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
     digest = F.when(long, F.sha2(F.col("html").cast("binary"), 256))
     repeated = rows.where(long).groupBy(digest.alias("digest")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     shard = F.coalesce(_bucket([b[0] for b in bounds], [b[1] for b in bounds]), F.lit(0)) if bounds else F.lit(0)
-    placed = rows.withColumn("digest", digest).join(repeated, "digest", "left").select(shard.alias("shard"), "id", "url", "html", "first_id")
-    placed = placed.repartition(n, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html"))
+    # ids alone meet the repeated payloads; what they refer to then travels beside the pages, which are moved once
+    marks = rows.where(long).select("id", digest.alias("digest")).join(repeated, "digest")
+    nothing = F.lit(None).cast("string")
+    marks = marks.select(shard.alias("shard"), "id", nothing.alias("url"), nothing.alias("html"), "digest", "first_id").distinct()
+    pages_ = rows.select(shard.alias("shard"), "id", "url", "html", nothing.alias("digest"), F.lit(None).cast("long").alias("first_id"))
+    placed = marks.union(pages_).repartition(n, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -109,6 +113,7 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
         attempt = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         out, files = None, []
         last: tuple | None = None
+        firsts: dict[str, int | None] = {}
         responded: set[str] = set()
 
         def close() -> None:
@@ -121,15 +126,15 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
                 out = None
 
         for b in batches:
-            for shard, k, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                payload = html.encode()
-                if k != last:
-                    last, responded = k, set()
-                refers = None
-                if first is not None:
-                    key = hashlib.sha256(payload).hexdigest()
-                    if k != first or key in responded:
-                        refers = first
+            for shard, k, url, html, mark, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, k) != last:
+                    last, firsts, responded = (shard, k), {}, set()
+                if mark is not None:
+                    firsts[mark] = first
+                    continue
+                payload, refers = html.encode(), None
+                if firsts and (key := hashlib.sha256(payload).hexdigest()) in firsts:
+                    refers = firsts[key] if k != firsts[key] or key in responded else None
                     responded.add(key)
                 if out and (out["shard"] != shard or out["bytes"] >= roll_bytes):
                     part = out["part"] + 1 if out["shard"] == shard else 0
@@ -149,7 +154,8 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
         close()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes", "sha256"), x, strict=True)) for x in files], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    files = [r.asDict() for r in placed.mapInArrow(write, "file string, records long, bytes long, sha256 string").sort("file").collect()]  # a row for each file, not for each record
+    files = [r.asDict() for r in placed.mapInArrow(write, "file string, records long, bytes long, sha256 string").collect()]  # a row for each file, not for each record
+    files.sort(key=lambda x: x["file"])
     _put(spark, f"{to}/MANIFEST.json", json.dumps({"date": date, "files": files}, indent=1))
     return files
 

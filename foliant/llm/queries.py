@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import common, decontaminate, fingerprint, html, jaccard, packing, secrets, toxicity, urls, warc
+from . import common, decontaminate, fingerprint, html, jaccard, packing, secrets, suffix_dedup, toxicity, urls, warc
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(common.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(common.table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
@@ -63,5 +69,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_jaccard_join, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
 ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}

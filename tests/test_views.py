@@ -83,7 +83,7 @@ def test_split_prunes_blank_columns(spark):
     rows = spark.createDataFrame([(1, 0, "x", "1", ""), (2, 1, "y", "2", "z"), (3, 2, None, "3", "")], "page int, ord int, t string, a string, b string")
     view = View(split="t", aggregates=(Aggregate("a", "first_value"), Aggregate("b", "first_value")))
     out = splits(rows, view, ["x", "y", "未命名"])
-    assert out["x"].columns == ["split_key", "a"] and out["y"].columns == ["split_key", "a", "b"]
+    assert out["x"].columns == ["a"] and out["y"].columns == ["a", "b"]
     assert out["未命名"].first().a == "3"
 
 

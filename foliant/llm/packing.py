@@ -11,6 +11,9 @@ up a number for each task and bin. No row is moved except to add up lengths with
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -24,30 +27,147 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, saved, spread, text_of
 
 WINDOW, BIN, END_ID, DEPTH = 4096, 16, 2, 3
-CACHED_WORDS, AT_ONCE = 400_000, 4_000_000
+CACHED_WORDS, AT_ONCE = 300_000, 4_000_000
+
+
+#: Words of letters whose composed form and lower case are plain: ASCII's and Latin-1's. A stop or comma may follow.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word merges its leftmost pair of the lowest rank."""
+
+    NO = np.int32(1 << 30)
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; others follow from 256 up
+        char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+        self.first, self.last = (np.array([vocab[char[b] + e] for b in range(256)], np.int64) for e in ("", end))
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        keys = np.array([vocab[x] << 17 | vocab[y] for x, y in pairs], np.int64)
+        merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks, self.merged = keys[order], order.astype(np.int32), merged
+        bits = 22  # a table by hash, with the sorted keys for the few that collide
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(self.keys)
+        self.table_key, self.table_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NO, np.int32)
+        self.table_key[slot], self.table_rank[slot] = self.keys, self.ranks
+        self.crowded = np.zeros(1 << bits, bool)
+        self.crowded[slot[self.table_key[slot] != self.keys]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 17 | right
+        slot = self._slot(keys)
+        out = np.where(self.table_key[slot] == keys, self.table_rank[slot], self.NO)
+        if (odd := np.flatnonzero(self.crowded[slot])).size:
+            at = np.minimum(np.searchsorted(self.keys, keys[odd]), len(self.keys) - 1)
+            out[odd] = np.where(self.keys[at] == keys[odd], self.ranks[at], self.NO)
+        return out
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids in two bytes each, of words of letters."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8).copy()
+        flat[(flat >= 0x41) & (flat <= 0x5A)] += 0x20
+        second = np.zeros(len(flat), bool)
+        second[1:] = flat[:-1] == 0xC3
+        flat[second & (flat <= 0x9E)] += 0x20
+        ends = np.cumsum(sizes)
+        ids = self.first[flat]
+        ids[ends - 1] = self.last[flat[ends - 1]]
+        out: list[bytes] = [b""] * len(words)
+        which = np.arange(len(words))
+        # rank of each symbol with the next one; none at a word's end
+        rank = np.full(len(ids), self.NO, np.int32)
+        rank[:-1] = self._rank(ids[:-1], ids[1:])
+        rank[ends - 1] = self.NO
+        starts = ends - sizes
+        while len(which):
+            low = np.minimum.reduceat(rank, starts)
+            done = low == self.NO
+            sizes = np.diff(starts, append=len(ids))
+            if done.any():
+                blob = ids.astype(np.uint16).tobytes()
+                for w, a, n in zip(which[done].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[w] = blob[2 * a : 2 * (a + n)]
+                keep = np.repeat(~done, sizes)
+                ids, rank, which, sizes, low = ids[keep], rank[keep], which[~done], sizes[~done], low[~done]
+                starts = np.cumsum(sizes) - sizes
+                if not len(which):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(low, sizes))
+            word = np.repeat(np.arange(len(which)), sizes)[hit]
+            at = hit[np.concatenate(([True], word[1:] != word[:-1]))]  # one for each word: the leftmost
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            ids, rank = ids[keep], rank[keep]
+            sizes = sizes - 1
+            starts = np.cumsum(sizes) - sizes
+            ends = starts + sizes - 1
+            inner = moved < ends
+            rank[moved] = self.NO
+            rank[moved[inner]] = self._rank(ids[moved[inner]], ids[moved[inner] + 1])
+            before = moved > starts
+            rank[moved[before] - 1] = self._rank(ids[moved[before] - 1], ids[moved[before]])
+        return out
 
 
 class Tokens:
-    """Ids of texts, word by word: the tokenizer's pieces never cross ASCII white space, so equal words have equal ids."""
+    """Ids of texts, word by word: the tokenizer's pieces never cross ASCII white space, so equal words have equal ids.
+
+    Words of plain letters are merged by the vocabulary's own merges, many at once; the tokenizer does all others.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.signs = {s: self._whole([s])[0] for s in (b".", b",")}
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, np.uint16).tobytes() for e in found]
 
     def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(words)
-        # a letter and a stop or comma behind it are always pieces of their own
-        ended = [w for w in new if len(w) > 1 and w[-1] in b".," and (0x41 <= w[-2] <= 0x5A or 0x61 <= w[-2] <= 0x7A)]
-        stems = {w[:-1] for w in ended} | {w[-1:] for w in ended}
-        first = [w for w in {*new, *stems}.difference(ended) if w not in self.known]
-        for w, e in zip(first, self.tokenizer.encode_batch([w.decode() for w in first], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        for w in sorted(ended, key=len):
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHED_WORDS:  # what was learnt before stays for one generation more
+            self.known, self.older, new = {}, self.known, words
+        older = self.older
+        self.known.update((w, older[w]) for w in new if w in older)
+        new = new.difference(self.known)
+        plain, stems, signs, others = [], [], [], []
+        for w in new:
+            m = _LETTERS.match(w)
+            sign = w[m.end() :] if m else w
+            if not sign:
+                plain.append(w)
+                stems.append(w)
+                signs.append(b"")
+            elif m and sign in self.signs:
+                plain.append(w)
+                stems.append(m.group())
+                signs.append(self.signs[sign])
+            else:
+                others.append(w)
+        for at in range(0, len(plain), 20_000):
+            part = slice(at, at + 20_000)
+            for w, ids, sign in zip(plain[part], self.merges(stems[part]), signs[part], strict=True):
+                self.known[w] = ids + sign
+        for at in range(0, len(others), 2_000):
+            part_ = others[at : at + 2_000]
+            self.known.update(zip(part_, self._whole(part_), strict=True))
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids in two bytes each; texts are taken some at a time, so that few words are held."""

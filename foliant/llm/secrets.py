@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import batch, spread, text_of
 
 KINDS = ("assign", "access", "hex", "random")
-FALSE_DISCOVERY, RANDOM_P, MIN_RUN = 0.001, 0.001, 20
+FALSE_DISCOVERY, RANDOM_P, MIN_RUN = 0.02, 0.01, 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")

@@ -66,7 +66,8 @@ def fold(text: str) -> str:
     """Folded words between single blanks, one at either end; a single blank if there are none."""
     if "!" in text or "|" in text:
         text = _INNER.sub("i", text)
-    return f" {' '.join(text.translate(_fold).split())} " if text else " "
+    words = text.translate(_fold).split()
+    return f" {' '.join(words)} " if words else " "
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -114,7 +115,7 @@ class Scorer:
                 masks.append((start, last))
             elif start not in best or w > best[start][1]:
                 best[start] = last + 1, w
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s <= b for a, b in masks)]
+        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s < b for a, b in masks)]
 
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,5 +75,6 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def text_of(df: DataFrame, id_col: str, text_col: str, null_text: str | None = "") -> DataFrame:
     """The two columns an operator reads; other columns, whatever their names, stay out of its way."""
+    ship(df.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (text if null_text is None else F.coalesce(text, F.lit(null_text))).alias("text"))

@@ -7,7 +7,7 @@ in the prefix of the order bring candidate pairs, filtered by sizes and position
 by fragment and summed per pair, exactly.
 
 Pairs within a component that is already known add nothing, so that candidates are met in rounds: first each set with
-the smallest other set under the same token, until a round links nothing, then all pairs still in different components.
+one central set under the same token, for some rounds, then all pairs still in different components.
 Equal sets are one set from the start (64-bit identity, and the size).
 """
 
@@ -27,6 +27,7 @@ from .shingles import shingle_set
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 FLUSH = 1 << 20  # tokens held in memory before rows are handed on
+ROUNDS = 2  # in which sets meet one other set under each token, before all pairs still apart do
 PARTS = 4  # vertical fragments in which a pair's overlap is counted
 _U = np.uint64
 _LOW = _U((1 << 48) - 1)
@@ -41,8 +42,8 @@ def _pack(key: str, keys: np.ndarray, tokens: np.ndarray, owner: np.ndarray, sig
     """A row for each key: the owners there, their numbers of tokens, and the tokens in six bytes each."""
     order = np.argsort(keys, kind="stable")
     keys, tokens, owner = keys[order], tokens[order], owner[order]
-    cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1 if len(keys) else 0)) if len(keys) else np.empty(0, int)
-    ends = [*cuts[1:], len(keys)]
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    ends = [*cuts[1:], len(keys)][: len(cuts)]
     rows: list[list] = [[] for _ in range(5 + (extra is not None))]
     for a, b in zip(cuts.tolist(), map(int, ends), strict=True):
         own = owner[a:b]
@@ -164,38 +165,49 @@ def _possible(na: str, pa_: str, nb: str, pb: str, num: int, den: int) -> F.Colu
 
 
 def set_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets: sig, n, tokens (the shared ones in the global order). Returns node, root of the components of linked sets."""
+    """sets: sig, n, tokens (the shared ones in the global order). Returns node, root of the components of linked sets; None without links."""
     unique = F.col("n") - F.size("tokens")
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * num / den) + 1 - unique).cast("int")
     posted = sets.withColumn("u", unique).select("sig", "n", "u", F.posexplode(F.slice("tokens", F.lit(1), prefix))).select(F.col("col").alias("token"), "sig", "n", (F.col("pos") + F.col("u")).cast("int").alias("at"))
     posted = saved(posted, "prefixes")
-    links = None
-    roots = sets.select(F.col("sig").alias("node"), F.col("sig").alias("root"))
-    while True:
-        own = posted.join(roots, posted.sig == roots.node, "left").select("token", "sig", "n", "at", F.coalesce("root", "sig").alias("root")) if links is not None else posted.withColumn("root", F.col("sig"))
-        lead = own.groupBy("token").agg(F.min(F.struct("n", "sig", "at", "root")).alias("x"), F.countDistinct("root").alias("roots")).where("roots > 1").drop("roots")
-        second = own.join(lead, "token").where("root <> x.root").groupBy("token").agg(F.first("x").alias("x"), F.min(F.struct("n", "sig", "at", "root")).alias("y"))
-        met = own.join(second, "token").withColumn("z", F.when(F.col("root") != F.col("x.root"), F.col("x")).otherwise(F.col("y")))
-        met = met.select(F.col("sig").alias("a"), F.col("n").alias("na"), "at", F.col("z.sig").alias("b"), F.col("z.n").alias("nb"), F.col("z.at").alias("bt")).where(_possible("na", "at", "nb", "bt", num, den))
-        best = met.groupBy("a", "na", "b", "nb").count().groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("count", "b")).alias("z")).select("a", "na", "z.b", "z.nb")
-        found = saved(_linked(best, sets, num, den), "links")
+    member = F.struct("at", "n", "sig", "root")
+    own, links, roots, tested = posted.withColumn("root", F.col("sig")), None, None, None
+    for _ in range(ROUNDS):
+        # under each token the set with the fewest rare tokens before it, and such a set of another component
+        first = own.groupBy("token").agg(F.min(member).alias("x"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").drop("low", "high")
+        both = own.join(first, "token")
+        second = both.where("root <> x.root").groupBy("token").agg(F.min(member).alias("y"))
+        met = both.join(second, "token").withColumn("z", F.when(F.col("root") != F.col("x.root"), F.col("x")).otherwise(F.col("y")))
+        met = met.select("sig", "n", "at", F.col("z.sig").alias("sig2"), F.col("z.n").alias("n2"), F.col("z.at").alias("at2")).where(_possible("n", "at", "n2", "at2", num, den))
+        met = _pairs(met)
+        met = saved(met if tested is None else met.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "met")
+        found = saved(_linked(met, sets, num, den), "links")
+        tested = met if tested is None else tested.union(met)
         if not found.head(1):
             break
-        links = found if links is None else saved(links.union(found), "links")
-        roots = saved(components(links), "roots")
-    # all pairs that no round brought together
-    own = posted.join(roots, posted.sig == roots.node, "left").select("token", "sig", "n", "at", F.coalesce("root", "sig").alias("root"))
-    mixed = own.groupBy("token").agg(F.countDistinct("root").alias("roots")).where("roots > 1").select("token")
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        own = posted.join(roots, posted.sig == roots.node, "left").select("token", "sig", "n", "at", F.coalesce("root", "sig").alias("root"))
+    # all pairs that are still apart
+    mixed = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     own = saved(own.join(mixed, "token", "left_semi"), "mixed")
     other = own.select("token", *(F.col(c).alias(f"{c}2") for c in ("sig", "n", "at", "root")))
     rest = own.join(other, "token").where((F.col("root") != F.col("root2")) & (F.col("sig") < F.col("sig2")) & _possible("n", "at", "n2", "at2", num, den))
-    rest = rest.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sig2").alias("b"), F.col("n2").alias("nb")).distinct()
+    rest = _pairs(rest)
+    rest = rest if tested is None else rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     found = saved(_linked(rest, sets, num, den), "links")
     if found.head(1):
-        roots = saved(components(found if links is None else links.union(found)), "roots")
+        roots = components(found if links is None else links.union(found))
     return roots
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller signature first."""
+    less = F.col("sig") < F.col("sig2")
+    pick = lambda x, y: F.when(less, F.col(x)).otherwise(F.col(y))
+    return met.select(pick("sig", "sig2").alias("a"), pick("n", "n2").alias("na"), pick("sig2", "sig").alias("b"), pick("n2", "n").alias("nb")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links of similarity num/den or more).
 
@@ -219,6 +231,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = cut.groupBy("fragment").applyInArrow(_shared(n), _PACKED.format("block") + ", freqs binary, fragment int")
     sets = saved(shared.groupBy("block").applyInArrow(_linkable(num, den), "sig long, n int, tokens array<long>"), "sets")
     roots = set_links(sets, num, den)
-    placed = known.join(roots, known.sig == roots.node, "left").select("id", "n", F.coalesce("root", "sig").alias("root"))
+    if roots is None:
+        placed = known.select("id", "n", F.col("sig").alias("root"))
+    else:
+        placed = known.join(roots, known.sig == roots.node, "left").select("id", "n", F.coalesce("root", "sig").alias("root"))
     first = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("first"))
     return placed.join(first.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("n") > 0), "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))

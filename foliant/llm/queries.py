@@ -70,4 +70,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
-ORACLE_SQL = {"op3_url_filter": urls.oracle_sql()}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JACCARD_SQL = f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.b from reach r join e on e.a = r.y)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.y as component_id from w left join n on n.doc_id = w.doc_id join (select x, min(y) y from reach group by 1) c on c.x = w.doc_id"""
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages), d as (select *, strlen(h) n, sha256(h) s, min(page_id) over (partition by h) f from p)
+select page_id, n as payload_bytes, s as payload_digest, case when n >= 100 and f <> page_id then 'revisit' else 'response' end as record_type, case when n >= 100 and f <> page_id then f end as refers_to from d"""
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATION_SQL = f"""
+with b as (select item_id::varchar item, {_WORDS} w from benchmark), v as (select item, w, least(len(w), 13) n from b where len(w) > 0),
+bw as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') k from v, unnest(range(1, len(w) - n + 2)) t(i)), sizes as (select distinct n from bw),
+d as (select doc_id, {_WORDS} w from documents), dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') k from d, sizes, unnest(range(1, len(w) - n + 2)) t(i)),
+hits as (select doc_id, i, dw.n, item from dw join bw on bw.k = dw.k and bw.n = dw.n), pos as (select distinct doc_id, p from hits, unnest(range(i, i + n)) t(p)),
+c as (select doc_id, count(*) h from pos group by 1), own as (select doc_id, count(distinct item) m, string_agg(distinct item, ',' order by item) ids from hits group by 1)
+select d.doc_id, len(w) as n_words, coalesce(h, 0) as n_hit, coalesce(m, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(h, 0) > 0 and 20 * coalesce(h, 0) >= len(w) as contaminated
+from d left join c on c.doc_id = d.doc_id left join own on own.doc_id = d.doc_id"""
+
+ORACLE_SQL = {"op1_jaccard_join": _JACCARD_SQL, "op3_url_filter": urls.oracle_sql(), "op7_warc": _WARC_SQL, "op8_decontamination": _CONTAMINATION_SQL}

@@ -27,19 +27,27 @@ from .common import as_bytes, batch, fragments, spread
 from .jaccard import _LOW, _PACKED, _U, _pack, _unpack
 
 WINDOW = 100
-FLUSH, HELD, SYMBOLS = 1 << 20, 1 << 16, 1 << 19  # anchors held, stretches held, symbols of a transform (but for one anchor)
+FLUSH, HELD, SYMBOLS = 1 << 19, 1 << 15, 1 << 18  # anchors held, stretches held, symbols of a transform (but for one anchor)
+BUCKETS, AT_ONCE = 8, 500  # buckets of anchors for each fragment, texts taken at once
 _NONE = -(1 << 63)  # stands for a null id: before all others
 _STRETCH = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("seg", pa.binary()), ("at", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("marks", pa.binary())])
 _STRETCH_SQL = "bucket int, key long, seg binary, at int, id long, row long, start long, marks binary"
 _MARKS = pa.schema([("row", pa.int64()), ("marks", pa.binary())])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, so that few are held twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def _found(n: int, window: int):
     """Anchors of all texts, to their fragments, with the row and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, size = [], 0
+        held, size = [], 0
+        for b in _slices(batches):
             for row, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 place, own, _, _ = anchors(text, window)
                 if len(place):
@@ -48,8 +56,8 @@ def _found(n: int, window: int):
                 if size >= FLUSH:
                     yield from send(held)
                     held, size = [], 0
-            if held:
-                yield from send(held)
+        if held:
+            yield from send(held)
 
     def send(held: list[tuple]) -> list[pa.RecordBatch]:
         tokens = np.concatenate([x[2] for x in held])
@@ -104,7 +112,7 @@ def _stretches(buckets: int, window: int):
         best: dict[bytes, tuple] = {}
         marks = _Marks()
         size = 0
-        for b in batches:
+        for b in _slices(batches):
             for k, row, text, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 if not lists:
                     continue
@@ -131,8 +139,8 @@ def _stretches(buckets: int, window: int):
 
     def send(best: dict, marks: _Marks) -> Iterator[pa.RecordBatch]:
         rows = list(best.values())
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
+        for at in range(0, len(rows), 5_000):
+            part = rows[at : at + 5_000]
             keys = np.array([x[0] for x in part], _U)
             bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
             yield batch(_STRETCH, [bucket.tolist(), keys.view(np.int64).tolist(), *([x[i] for x in part] for i in range(1, 6)), [None] * len(part)])
@@ -144,21 +152,25 @@ def _stretches(buckets: int, window: int):
     return run
 
 
-def _may_repeat(group: list[tuple], window: int, gram: int = GRAM) -> list[tuple]:
-    """An anchor's stretches (seg, at, ...) that share enough bytes on a side of it: a window has half its rest on one."""
-    need = (window - gram + 1) // 2
-    left: dict[bytes, int] = {}
-    right: dict[bytes, int] = {}
-    sides = []
+def _may_repeat(group: list[tuple], window: int, gram: int = GRAM, parts: int = 4) -> list[tuple]:
+    """An anchor's stretches (seg, at, ...) that share enough bytes around it to share a window.
+
+    A window's bytes beside the anchor are cut in parts; wherever the anchor lies in it, all but one part's worth of them
+    are whole parts to its left and right. Stretches without company in any of these divisions share no window.
+    """
+    step = (window - gram) // parts
+    needs = [(step * j, window - gram - step * (j + 1)) for j in range(parts)]
+    if (window - gram) % parts:
+        needs = [(left, step * (parts - 1 - j)) for j, (left, _) in enumerate(needs)] + [(step * parts, 0)]
+    seen: dict[tuple, int] = {}
+    keys = []
     for seg, at, *_ in group:
-        a = seg[at - need : at] if at >= need else None
-        b = seg[at + gram : at + gram + need] if len(seg) - at - gram >= need else None
-        sides.append((a, b))
-        if a is not None:
-            left[a] = left.get(a, 0) + 1
-        if b is not None:
-            right[b] = right.get(b, 0) + 1
-    return [x for x, (a, b) in zip(group, sides, strict=True) if a is not None and left[a] > 1 or b is not None and right[b] > 1]
+        after = at + gram
+        own = [(j, seg[at - a : at], seg[after : after + b]) for j, (a, b) in enumerate(needs) if at >= a and len(seg) - after >= b]
+        for k in own:
+            seen[k] = seen.get(k, 0) + 1
+        keys.append(own)
+    return [x for x, own in zip(group, keys, strict=True) if any(seen[k] > 1 for k in own)]
 
 
 def _mark_windows(strings: list[tuple], window: int, marks: _Marks) -> None:
@@ -188,19 +200,21 @@ def _marked(window: int, symbols: int):
 
     def run(t: pa.Table) -> pa.Table:
         marks, best, out = _Marks(), {}, []
-        _, key, seg, at, k, row, start, along = (c.to_pylist() for c in t.columns)
-        for a, s, p, i, r, b, m in zip(key, seg, at, k, row, start, along, strict=True):
-            if m is not None:
-                out.append((r, m))
-                continue
-            had = best.get(s)
-            if had is None:
-                best[s] = (a, p, i, r, b)
-            elif (i, b) < (had[2], had[4]):
-                marks.add(had[3], had[4], had[4] + len(s))
-                best[s] = (a, p, i, r, b)
-            elif (i, b) > (had[2], had[4]):
-                marks.add(r, b, b + len(s))
+        for part in t.to_batches(max_chunksize=5_000):
+            _, key, seg, at, k, row, start, along = (c.to_pylist() for c in part.columns)
+            for a, s, p, i, r, b, m in zip(key, seg, at, k, row, start, along, strict=True):
+                if m is not None:
+                    out.append((r, m))
+                    continue
+                had = best.get(s)
+                if had is None:
+                    best[s] = (a, p, i, r, b)
+                elif (i, b) < (had[2], had[4]):
+                    marks.add(had[3], had[4], had[4] + len(s))
+                    best[s] = (a, p, i, r, b)
+                elif (i, b) > (had[2], had[4]):
+                    marks.add(r, b, b + len(s))
+        del t
         groups: dict[int, list[tuple]] = {}
         for s, (a, *rest) in best.items():
             groups.setdefault(a, []).append((s, *rest))
@@ -248,14 +262,14 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     places = places.groupBy("mark_row").agg(F.collect_list("places").alias("places"))  # of one row: no more than it has anchors
     # the texts are dealt by row once; both joins use that exchange
     held = rows.join(places, rows.row == places.mark_row, "left").select("id", "row", "text", "places")
-    stretches = held.mapInArrow(_stretches(n, window), _STRETCH_SQL)
+    stretches = held.mapInArrow(_stretches(BUCKETS * n, window), _STRETCH_SQL)
     marks = stretches.groupBy("bucket").applyInArrow(_marked(window, symbols), "row long, marks binary")
     marks = marks.select(F.col("row").alias("mark_row"), "marks").groupBy("mark_row").agg(F.collect_list("marks").alias("marks"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(span)), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_kept)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out: list[list] = [[] for _ in schema]
             for k, text, own in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 runs, last, parts = removed_runs(own), 0, []

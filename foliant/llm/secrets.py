@@ -2,8 +2,10 @@
 
 Runs of encoding characters are tested against two descriptions. Under "random" the symbols are uniform over the
 inferred alphabet: chi-squared over binned symbols, Wald-Wolfowitz runs about the alphabet's middle and lag-one serial
-correlation each give a p-value, joined by Fisher's rule. Under "ordinary text" the chi-squared statistic is noncentral
-and grows with the length; the chance that text looks as even as the run falls with its length, and is what the
+correlation each give a p-value, joined by Fisher's rule. "Ordinary text" is a chain over the kinds of symbols (small,
+capital, digit, mark) with the frequencies of letters within a kind. The likelihood of a run as text over that as even
+symbols of its alphabet bounds the chance that text looks as random as the run, at any length and for each alphabet
+(Markov's inequality; the alphabet's choice is paid for). The bound falls with the length, and is what the
 Benjamini-Hochberg rule controls over the runs of a document. A span is reported when text is rejected and random isn't.
 """
 
@@ -32,10 +34,15 @@ _ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32 small": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+# The kind of the next symbol in words, names, identifiers, paths and dates; rows and columns are small, capital, digit, mark.
+_NEXT = ((0.86, 0.04, 0.03, 0.07), (0.45, 0.45, 0.04, 0.06), (0.10, 0.10, 0.65, 0.15), (0.50, 0.20, 0.28, 0.02))
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in _ALPHABETS.items()}
 
 
@@ -71,18 +78,32 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def _text_share(alphabet: str, bins: int) -> list[float]:
-    """How ordinary text (nine in ten small letters, the rest even) falls over the bins."""
-    size, out = len(alphabet), [0.0] * bins
-    small = [c for c in alphabet if c.islower()] or [c for c in alphabet if c.isalpha()]
-    total = sum(_LETTERS[ord(c.lower()) - 97] for c in small)
-    for i, c in enumerate(alphabet):
-        out[i * bins // size] += 0.1 / size + (0.9 * _LETTERS[ord(c.lower()) - 97] / total if c in small else 0)
-    return out
+def _kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _within(c: str) -> float:
+    """Log share of a symbol among those of its kind in text; a tenth of the letters fall evenly."""
+    k = _kind(c)
+    return math.log(0.9 * _LETTERS[ord(c.lower()) - 97] / sum(_LETTERS) + 0.1 / 26 if k < 2 else 1 / 10 if k == 2 else 1 / 4)
+
+
+_WITHIN = {c: (_kind(c), _within(c)) for c in sorted(set().union(*_ALPHABETS.values()))}
+_STEP = [[math.log(p) for p in row] for row in _NEXT]
+
+
+def text_p(run: str, size: int) -> float:
+    """Bound of the chance that ordinary text is as likely as this under even symbols of an alphabet of that size."""
+    last, ratio = None, math.log(len(_ALPHABETS) / 4) + len(run) * math.log(size)  # the first symbol's kind is even
+    for c in run:
+        k, share = _WITHIN[c]
+        ratio += share + (0 if last is None else _STEP[last][k])
+        last = k
+    return math.exp(min(0.0, ratio))
 
 
 def battery(run: str) -> dict | None:
-    """p-values of the three tests, their Fisher join, and the chance of such evenness in ordinary text."""
+    """p-values of the three tests, their Fisher join, and the chance of such a run in ordinary text."""
     run = run.rstrip("=")
     kind = encoding(run)
     if kind is None:
@@ -110,9 +131,7 @@ def battery(run: str) -> dict | None:
     serial = sum((x - mu) * (y - mu) for x, y in zip(at, at[1:], strict=False)) / spread_
     p_serial = _two_sided((serial + 1 / n) * math.sqrt(n))
     fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    extra = n * sum((t - s / size) ** 2 / (s / size) for t, s in zip(_text_share(alphabet, bins), share, strict=True))
-    z = (chi - (bins - 1 + extra)) / math.sqrt(2 * (bins - 1 + 2 * extra))
-    return {"encoding": kind, "p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial, "p_random": _chi2_tail(fisher, 6), "p_text": 0.5 * math.erfc(-z / math.sqrt(2))}
+    return {"encoding": kind, "p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial, "p_random": _chi2_tail(fisher, 6), "p_text": text_p(run, size)}
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], rate: float = FALSE_DISCOVERY, random_p: float = RANDOM_P) -> list[tuple[int, int, str]]:

@@ -103,6 +103,26 @@ def test_random_runs_are_found_and_words_are_not():
     assert not any(secrets.scan(w) for w in words)
 
 
+@pytest.mark.parametrize("kind", ["HEX", "base32", "base32 small", "base36", "BASE36", "base62", "base64", "base64url"])
+def test_random_runs_of_each_encoding_are_found_from_the_least_length(kind):
+    own = random.Random(3)
+    words = "configuration deployment environment development security production application information".split()
+    for others in (0, 4):
+        for n in (secrets.MIN_RUN, 24, 32, 40, 64):
+            found = 0
+            for _ in range(100):
+                run = "".join(own.choice(secrets._ALPHABETS[kind]) for _ in range(n))
+                text = f"key {run} end" + "".join(f" {'-'.join(own.sample(words, 3))}{own.randrange(10, 99)}" for _ in range(others))
+                found += any(a <= 5 and b >= 3 + n and k == "random" for a, b, k in secrets.scan(text))
+            assert found >= 80, (others, n, found)
+
+
+def test_names_with_digits_and_capitals_are_no_secrets():
+    words = """iPhone15ProMax256GBBlack ISO8859-1ToUTF8Converter TestCase01VerifyLoginPage02 MP3toWAVandAVItoMP4converter JSONToXMLConverterV2Impl 2024-01-15T10-20-30Z
+    backup_2024_01_15_final_v2 Windows10x64Enterprise2019 US-EAST-1A-PROD-DB-01 ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 a1b2c3d4e5f6g7h8i9j0k1"""
+    assert [w for w in words.split() if secrets.scan(w)] == []
+
+
 def test_secret_rows_and_redaction(spark):
     got = secrets.secret_scan(docs(spark, [*NASTY, (9, "a 0123456789abcdef b")]), with_text=True).collect()
     assert len(got) == len(NASTY) + 1

@@ -34,7 +34,7 @@ def stats(tasks: DataFrame, by: Sequence[str], seconds: str, status: str = "stat
     return out.select(*by, "total", "done", "ok", F.round(F.when(F.col("done") > 0, F.col("ok") / F.col("done")), 4).alias("rate"), F.round("_s", 1).alias("avg_seconds"))
 
 
-def rerunnable(runs: DataFrame, file: str, newest: Sequence[str], status: str = "status") -> DataFrame:
+def rerunnable(runs: DataFrame, file: str | Sequence[str], newest: Sequence[str], status: str = "status") -> DataFrame:
     """Files without a success of which the newest attempt failed."""
     found = runs.groupBy(file).agg(F.bool_or(F.col(status) == "succeeded").alias("_ok"), F.max_by(status, F.struct(*newest)).alias("last_status"), F.count("*").alias("attempts"))
     return found.where(~F.col("_ok") & F.col("last_status").isin("failed", "failed_review", "interrupted")).drop("_ok")

@@ -43,6 +43,15 @@ def rerunnable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.rerunnable(_runs(spark, sf_dir).where("event_id % 3 = 0"), "user_id", ["ts", "event_id"])
 
 
+@query(
+    f"""select user_id, k, arg_max(status, (ts, event_id)) as last_status, count(*) as attempts from ({_RUNS_SQL}) group by 1, 2
+    having not bool_or(status = 'succeeded') and arg_max(status, (ts, event_id)) in ('failed', 'failed_review', 'interrupted')"""
+)
+def rerunnable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's values k without a success among all their runs."""
+    return runs.rerunnable(_runs(spark, sf_dir), ["user_id", "k"], ["ts", "event_id"])
+
+
 @query(
     f"""select event_type, count(*) total, count(*) filter (status in ('succeeded', 'failed', 'failed_review', 'cancelled', 'interrupted')) done, count(*) filter (status = 'succeeded') ok,
     round(count(*) filter (status = 'succeeded') / nullif(count(*) filter (status in ('succeeded', 'failed', 'failed_review', 'cancelled', 'interrupted')), 0), 4) rate,

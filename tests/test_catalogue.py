@@ -35,3 +35,12 @@ def test_the_entry_imports_and_names_every_query():
     import __spark_entry__
 
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no sample tables")
+def test_rerunnable_files_reads_every_run(spark):
+    by = {}
+    for r in reports._runs(spark, DIR).collect():
+        by.setdefault((r.user_id, r.k), []).append((r.ts, r.event_id, r.status))
+    want = {(*key, max(own)[2], len(own)) for key, own in by.items() if all(x[2] != "succeeded" for x in own) and max(own)[2] in ("failed", "interrupted")}
+    assert want and {tuple(r) for r in catalogue.QUERIES["rerunnable_files"](spark, DIR).collect()} == want

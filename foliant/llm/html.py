@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Markup is read into a tree as browsers would (unclosed paragraphs, stray end tags and truncated pages included), and
-subtrees that hold menus, adverts, notices, forms, code or reader comments by their tag, role or class are cut. Each
+subtrees that hold menus, adverts, notices, forms, code or reader comments by their tag, role or class are cut; a class
+cuts nothing that has a name of main text beside it or most of the page's paragraphs in it. Each
 paragraph's points, from its length and commas, go to its ancestors, less with each level; a container's points are
 discounted by the share of its text that is links. The best container is kept with siblings that score alike.
 """
@@ -34,6 +35,11 @@ NAMES = frozenset(
     sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola tags toolbar trending widget widgets""".split()
 )
 GOOD = frozenset("article articlebody body content entry hentry main maincontent page post story text".split())
+#: Of an element with one of these names, no share of the page's paragraphs makes main text.
+NEVER = frozenset("comment comments commentlist consent cookie cookies disqus gdpr hidden replies respond".split())
+#: What follows these in a class says what is beside the element, or isn't there.
+MODIFIERS = frozenset("no not with without has".split())
+MOST, LEAST_PARAGRAPHS = 0.75, 3
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -42,32 +48,37 @@ _COMMA = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("children", "links", "parent", "points", "size", "tag", "names", "cut")
+    __slots__ = ("children", "links", "parent", "points", "size", "tag", "names", "cut", "good")
 
-    def __init__(self, tag: str, parent: "Node | None", names: frozenset[str] = frozenset(), cut: bool = False) -> None:
-        self.tag, self.parent, self.names, self.cut = tag, parent, names, cut
+    def __init__(self, tag: str, parent: "Node | None", names: frozenset[str] = frozenset(), cut: bool = False, good: bool = False) -> None:
+        self.tag, self.parent, self.names, self.cut, self.good = tag, parent, names, cut, good
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def _attributes(text: str) -> tuple[frozenset[str], bool]:
-    """Parts of class and id, and whether an attribute alone cuts the element."""
-    if not text or "=" not in text and "hidden" not in text:
-        return frozenset(), False
-    names, cut = set(), bool(re.search(r"(?:^|\s)hidden(?:\s|$)", text))
+def _attributes(text: str) -> tuple[frozenset[str], bool, bool]:
+    """Parts of class and id, whether an attribute alone cuts the element, and whether a class or id names main text alone."""
+    if not text or "=" not in text and "hidden" not in text.lower():
+        return frozenset(), False, False
+    rest = _ATTRIBUTE.sub(" ", text).lower()
+    names, good, cut = set(), False, bool(re.search(r"(?:^|[\s/])hidden(?:[\s/]|$)", re.sub(r"[\"'].*", "", rest, flags=re.S)))
     for name, *values in _ATTRIBUTE.findall(text):
         value, name = "".join(values), name.lower()
         if name in ("class", "id"):
             for one in value.split():
-                parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one))
-                names.update(x.lower() for x in parts)
+                parts = [x.lower() for x in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one))]
+                parts = parts[: next((i for i, x in enumerate(parts) if x in MODIFIERS), len(parts))]
+                names.update(parts)
+                good |= not GOOD.isdisjoint(parts) and NAMES.isdisjoint(parts)
+        elif name == "hidden":
+            cut = True
         elif name == "role":
             cut |= value.strip().lower() in ROLES
         elif name == "aria-hidden":
             cut |= value.strip().lower() == "true"
         elif name == "style":
             cut |= "display:none" in value.replace(" ", "").lower()
-    return frozenset(names), cut
+    return frozenset(names), cut, good
 
 
 def parse(text: str) -> Node:
@@ -107,7 +118,7 @@ def parse(text: str) -> Node:
             continue
         if text.endswith(m[0]) and pos == len(text) and not m[0].endswith(">"):
             return root  # the page ends inside a tag
-        names, cut = _attributes(m[3] or m[6] or "")
+        names, cut, good = _attributes(m[3] or m[6] or "")
         if tag in RAW:
             if not m[0].endswith("/>") or tag in ("script", "style", "textarea", "title"):
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, pos)
@@ -129,7 +140,7 @@ def parse(text: str) -> Node:
                 close(found)
         if tag in ("html", "body") and any(n.tag == tag for n in _up(at)):
             continue
-        node = Node(tag, at, names, cut)
+        node = Node(tag, at, names, cut, good)
         at.children.append(node)
         if tag not in VOID and not m[0].endswith("/>") or tag in BLOCK - VOID:
             at = node
@@ -142,23 +153,55 @@ def _up(node: Node) -> Iterator[Node]:
 
 
 def _is_cut(node: Node) -> bool:
+    """Without regard to NAMES, of which _prune takes care."""
     if node.tag in ("html", "body", "main", "article"):
         return bool(node.tag == "article" and node.names & {"comment", "comments", "ad", "advert", "promo"})
     if node.cut or node.tag in CUT:
         return True
     if node.tag == "header":
         return not any(n.tag in ("article", "main") for n in _up(node))
-    if node.names & NAMES:
-        return True
-    return bool({"header"} & node.names and not node.names & GOOD and not any(n.tag in ("article", "main") for n in _up(node)))
+    return bool({"header"} & node.names and not node.names & (GOOD | NAMES) and not any(n.tag in ("article", "main") for n in _up(node)))
 
 
-def _prune(root: Node) -> None:
-    todo = [root]
+def _named(node: Node) -> bool:
+    return node.tag not in ("html", "body", "main", "article", "header") and not node.good and bool(node.names & NAMES)
+
+
+def _drop(root: Node, is_cut) -> list[Node]:
+    """Cuts subtrees; the elements left, parents before children."""
+    order, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c)]
+        order.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or not is_cut(c)]
         todo += [c for c in node.children if isinstance(c, Node)]
+    return order
+
+
+def _prune(root: Node) -> None:
+    order = _drop(root, _is_cut)
+    if not any(_named(n) for n in order):
+        return
+    own: dict[Node, list[float]] = {}
+    for text, owner in blocks(root):
+        if _is_paragraph(text, owner):
+            held = own.setdefault(owner, [0, 0.0])
+            held[0], held[1] = held[0] + 1, held[1] + _worth(text)
+    for node in reversed(order):  # sums of subtrees
+        if node in own and node.parent:
+            held = own.setdefault(node.parent, [0, 0.0])
+            held[0], held[1] = held[0] + own[node][0], held[1] + own[node][1]
+    least = MOST * own[root][1] if root in own else 0.0
+    most = {n for n, (k, p) in own.items() if k >= LEAST_PARAGRAPHS and p >= least and not n.names & NEVER}
+    _drop(root, lambda n: _named(n) and n not in most)
+
+
+def _is_paragraph(text: str, owner: Node) -> bool:
+    return len(text) >= 25 and owner.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "#root")
+
+
+def _worth(text: str) -> float:
+    return 1 + len(_COMMA.findall(text)) + min(3, len(text) // 100)
 
 
 def blocks(*nodes: Node) -> list[tuple[str, Node]]:
@@ -214,9 +257,9 @@ def candidates(root: Node) -> dict[Node, float]:
     """Points by container: a paragraph's whole points to its parent, half to the next, a third of a half and less above."""
     points: dict[Node, float] = {}
     for text, owner in blocks(root):
-        if len(text) < 25 or owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "#root"):
+        if not _is_paragraph(text, owner):
             continue
-        own = 1 + len(_COMMA.findall(text)) + min(3, len(text) // 100)
+        own = _worth(text)
         above = [n for n in _up(owner.parent if owner.tag in ("p", "pre", "blockquote", "li", "td", "dd") and owner.parent else owner) if n.tag not in ("#root", "html")]
         for level, node in enumerate(above[:6]):
             bonus = 25.0 if node not in points and node.names & GOOD else 0.0

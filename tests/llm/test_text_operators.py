@@ -161,6 +161,26 @@ def test_deep_and_short_pages():
     assert html.extract("plain text only") == "plain text only"
 
 
+LONG = [f"Paragraph {i} has commas, several of them, and enough text to be worth something to a reader." for i in range(5)]
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post no-comments", "layoutHasSidebar", "sidebar content", "sidebar"])
+def test_names_of_notices_spare_main_text(name):
+    page = f'<body><div class="{name}">{"".join(f"<p>{x}</p>" for x in LONG)}</div><div class="widget_text"><p>{LONG[0]} Widget.</p></div></body>'
+    assert html.extract(page).split("\n\n") == LONG
+
+
+def test_many_comments_are_no_main_text():
+    page = f'<body><div class="post"><p>{LONG[0]}</p></div><div class="comments">{"".join(f"<p>{x}</p>" for x in LONG * 3)}</div></body>'
+    assert html.extract(page) == LONG[0]
+
+
+@pytest.mark.parametrize("attribute, kept", [("title='the hidden cost'", True), ('data-caption="a hidden gem"', True), ("alt=x title = 'so hidden '", True), ("hidden", False), ("id=a HIDDEN", False), ('hidden="" id=a', False)])
+def test_hidden_counts_as_an_attribute_alone(attribute, kept):
+    page = f'<body><div id="x"><p>{LONG[0]}</p><p {attribute}>{LONG[1]}</p></div></body>'
+    assert html.extract(page).split("\n\n") == LONG[: 1 + kept]
+
+
 def test_pages_with_nulls(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((r.id or 0, r.text, r.n_chars) for r in html.main_text(rows).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "", 0)]

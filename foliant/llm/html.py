@@ -3,7 +3,8 @@
 Markup is read into a tree as browsers would (unclosed paragraphs, stray end tags and truncated pages included), and
 subtrees that hold menus, adverts, notices, forms, code or reader comments by their tag, role or class are cut; a class
 cuts nothing that has a name of main text beside it or most of the page's paragraphs in it. Each
-paragraph's points, from its length and commas, go to its ancestors, less with each level; a container's points are
+paragraph's points, from its length and commas, go to all its ancestors, less with each level (wrappers that add no
+paragraph are one level); a container's points are
 discounted by the share of its text that is links. The best container is kept with siblings that score alike.
 """
 
@@ -253,19 +254,29 @@ def density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
-def candidates(root: Node) -> dict[Node, float]:
-    """Points by container: a paragraph's whole points to its parent, half to the next, a third of a half and less above."""
+def candidates(root: Node) -> tuple[dict[Node, float], dict[Node, int]]:
+    """Points by container, and its paragraphs: a paragraph's whole points to its parent, half to the next level, a third of a half and less above.
+
+    A level ends where an ancestor has more paragraphs.
+    """
     points: dict[Node, float] = {}
+    found = []
+    paragraphs: dict[Node, int] = {}
     for text, owner in blocks(root):
         if not _is_paragraph(text, owner):
             continue
-        own = _worth(text)
         above = [n for n in _up(owner.parent if owner.tag in ("p", "pre", "blockquote", "li", "td", "dd") and owner.parent else owner) if n.tag not in ("#root", "html")]
-        for level, node in enumerate(above[:6]):
+        found.append((_worth(text), above))
+        for node in above:
+            paragraphs[node] = paragraphs.get(node, 0) + 1
+    for own, above in found:
+        level = 0
+        for below, node in zip([None, *above], above, strict=False):
+            level += below is not None and paragraphs[node] > paragraphs[below]
             bonus = 25.0 if node not in points and node.names & GOOD else 0.0
             bonus += 10.0 if node not in points and node.tag in ("article", "main") else 0.0
             points[node] = points.get(node, 0.0) + bonus + own / (1 if level == 0 else 2 if level == 1 else level * 3)
-    return {n: p * (1 - density(n)) for n, p in points.items()}
+    return {n: p * (1 - density(n)) for n, p in points.items()}, paragraphs
 
 
 def extract(page: str | None) -> str:
@@ -275,7 +286,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     _prune(root)
     _measure(root)
-    points = candidates(root)
+    points, paragraphs = candidates(root)
     if points:
         best = max(points, key=lambda n: points[n])
         # an article or main element around the best container is the container its author meant
@@ -290,6 +301,14 @@ def extract(page: str | None) -> str:
                 prose = c.tag == "p" and (c.size > 80 and density(c) < 0.25 or 0 < c.size <= 80 and not c.links and "." in "".join(t for t, _ in blocks(c)))
                 if alike or prose or c.tag == "h1":
                     kept.append(c)
+        top = best  # siblings that score alike can lie beside the wrappers of the best
+        while top.parent in paragraphs and paragraphs[top.parent] == paragraphs.get(best):
+            top = top.parent
+        if top is not best and top.parent:
+            beside = [c is top or isinstance(c, Node) and points.get(c, 0.0) >= least for c in top.parent.children]
+            at = next(i for i, c in enumerate(top.parent.children) if c is top)
+            own = [c for c, x in zip(top.parent.children, beside, strict=True) if x]
+            kept = [*own[: sum(beside[:at])], *kept, *own[sum(beside[:at]) + 1 :]]
         found = blocks(*kept)
     else:
         inner = [n for n in _all(root) if n.tag in ("article", "main")] or [n for n in _all(root) if n.tag == "body"] or [root]

@@ -181,6 +181,16 @@ def test_hidden_counts_as_an_attribute_alone(attribute, kept):
     assert html.extract(page).split("\n\n") == LONG[: 1 + kept]
 
 
+@pytest.mark.parametrize("n", [2, 3, 5])
+@pytest.mark.parametrize("depth", [1, 7, 12])
+@pytest.mark.parametrize("label", ["", "<i>1</i>"])
+def test_nested_wrappers_lose_no_paragraph(n, depth, label):
+    texts = [" ".join([x] * (5 if n == 2 else 1)) for x in LONG[:n]]  # two tie with their container and need points of their own
+    rows = "".join(f"{f'<div>{label}' * depth}<p>{x}</p>{'</div>' * depth}" for x in texts)
+    got = html.extract(f'<body><div id="x">{rows}</div><div class="footer">End of it</div></body>').split("\n\n")
+    assert [x for x in got if x in texts] == texts
+
+
 def test_pages_with_nulls(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string")
     assert sorted((r.id or 0, r.text, r.n_chars) for r in html.main_text(rows).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "", 0)]

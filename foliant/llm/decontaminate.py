@@ -17,6 +17,8 @@ from .common import as_bytes, batch, spread
 
 #: Benchmark texts above this many characters aren't held in memory: their windows are matched by a shuffle instead.
 AUTOMATON_CHARS = 64_000_000
+#: Nor are benchmarks of more distinct words, which have no characters left as codes.
+WORD_CODES = 0x10FFFF - 0x800
 WINDOW = 13
 _SEPARATE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -41,7 +43,7 @@ class _Codes(dict):
 class Automaton:
     """Windows of all items; items with an equal window share its entry."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], size: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int = WINDOW) -> None:
         import ahocorasick
 
         self.codes, self.items = _Codes(), [k for k, _ in items]
@@ -92,21 +94,29 @@ def _arrow(ids, n_words, n_hit, items, ranges, spans) -> pa.RecordBatch:
 
 
 def _items(bench: DataFrame, item_col: str, item_text: str) -> DataFrame:
-    return bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
+    return bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
 
 
 def _held(items: DataFrame, most: int):
-    """The items on every machine, unless they have more characters than that."""
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > most:
+    """The items on every machine, unless they have more characters than that or more distinct words than codes."""
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > most:
         return None
-    return items.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.sort("item", "text").collect()])
+    rows = [(r.item, r.text.encode()) for r in items.sort("item", "text").collect()]
+    if chars > WORD_CODES:  # fewer characters can't make more words
+        distinct: set[bytes] = set()
+        for _, text in rows:
+            distinct.update(words(text))
+            if len(distinct) > WORD_CODES:
+                return None
+    return items.sparkSession.sparkContext.broadcast(rows)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """Per document: its words, the words inside an occurrence of any item's window, those items and the places.
 
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated items are told apart by
-    their ids alone (equal ids count once). Rows with equal ids stay separate rows.
+    their ids alone (equal ids count once). An item without an id counts in n_hit and the places; items leaves it out. Rows with equal ids stay separate rows.
     """
     docs = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
     items = _items(bench, item_col, item_text)
@@ -121,7 +131,7 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
             for k, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 own = words(text)
                 ranges, found = automaton.hits(own)
-                out.append((k, len(own), sum(y - x for x, y in ranges), sorted({automaton.items[i] for i in found}), ranges, word_spans(text.decode(), ranges) if ranges else []))
+                out.append((k, len(own), sum(y - x for x, y in ranges), sorted({automaton.items[i] for i in found} - {None}), ranges, word_spans(text.decode(), ranges) if ranges else []))
             if out:
                 yield _arrow(*map(list, zip(*out, strict=True)))
 

@@ -58,6 +58,25 @@ def test_contamination_of_nasty_rows_and_no_benchmark(spark):
     assert decontaminate.clean(docs(spark, NASTY), none).count() == len(NASTY)
 
 
+@pytest.mark.parametrize("chars", [10**6, 1])
+def test_items_without_id_hit_and_are_not_listed(spark, chars):
+    bench = spark.createDataFrame([(None, "alpha beta"), (2, "gamma"), (None, "alpha beta")], "item_id long, text string")
+    rows = [(1, "alpha beta x"), (2, "alpha beta gamma"), (3, "x")]
+    got = decontaminate.contamination(docs(spark, rows), bench, automaton_chars=chars).collect()
+    assert sorted((r.id, r.n_hit, r["items"]) for r in got) == [(1, 2, []), (2, 3, ["2"]), (3, 0, [])]
+    assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench, automaton_chars=chars).collect()] == [3]
+
+
+def test_more_words_than_codes_go_by_shuffle(spark, monkeypatch):
+    many = spark.createDataFrame([("1", " ".join(map(str, range(decontaminate.WORD_CODES + 1))))], "item string, text string")
+    assert decontaminate._held(many, decontaminate.AUTOMATON_CHARS) is None
+    assert max(map(ord, map(decontaminate.Automaton([])._code, [b"%d" % i for i in range(decontaminate.WORD_CODES)]))) == 0x10FFFF
+    monkeypatch.setattr(decontaminate, "WORD_CODES", 5)
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, [(1, "x one two three four five six seven"), (2, "one two")]), bench).collect()
+    assert sorted((r.id, r.n_hit) for r in got) == [(1, 7), (2, 0)]
+
+
 # ---- urls
 
 

@@ -35,14 +35,14 @@ def plain_contamination(text, items):
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("chars", [10**6, 1])
-def test_contamination(spark, chars):
+@pytest.mark.parametrize("words", [10**6, 104])
+def test_contamination(spark, words):
     random.seed(5)
     vocab = [f"w{i}" for i in range(8)]
     long = " ".join(random.choice(vocab) for _ in range(40))
     items = [(1, long), (2, "Short Question?"), (3, ""), (4, None), (5, " ".join(long.split()[5:20])), (6, "été 99")]
     rows = [(i, " ".join(random.choice(vocab) for _ in range(30)) + " " + random.choice([long.upper(), long[10:90], "short, question", "x été-99 y", ""])) for i in range(30)] + NASTY[:3]
-    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), automaton_chars=chars).collect()
+    got = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), part_words=words).collect()
     want = sorted((i, *plain_contamination(t, items)) for i, t in rows)
     assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in got) == want
     for r in got:
@@ -58,23 +58,32 @@ def test_contamination_of_nasty_rows_and_no_benchmark(spark):
     assert decontaminate.clean(docs(spark, NASTY), none).count() == len(NASTY)
 
 
-@pytest.mark.parametrize("chars", [10**6, 1])
-def test_items_without_id_hit_and_are_not_listed(spark, chars):
-    bench = spark.createDataFrame([(None, "alpha beta"), (2, "gamma"), (None, "alpha beta")], "item_id long, text string")
+@pytest.mark.parametrize("words", [10**6, 104])
+def test_items_without_id_hit_and_are_not_listed(spark, words):
+    bench = spark.createDataFrame([(None, "alpha beta"), (2, "gamma"), (None, "alpha beta"), (3, " ".join("abcdefghijklmnopqrstuvwxyz" * 6))], "item_id long, text string")
     rows = [(1, "alpha beta x"), (2, "alpha beta gamma"), (3, "x")]
-    got = decontaminate.contamination(docs(spark, rows), bench, automaton_chars=chars).collect()
+    got = decontaminate.contamination(docs(spark, rows), bench, part_words=words).collect()
     assert sorted((r.id, r.n_hit, r["items"]) for r in got) == [(1, 2, []), (2, 3, ["2"]), (3, 0, [])]
-    assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench, automaton_chars=chars).collect()] == [3]
-
-
-def test_more_words_than_codes_go_by_shuffle(spark, monkeypatch):
-    many = spark.createDataFrame([("1", " ".join(map(str, range(decontaminate.WORD_CODES + 1))))], "item string, text string")
-    assert decontaminate._held(many, decontaminate.AUTOMATON_CHARS) is None
-    assert max(map(ord, map(decontaminate.Automaton([])._code, [b"%d" % i for i in range(decontaminate.WORD_CODES)]))) == 0x10FFFF
-    monkeypatch.setattr(decontaminate, "WORD_CODES", 5)
-    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
-    got = decontaminate.contamination(docs(spark, [(1, "x one two three four five six seven"), (2, "one two")]), bench).collect()
-    assert sorted((r.id, r.n_hit) for r in got) == [(1, 7), (2, 0)]
+    assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench, part_words=words).collect()] == [3]
+
+
+def test_parts_hold_every_window_and_stay_below_their_bound(spark):
+    own = random.Random(1)
+    items = [(str(k), " ".join(f"w{own.randrange(900)}" for _ in range(own.choice([3, 13, 40, 300])))) for k in range(30)]
+    parts = decontaminate.Parts(spark.createDataFrame([*items, *items], "item_id string, text string"), "item_id", "text", 13, 200)
+    held = [parts.held(i).value for i in range(parts.n)]
+    assert parts.n > 9 and all(sum(len(w) for _, w in own) <= 200 for own in held)
+    windows = lambda rows: {(k, tuple(w[i : i + 13])) for k, w in rows for i in range(max(1, len(w) - 12))}
+    assert windows([(k, t.encode().split()) for k, t in items]) == windows([x for own in held for x in own])
+
+
+def test_more_distinct_words_than_characters(spark):
+    many = spark.range(24).selectExpr("id as item_id", "array_join(transform(sequence(id * 50000, id * 50000 + 49999), x -> concat('w', x)), ' ') as text")
+    line = lambda a, n=13: " ".join(f"w{i}" for i in range(a, a + n))
+    rows = [(1, line(1_199_980)), (2, line(49_990)), (3, f"x {line(7)} y {line(1_150_000, 20)}"), (4, "w1 w2"), (5, None)]
+    got = decontaminate.contamination(docs(spark, rows), many).collect()
+    # the second lies across two items
+    assert sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in got) == [(1, 13, 13, ["23"]), (2, 13, 0, []), (3, 35, 33, ["0", "23"]), (4, 2, 0, []), (5, 0, 0, [])]
 
 
 # ---- urls

@@ -18,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine).
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine.
 
-    Folders are removed when the driver ends, as results that are still lazy may read them until then.
+    On a cluster without that setting there is no folder that all machines see: then this raises. Folders are removed
+    when the driver ends, as results that are still lazy may read them until then.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="foliant-")
         shared_dir.own = base
     path = f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"

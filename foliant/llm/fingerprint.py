@@ -74,7 +74,7 @@ def as_text(a: Column) -> Column:
 
 def _bounds(docs: DataFrame, n: int) -> list[int]:
     """Ids that cut the rows into about n even buckets, the first id of each; n of them at most."""
-    row = docs.agg(F.percentile_approx("id", [i / n for i in range(n)], 10_000)).first()
+    row = docs.agg(F.percentile_approx("id", [i / n for i in range(n)], max(10_000, 20 * n))).first()
     return sorted(set(row[0] or []))
 
 
@@ -92,7 +92,8 @@ def with_next(docs: DataFrame, buckets: int, derived: dict[str, Column]) -> Data
     """docs: id, text. Adds derived columns (from text) and, as next_*, text and derived columns of the next document by
     id; after the last comes the first (a lone row is its own next). Null ids come first, equal ids by text.
 
-    Rows are dealt into buckets of ids, each bucket's first row also to the bucket before, so that no window spans all rows.
+    Rows are dealt into buckets of ids, a task each, and each bucket's first row also to the bucket before, so that no
+    window spans all rows.
     """
     bounds = _bounds(docs, buckets)
     bucket, order = _bucket(bounds) if bounds else F.lit(0), [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
@@ -108,7 +109,7 @@ def with_next(docs: DataFrame, buckets: int, derived: dict[str, Column]) -> Data
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
         ghosts = firsts.withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("bucket", pairs[F.col("bucket")]).withColumn("ghost", F.lit(1))
     rows = placed.withColumn("ghost", F.lit(0))
-    rows = (rows.unionByName(ghosts) if ghosts is not None else rows).repartition(max(1, buckets), "bucket")
+    rows = (rows.unionByName(ghosts) if ghosts is not None else rows).repartitionById(max(1, buckets), "bucket")
     for name, column in derived.items():
         rows = rows.withColumn(name, column)
     at = Window.partitionBy("bucket").orderBy("ghost", *order)

@@ -1,9 +1,10 @@
 """WARC: a deterministic sharded writer and a reader.
 
-Ids are cut into shards by an exact histogram, so equal inputs give equal files whatever the partitioning. A shard's
-records are sorted, each is a gzip member of its own, and a file is closed when its compressed size reaches the limit.
-Files are written under a name of the task attempt and renamed when complete; the manifest, written last, lists what
-counts, so that files of lost attempts are never read.
+Ids are cut into shards by an exact histogram, refined where ids lie close together, so equal inputs give equal files
+whatever the partitioning; each shard is one task's. A shard's records are sorted, each is a gzip member of its own, and
+a file is closed when its compressed size reaches the limit. Files are written under a name of the task attempt and
+renamed when complete, over what an earlier attempt may have left; the manifest, written last, lists what counts, so
+that files of lost attempts are never read.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, fragments, spread
 
-CELLS, ROLL_BYTES, REVISIT_FROM = 65_536, 8_000_000, 100
+CELLS, SPLIT, ROLL_BYTES, REVISIT_FROM = 65_536, 64, 8_000_000, 100
+CHUNK = 1 << 16
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no time of capture
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -54,10 +57,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file of gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    view = memoryview(data)
+    while view:
+        member, parts = zlib.decompressobj(31), []
+        for at in range(0, len(view), CHUNK):  # in pieces, so that what follows a member is never copied whole
+            parts.append(member.decompress(view[at : at + CHUNK]))
+            if member.eof:
+                view = view[min(at + CHUNK, len(view)) - len(member.unused_data) :]
+                break
+        else:
+            raise ValueError("a file ends inside a record")
+        raw = b"".join(parts)
         while raw:
             head, _, rest = raw.partition(b"\r\n\r\n")
             first, *lines = head.decode().split("\r\n")
@@ -69,22 +79,57 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raw = rest[n + 4 :]
 
 
-def _shards(pages: DataFrame, n: int) -> list[tuple[int, int]]:
-    """First id and shard: id ranges of about equal bytes, from counts of all rows in a bounded number of cells."""
-    low, high = pages.agg(F.min("id"), F.max("id")).first()
+def _shards(pages: DataFrame, n: int, cells: int = CELLS) -> list[tuple[int, int]]:
+    """First id and shard: id ranges of about equal bytes, from counts of all rows in a bounded number of cells.
+
+    Cells of more than a quarter of a shard are cut again and again until they are light enough or hold one id, so that
+    a few far-off ids don't put all others into one cell.
+    """
+    own = pages.where("id is not null").select(F.col("id").cast("decimal(38,0)").alias("id"), (F.octet_length("html") + 500).alias("bytes"))
+    low, high = own.agg(F.min("id"), F.max("id")).first()
     if low is None:
         return []
-    width = (high - low) // CELLS + 1
-    cells = pages.where("id is not null").groupBy(F.floor((F.col("id") - F.lit(low)) / F.lit(width)).alias("cell")).agg(F.sum(F.octet_length("html") + 500).alias("bytes")).sort("cell").collect()
-    total, seen, out = sum(r.bytes for r in cells), 0, []
-    for r in cells:
+    low, width = int(low), int(high - low) // cells + 1
+    inside = own.withColumn("cell", F.lit(low).cast("decimal(38,0)"))
+    done: dict[int, int] = {}
+    most = None
+    while True:
+        inside = inside.withColumn("cell", F.expr(f"cast(cell + cast((id - cell) div {width} as decimal(20,0)) * cast('{width}' as decimal(20,0)) as decimal(38,0))"))
+        todo = {int(r.cell): r.bytes for r in inside.groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()}
+        most = most or max(1, sum(todo.values()) // (4 * n))
+        heavy = {k for k, x in todo.items() if x > most and width > 1}  # 4n at most
+        done |= {k: x for k, x in todo.items() if k not in heavy}
+        if not heavy:
+            break
+        width = -(-width // SPLIT)
+        inside = inside.join(F.broadcast(pages.sparkSession.createDataFrame([(Decimal(k),) for k in sorted(heavy)], "cell decimal(38,0)")), "cell")
+    total, seen, out = sum(done.values()), 0, []
+    for cell in sorted(done):
         shard = seen * n // total
         if not out or out[-1][1] != shard:
-            out.append((low + r.cell * width, shard))
-        seen += r.bytes
+            out.append((cell, shard))
+        seen += done[cell]
     return out
 
 
+def _store(uri: str):
+    """The file system of a URI as Spark writes it, and the path there."""
+    from pyarrow import fs
+
+    for scheme in ("s3a://", "s3n://"):
+        uri = uri.replace(scheme, "s3://", 1) if uri.startswith(scheme) else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def _settle(store, temp: str, final: str) -> None:
+    """Renames a whole file. One of an earlier attempt, which has the same bytes, gives way, as not every store overwrites."""
+    from pyarrow import fs
+
+    if store.get_file_info(final).type != fs.FileType.NotFound:
+        store.delete_file(final)
+    store.move(temp, final)
+
+
 def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, date: str = DATE) -> list[dict]:
     """Writes the archives and MANIFEST.json under the URI `to`; returns the manifest's files.
 
@@ -104,12 +149,10 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
     nothing = F.lit(None).cast("string")
     marks = marks.select(shard.alias("shard"), "id", nothing.alias("url"), nothing.alias("html"), "digest", "first_id").distinct()
     pages_ = rows.select(shard.alias("shard"), "id", "url", "html", nothing.alias("digest"), F.lit(None).cast("long").alias("first_id"))
-    placed = marks.union(pages_).repartition(n, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("html"))
+    placed = marks.union(pages_).repartitionById(n, "shard").sortWithinPartitions(F.col("shard"), F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(to)
+        store, root = _store(to)
         attempt = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         out, files = None, []
         last: tuple | None = None
@@ -121,7 +164,7 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
             if out:
                 out["to"].close()
                 name = f"shard-{out['shard']:06d}-{out['part']:05d}.warc.gz"
-                store.move(f"{root}/_temporary/{attempt}-{name}", f"{root}/{name}")
+                _settle(store, f"{root}/_temporary/{attempt}-{name}", f"{root}/{name}")
                 files.append((name, out["records"], out["bytes"], out["sha"].hexdigest()))
                 out = None
 

@@ -262,3 +262,51 @@ def test_fingerprints_of_odd_rows(spark):
     assert len(got) == 4 and len({r.fingerprint for r in got if r.n_chars == 3}) == 1
     assert fingerprint.edit_likeness(docs(spark, [(1, "a")]).where("false"), 3).count() == 0
     assert fingerprint.edit_likeness(docs(spark, [(1, "abcd")]), 3).first().edited_sha256 == hashlib.sha256(b"abca").hexdigest()
+
+
+# ---- places of shards, buckets and files
+
+
+def test_shards_are_even_beside_far_off_ids(spark):
+    ids = [-(1 << 40), *range(1000, 1400), 1 << 40]
+    rows = spark.createDataFrame([(k, "x" * 100) for k in ids], "id long, html string")
+    bounds = warc._shards(rows, 8, 16)
+    first = [b for b, _ in bounds]
+    held = {}
+    for k in ids:
+        held[bounds[max(i for i, b in enumerate(first) if b <= k)][1]] = held.get(bounds[max(i for i, b in enumerate(first) if b <= k)][1], 0) + 1
+    assert sorted(held) == list(range(8)) and max(held.values()) <= 80
+    assert warc._shards(rows.repartition(5), 8, 16) == bounds
+
+
+def test_a_later_attempt_settles_over_an_earlier_file():
+    from pyarrow import fs
+
+    class Strict:
+        """A store that refuses to rename onto a file."""
+
+        def __init__(self):
+            self.files = {"a-temp": b"x", "b-temp": b"x"}
+
+        def get_file_info(self, name):
+            return fs.FileInfo(name, fs.FileType.File if name in self.files else fs.FileType.NotFound)
+
+        def delete_file(self, name):
+            del self.files[name]
+
+        def move(self, old, new):
+            assert new not in self.files
+            self.files[new] = self.files.pop(old)
+
+    store = Strict()
+    warc._settle(store, "a-temp", "final")
+    warc._settle(store, "b-temp", "final")
+    assert store.files == {"final": b"x"}
+
+
+def test_records_of_damaged_and_long_files():
+    page = warc.record(1, "u", "é".encode() * 200_000, None)
+    data = b"".join(gzip.compress(x) for x in (page, warc.record(2, None, b"", None), page))
+    assert [(h.get("X-Page-ID"), len(b)) for h, b in warc.records(data)][1][0] == "2" and len(list(warc.records(data))) == 3
+    with pytest.raises(ValueError):
+        list(warc.records(data[:-9]))

@@ -5,8 +5,9 @@ bins that fills the window is a column, and non-negative least squares finds how
 histogram is met. Counts are rounded and never exceed what is there. What is left over is packed greedily, one after
 another, cut at window ends; a last window is cut at powers of two, which need no padding.
 
-Ranks within bins, and places within the left-over stream, are running sums: each task keeps its own, and the driver adds
-up a number for each task and bin. No row is moved except to add up lengths within a sequence.
+Ranks within bins, and places within the left-over stream, are running sums: each task keeps its own, and a table of a row
+for each task and bin adds them up by bin. The driver sees a row for each bin. No document is moved (unless that table is
+too large to be sent to all machines: then Spark shuffles the tokens once); lengths are added up within a sequence.
 """
 
 from __future__ import annotations
@@ -189,8 +190,8 @@ def _tokenized(path: str, window: int, width: int):
     end = np.array([END_ID], np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, me, full = Tokens(path), TaskContext.get().partitionId(), 0
-        ranks, sums = np.zeros(window // width + 2, np.int64), np.zeros(window // width + 2, np.int64)
+        tokens, me = Tokens(path), TaskContext.get().partitionId()
+        ranks, sums, full = (np.zeros(window // width + 2, np.int64) for _ in range(3))
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             size = 0
@@ -199,9 +200,9 @@ def _tokenized(path: str, window: int, width: int):
                 n = len(ids) // 2
                 rest = n % window
                 at = -(-rest // width)
-                for to, x in zip(out, (k, ids, n, full, at, int(ranks[at]), int(sums[at])), strict=True):
+                for to, x in zip(out, (k, ids, n, int(full[at]), at, int(ranks[at]), int(sums[at])), strict=True):
                     to.append(x)
-                full += n // window
+                full[at] += n // window
                 ranks[at] += 1
                 sums[at] += rest
                 size += len(ids)
@@ -233,11 +234,12 @@ def combinations(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
     return sorted({*out, (units,)})
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Lawson and Hanson's active-set method on the normal equations."""
-    gram, target = a.T @ a if a.shape[1] <= 1024 else None, a.T @ b
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lawson and Hanson's active-set method on the normal equations. No more than three rounds for each column are
+    needed in practice; what a stop there leaves unmet goes to the greedy packing."""
+    target = a.T @ b
     x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    for _ in range(rounds):
+    for _ in range(3 * a.shape[1]):
         slope = target - a.T @ (a @ x)
         slope[used] = 0
         j = int(slope.argmax())
@@ -247,8 +249,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         while True:
             own = np.flatnonzero(used)
             sub = a[:, own]
-            g = gram[np.ix_(own, own)] if gram is not None else sub.T @ sub
-            s = np.linalg.lstsq(g, target[own], rcond=None)[0]
+            s = np.linalg.lstsq(sub.T @ sub, target[own], rcond=None)[0]
             if s.min() > 1e-12:
                 x[:] = 0
                 x[own] = s
@@ -331,61 +332,59 @@ PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, width: int = BIN) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: a path on every machine.
 
-    Null counts as empty: such a document is its end id alone. Repeated rows are documents of their own; no rows give none.
+    Null counts as empty: such a document is its end id alone. Repeated rows, and rows with equal ids, are documents of
+    their own; no rows give none. Texts of any length are cut into whole windows. Ties in length go by task and place in it. Other columns are ignored.
     The window is a power of two and a multiple of the bin width.
     """
     bins = window // width + 1
     rows = spread(text_of(docs, id_col, text_col)).mapInArrow(_tokenized(tokenizer, window, width), "slice int, id long, ids binary, n long, full_before long, bin int, rank long, before long")
     tokens = saved(rows, "tokens")
-    # a number for each task and bin, not for each document
-    counts = tokens.groupBy("slice", "bin").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n") / window)).alias("full")).collect()
-    slices = max([r.slice for r in counts], default=-1) + 1
-    n, full = np.zeros((slices, bins), np.int64), np.zeros(slices, np.int64)
-    for r in counts:
-        n[r.slice, r.bin] = r.n
-        full[r.slice] += r.full
-    above = lambda x: np.concatenate([np.zeros_like(x[:1]), np.cumsum(x, axis=0)[:-1]]) if len(x) else x
-    ranks, fulls = above(n), above(full)
-    histogram = n.sum(axis=0) if slices else np.zeros(bins, np.int64)
+    so_far = Window.partitionBy("bin").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    # a row for each task and bin, not for each document
+    counts = tokens.groupBy("slice", "bin").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n") / window)).alias("full"))
+    counts = saved(counts.withColumn("ranks", above("n")).withColumn("fulls", above("full")), "counts")
+    n, full = np.zeros(bins, np.int64), np.zeros(bins, np.int64)
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect():
+        n[r.bin], full[r.bin] = r.n, r.full
+    histogram = n.copy()
     histogram[0] = 0
     plan = Plan(histogram, window, width, int(full.sum()))
-    cut = np.clip(plan.placed - ranks, 0, n) if slices else n  # of a task's ranks in a bin, those with a place
-    held = docs.sparkSession.sparkContext.broadcast((cut,))
-    rest = F.col("n") % window
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, out = held.value[0], np.zeros((2, slices, bins), np.int64)
-        for b in batches:
-            s, k, r, m = (b.column(i).to_numpy() for i in range(4))
-            early = (r < at[s, k]).astype(np.int64)
-            np.add.at(out, (early, s, k), m)
-        own = np.argwhere(out)
-        yield pa.RecordBatch.from_arrays([pa.array(own[:, i], pa.int32()) for i in range(3)] + [pa.array(out[tuple(own.T)], pa.int64())], schema=pa.schema([("early", pa.int32()), ("slice", pa.int32()), ("bin", pa.int32()), ("sum", pa.int64())]))
-
-    lengths = np.zeros((2, slices, bins), np.int64)
-    for r in tokens.where("bin > 0").select("slice", "bin", "rank", rest.alias("rest")).mapInArrow(sums, "early int, slice int, bin int, sum long").groupBy("early", "slice", "bin").agg(F.sum("sum").alias("sum")).collect():
-        lengths[r.early, r.slice, r.bin] = r.sum
-    starts = np.concatenate([[0], np.cumsum(lengths[0].ravel())])
-    plan.stream(int(starts[-1]))
-    known = docs.sparkSession.sparkContext.broadcast((plan, cut, ranks, fulls, starts[:-1].reshape(slices, bins) - lengths[1]))
+    spark, by_bin = docs.sparkSession, lambda x: F.array(*[F.lit(int(v)) for v in x])[F.col("bin")]
+    # of a task's ranks in a bin, those with a place
+    cut = F.least(F.greatest(by_bin(plan.placed) - F.col("ranks"), F.lit(0)), F.col("n"))
+    base = by_bin(np.cumsum(full) - full)
+    places = counts.select("slice", "bin", "ranks", cut.alias("cut"), (base + F.col("fulls")).alias("fulls"))
+    late = F.when(F.col("rank") >= F.col("cut"), F.col("before")), F.when(F.col("rank") >= F.col("cut"), F.col("n") % window)
+    rests = tokens.where("bin > 0").select("slice", "bin", "rank", "before", "n").join(places.select("slice", "bin", "cut"), ["slice", "bin"])
+    rests = rests.groupBy("slice", "bin").agg(F.min(late[0]).alias("early"), F.coalesce(F.sum(late[1]), F.lit(0)).alias("late"))
+    rests = saved(rests.withColumn("above", above("late")), "rests")
+    stream = np.zeros(bins, np.int64)
+    for r in rests.groupBy("bin").agg(F.sum("late").alias("late")).collect():
+        stream[r.bin] = r.late
+    plan.stream(int(stream.sum()))
+    shift = by_bin(np.cumsum(stream) - stream) + F.col("above") - F.col("early")
+    known = saved(places.join(rests.select("slice", "bin", shift.alias("shift")), ["slice", "bin"], "left"), "places")
+    held = spark.sparkContext.broadcast(plan)  # of one size, whatever the documents
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, cut, ranks, fulls, shift = known.value
+        plan = held.value
         schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
         for b in batches:
             out: list[tuple] = []
-            for s, k, ids, n, before, at, rank, cum in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                pieces = [(i * window, window, int(fulls[s]) + before + i, 0) for i in range(n // window)]
+            for k, ids, n, before, at, rank, cum, cut, ranks, fulls, shift in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pieces = [(i * window, window, fulls + before + i, 0) for i in range(n // window)]
                 base = n // window * window
-                if at and rank < cut[s, at]:
-                    pieces.append((base, n - base, *plan.place(at, int(ranks[s, at]) + rank)))
+                if at and rank < cut:
+                    pieces.append((base, n - base, *plan.place(at, ranks + rank)))
                 elif at:
-                    where = int(shift[s, at]) + cum
+                    where = shift + cum
                     pieces += [(base + x, m, q, where + x) for x, m, q in plan.cuts(where, n - base)]
                 own = np.frombuffer(ids, np.uint16).astype("<u4")
                 out += [(k, x, m, zlib.crc32(own[x : x + m].tobytes()), n, q, slot) for x, m, q, slot in pieces]
             yield batch(schema, list(map(list, zip(*out, strict=True)))) if out else batch(schema, [[]] * len(schema))
 
-    pieces = tokens.select("slice", "id", "ids", "n", "full_before", "bin", "rank", "before").mapInArrow(lay, PIECES)
+    # sent to all machines only where Spark finds the saved table small enough (spark.sql.autoBroadcastJoinThreshold)
+    pieces = tokens.join(known, ["slice", "bin"]).select("id", "ids", "n", "full_before", "bin", "rank", "before", "cut", "ranks", "fulls", "shift").mapInArrow(lay, PIECES)
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot")

@@ -191,6 +191,21 @@ def test_packing_of_nothing_and_of_equal_rows(spark):
     assert sum(r.length for r in got) == 15 and len({(r.sequence_id, r.offset) for r in got}) == len(got)  # cut at powers of two
 
 
+def test_packing_of_an_empty_table(spark):
+    path = pytest.importorskip("public_tokenizers").path(TOKENIZER)
+    assert packing.pack(docs(spark, [(1, "a")]).where("false"), path).count() == 0
+
+
+def test_merges_agree_with_the_tokenizer_on_random_words():
+    path = pytest.importorskip("public_tokenizers").path(TOKENIZER)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCÀÉéüß" if i % 3 else "abc.,'-0179é你") for _ in range(rnd.randint(1, 14))) for i in range(5000)]
+    tokens = packing.Tokens(path)
+    got = list(tokens([w.encode() for w in words]))
+    want = tokens.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [e.ids for e in want]
+
+
 def test_least_squares_meet_a_histogram():
     histogram = np.zeros(257, np.int64)
     histogram[[64, 128, 192, 200]] = [1000, 300, 500, 7]

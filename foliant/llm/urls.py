@@ -14,10 +14,21 @@ from pyspark.sql import functions as F
 
 from .common import batch, spread
 
-# Rules (verdict, host, path) and vocabularies.
+# Rules (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-STRICT = ("bestiality", "casino", "cialis", "escorts", "gangbang", "hentai", "porn", "porno", "viagra", "warez", "xxx")
-SOFT = {"adult": 1.0, "bet": 1.0, "bonus": 1.0, "cams": 1.0, "cheap": 1.0, "crack": 1.0, "dating": 1.0, "discount": 1.0, "free": 1.0, "hot": 1.0, "keygen": 1.0, "loan": 1.0, "nude": 1.0, "pills": 1.0, "poker": 1.0, "replica": 1.0, "sex": 1.0, "slots": 1.0, "spam": 1.0, "torrent": 1.0, "win": 1.0}
+# Words that have hardly any harmless use in a URL.
+STRICT = tuple(
+    """bestiality blowjob camgirls camsex casino casinos cialis creampie cumshot escorts fleshlight gangbang handjob hardcoreporn hentai keygens
+    levitra milf milfs onlinecasino porn pornhub porno pornos pornstar pornstars redtube serialz sexcam sexcams sextube viagra warez xhamster xnxx xvideos xxx""".split()
+)
+# Words that tell something only in company, graded by how much: 0.5 for words of everyday use, 1.0 for
+# words of trades that such pages share with others, 1.5 for words that are mostly theirs.
+SOFT = {
+    0.5: "bet bonus cheap deal discount download free full girls hot live money offer online spam win winner",
+    1.0: "adult betting cams chat crack cracked dating jackpot loan loans payday pharmacy pills replica rolex slots tablet torrent torrents webcam xanax",
+    1.5: "bdsm blackjack erotic escort fetish gambling keygen lingerie nude nudes poker roulette sex sexy steroids tramadol valium",
+}
+SOFT = {term: weight for weight, terms in SOFT.items() for term in terms.split()}
 SOFT_WEIGHT = 2.0
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -71,8 +82,9 @@ def best_rule(rules: dict[str, list[tuple[str, str]]], host: str, path: str) ->
 def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_weight: float = SOFT_WEIGHT) -> DataFrame:
     """Per row: host, path, the rule that decided (null if none), the vocabulary's terms, verdict.
 
-    A null url, or one without `://`, has empty host and path, fits no rule and is judged by its terms (none in a null).
-    Duplicate rows stay; rules and terms are parameters of fixed size.
+    Of rules of equal length that fit, the one of the longer host counts. Very long urls are searched whole; a repeated
+    term counts once. A null url, or one without `://`, has empty host and path, fits no rule and is judged by its terms (none in a null).
+    Repeated rows stay, no rows give none, other columns are ignored; rules and terms are parameters of fixed size.
     """
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, host, path in rules:
@@ -102,10 +114,11 @@ def oracle_sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in ordered)
     verdict = " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in ordered)
-    strict, soft = " or ".join(map(near, STRICT)), " + ".join(f"{near(t)}::int" for t in SOFT)
+    strict, soft = " or ".join(map(near, STRICT)), " + ".join(f"{near(t)}::int * {w}" for t, w in SOFT.items())
+    several = " + ".join(f"{near(t)}::int" for t in SOFT)
     return f"""
     with a as (select page_id, coalesce(url, '') u, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
     b as (select *, regexp_extract(rest, '^[^/?#]*') h0 from a),
     c as (select page_id, {lower.format("u")} l, {lower.format("h0")} host, regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') path from b)
     select page_id, host, path, case {rule} else null end as rule,
-      case {verdict} when {strict} then 'block' when ({soft}) >= 2 then 'block' else 'allow' end as verdict from c"""
+      case {verdict} when {strict} then 'block' when ({several}) >= 2 and ({soft}) >= {SOFT_WEIGHT} then 'block' else 'allow' end as verdict from c"""

@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -112,10 +113,15 @@ class Scorer:
         for last, (n, w) in self.automaton.iter(folded):
             start = last + 1 - n
             if not w:
-                masks.append((start, last))
+                while masks and masks[-1][0] >= start:  # inside this one
+                    masks.pop()
+                if not masks or last > masks[-1][1]:
+                    masks.append((start, last))
             elif start not in best or w > best[start][1]:
                 best[start] = last + 1, w
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s < b for a, b in masks)]
+        starts = [a for a, _ in masks]  # ends ascend with them
+        inside = lambda s: (i := bisect_right(starts, s)) > 0 and s < masks[i - 1][1]
+        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not inside(s)]
 
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)
@@ -144,7 +150,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", fit_rows: int = FIT_ROWS, seed=SEED, exceptions=EXCEPTIONS) -> Model:
     """Lexicon and logistic function from labelled rows that aren't held out, at most fit_rows of them.
 
-    Null labels and ids don't count; of an id's labels, and of equal texts, the largest holds and counts once. Without toxic and clean rows the seed remains.
+    Null labels and ids don't count; of an id's labels, and of equal texts, the largest holds and counts once. Without toxic
+    and clean rows the seed remains. Ties among the smallest hashes go by id. Empty tables leave the seed.
     """
     out = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~out)
@@ -194,7 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, score, predicted. Null counts as empty; empty texts get the score of no hit; a null id isn't held out."""
+    """Per row: id, held_out, score, predicted. Null counts as empty; empty texts get the score of no hit; a null id isn't held out.
+
+    Whole texts are scanned; equal texts have equal scores, repeated rows stay, no rows give none, other columns are ignored.
+    """
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +217,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def score_column(model: Model, text: Column) -> Column:
-    """The score of a column of texts, for filters that keep a table's other columns."""
+    """The score of a column of texts, for filters that keep a table's other columns. A null text is scored as an empty one."""
 
     @F.arrow_udf("double")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -1,7 +1,7 @@
 """Secret scan: named patterns, and a battery of randomness tests on what looks like encoded bytes.
 
-Runs of encoding characters are tested against two descriptions. Under "random" the symbols are uniform over the
-inferred alphabet: chi-squared over binned symbols, Wald-Wolfowitz runs about the alphabet's middle and lag-one serial
+Runs of 16 encoding characters and more are tested against two descriptions. Under "random" the symbols are uniform over
+the inferred alphabet: chi-squared over the alphabet, Wald-Wolfowitz runs about its middle and lag-one serial
 correlation each give a p-value, joined by Fisher's rule. "Ordinary text" is a chain over the kinds of symbols (small,
 capital, digit, mark) with the frequencies of letters within a kind. The likelihood of a run as text over that as even
 symbols of its alphabet bounds the chance that text looks as random as the run, at any length and for each alphabet
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import batch, spread, text_of
 
 KINDS = ("assign", "access", "hex", "random")
-FALSE_DISCOVERY, RANDOM_P, MIN_RUN = 0.02, 0.01, 20
+FALSE_DISCOVERY, RANDOM_P, MIN_RUN = 0.02, 0.01, 16
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
@@ -66,7 +67,7 @@ def encoding(run: str) -> str | None:
     return next((k for k, v in _INDEX.items() if own <= v.keys()), None)
 
 
-def _chi2_tail(x: float, dof: int) -> float:
+def _chi2_tail(x: float, dof: float) -> float:
     """Upper tail by the Wilson-Hilferty cube root."""
     if x <= 0:
         return 1.0
@@ -74,6 +75,15 @@ def _chi2_tail(x: float, dof: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _uneven_p(chi: float, size: int, n: int) -> float:
+    """Two-sided p-value of chi-squared of n even draws of size symbols, as too even is no chance either: by a gamma law
+    with the statistic's exact mean and variance, which few draws of many symbols need (the usual law holds only for many
+    draws of each). Half a step is taken off for the statistic's lattice."""
+    mean, var = size - 1, 2 * (size - 1) * (n - 1) / n
+    above, step = lambda x: _chi2_tail(x * 2 * mean / var, 2 * mean * mean / var), size / n
+    return min(1.0, 2 * min(above(chi - step), 1 - above(chi + step)))
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -109,14 +119,9 @@ def battery(run: str) -> dict | None:
     if kind is None:
         return None
     alphabet, n = _ALPHABETS[kind], len(run)
-    at, size, bins = [_INDEX[kind][c] for c in run], len(alphabet), max(3, min(len(alphabet) // 2, n // 5))
-    counts, share = [0] * bins, [0] * bins
-    for i in range(size):
-        share[i * bins // size] += 1
-    for i in at:
-        counts[i * bins // size] += 1
-    chi = sum((c - n * s / size) ** 2 / (n * s / size) for c, s in zip(counts, share, strict=True))
-    p_chi = _chi2_tail(chi, bins - 1)
+    at, size = [_INDEX[kind][c] for c in run], len(alphabet)
+    chi = size / n * sum(c * c for c in Counter(at).values()) - n
+    p_chi = _uneven_p(chi, size, n)
     high = [2 * i >= size for i in at]
     a = sum(high)
     b = n - a
@@ -140,10 +145,7 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], rate: float = FAL
     for m in _RUN.finditer(text):
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
-        run = m.group()
-        if not any(c.isdigit() for c in run) or run.count("/") + run.count("-") + run.count("_") > len(run) // 6:
-            continue  # words and paths
-        if got := battery(run):
+        if got := battery(m.group()):
             tested.append((got["p_text"], got["p_random"], m.start(), m.end()))
     tested.sort()
     most = max((i for i, x in enumerate(tested, 1) if x[0] <= rate * i / len(tested)), default=0)
@@ -177,7 +179,8 @@ def redact(text: str, spans, mark: str = "[SECRET]") -> str:
 def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: its spans and, with_text, the text with every span replaced.
 
-    Null counts as empty; an empty text has no spans; repeated rows stay. Whole texts are scanned.
+    Null counts as empty; an empty text has no spans; repeated rows stay, no rows give none. Whole texts are scanned,
+    however long; spans that begin at one place are in the order of KINDS. Other columns are ignored.
     """
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
     schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(span))] + [("redacted", pa.string())] * with_text)
@@ -194,7 +197,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redacted_column(text: Column) -> Column:
-    """A column of texts with every span replaced; nulls stay."""
+    """A column of texts with every span replaced; nulls and empty texts stay, equal texts come out equal."""
 
     @F.arrow_udf("string")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -63,6 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def fragments(spark: SparkSession) -> int:
     """Fragments of a hash order: as many as the cluster's operator gives shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,53 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import common, decontaminate, jaccard, packing, secrets, toxicity
-from foliant.shipping import ship
+from foliant.llm import common
+from foliant.llm.stages import STAGES
 
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator, fitted on the labels of these documents, doesn't reject."""
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score_column(model, F.col("text")) < 0.5)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; of repeated rows one; rows without an id stay."""
-    found = jaccard.near_duplicates(docs.where("doc_id is not null"))
-    kept = docs.join(found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.col("source").asc_nulls_last())
-    kept = kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in passages of the benchmark."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret and the length brought up to date."""
-    ship(spark)
-    text = secrets.redacted_column(F.col("text"))
-    return docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
-
-
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack_sequences)]
 #: No stage is expressible in SQL: a fitted lexicon, exact Jaccard over all texts, automata, tests and tokenizers.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that all stages keep. Nulls, empty texts and repeated rows as the stages say; no documents give no pieces."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.saved(stage(spark, docs, sf_dir), name)

@@ -1,108 +1,109 @@
-"""Amounts as text and as whole cents."""
+"""Amounts as text, as whole cents and in words."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import col, strip, value
 
-# Capital numerals and units of amounts in words.
+# Numerals, units and magnitudes of amounts in words, and signs around them that say nothing.
 NUMERALS, UNITS, GROUPS = "零壹贰叁肆伍陆柒捌玖", ("", "拾", "佰", "仟"), ("", "万", "亿", "万亿")
-_DIGITS = {c: i for i, c in enumerate(NUMERALS)} | {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"两": 2}
+_DIGITS = {"壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "零": 0, "〇": 0}
 _TENS = {"拾": 10, "十": 10, "佰": 100, "百": 100, "仟": 1000, "千": 1000}
+_MAGNITUDES = {"万": 10_000, "亿": 100_000_000}
+_NOISE = "人民币（()）:： ,，.。￥¥"
+_D, _T = "".join(_DIGITS), "".join(_TENS)
+_FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+#: Cells that stand for no amount. Fixed values.
+EMPTY_CELLS = ("", "—", "-", "–", "/", "－", "——")
 
 
 def clean_amount(x: Column | str) -> Column:
-    """Without currency signs and thousands marks, where a number remains; else as it was."""
+    """Without currency signs, thousands marks and blanks, where a number remains; else as it was."""
     s = strip(x)
-    bare = F.regexp_replace(s, "[￥¥,，元\\s]", "")
+    bare = F.regexp_replace(F.regexp_replace(s, "[￥¥,， \u3000]", ""), "元$", "")
     return F.when(bare.rlike(r"^-?\d+(?:\.\d+)?$"), bare).otherwise(s)
 
 
 def normalize_amount(x: Column | str) -> Column:
-    """Two decimals: the last two of a string of digits are the decimals; what isn't an amount stays."""
-    s = clean_amount(x)
-    padded = F.lpad(s, F.greatest(F.length(s), F.lit(3)), F.lit("0"))
-    whole = F.regexp_replace(F.substring(padded, F.lit(1), F.length(padded) - 2), "^0+(?=\\d)", "")
-    return F.when(s.rlike(r"^\d+$"), F.concat(whole, F.lit("."), F.right(padded, F.lit(2)))).when(s.rlike(r"^-?\d+\.\d+$"), s.try_cast("decimal(28,2)").cast("string")).otherwise(s)
+    """Two decimals: the last two of a string of digits are the decimals, and its zeros stay; of other numbers ties go
+    up in size; what is no number stays as it was, null is blank. Commas alone are taken out."""
+    s = F.regexp_replace(value(x), "[,，]", "")
+    few, many = F.concat(F.lit("0."), F.lpad(s, 2, "0")), F.concat(F.left(s, F.length(s) - 2), F.lit("."), F.right(s, F.lit(2)))
+    return F.when(s.rlike(r"^\d+$"), F.when(F.length(s) <= 2, few).otherwise(many)).when(s.rlike(_FLOAT), s.try_cast("decimal(38,2)").cast("string")).otherwise(value(x))
+
+
+def cell_amount(x: Column | str) -> Column:
+    """An amount in a table's cell with two decimals (whole numbers are whole amounts); marks for none are blank, other text stays."""
+    s = strip(F.regexp_replace(value(x), "[,，元]", ""))
+    return F.when(s.isin(*EMPTY_CELLS), "").when(s.rlike(_FLOAT), s.try_cast("decimal(38,2)").cast("string")).otherwise(value(x))
 
 
 def to_cents(x: Column | str) -> Column:
-    """Whole cents, halves to even; null where it isn't a number."""
-    return F.bround(clean_amount(x).try_cast("decimal(28,6)") * 100, 0).cast("long")
+    """Whole cents, halves to even; null where it isn't a number. Commas alone are taken out."""
+    s = F.regexp_replace(value(x), "[,，]", "")
+    return F.when(s.rlike(_FLOAT), F.bround(s.try_cast("decimal(38,8)") * 100, 0).cast("long"))
 
 
 def parse_words(text: str | None) -> float | None:
-    """The number that an amount in capital numerals names; None if a sign isn't one."""
+    """The number that an amount names; None if a sign in it means nothing.
+
+    An amount is `whole 元 tenths 角 hundredths 分`; a whole is sections, each behind all of which its magnitude multiplies;
+    a section is digits before units (none counts one), and a last digit. A string of digits has two implied decimals.
+    """
+    text = (text or "").strip()
     if not text:
         return None
-    text = text.strip().removesuffix("整").removesuffix("正").replace("圆", "元").removeprefix("人民币")
-    whole, _, rest = text.partition("元") if "元" in text else ("", "", text) if ("角" in text or "分" in text) else (text, "", "")
-    total = group = digit = 0
-    for c in whole:
-        if c in _DIGITS:
-            digit = _DIGITS[c]
-        elif c in _TENS:
-            group, digit = group + (digit or 1) * _TENS[c], 0
-        elif c == "万":
-            total, group, digit = total + (group + digit) * 10_000, 0, 0
-        elif c == "亿":
-            total, group, digit = (total + group + digit) * 100_000_000, 0, 0
-        else:
-            return None
-    total, cents, digit = total + group + digit, 0, 0
-    for c in rest:
-        if c in _DIGITS:
-            digit = _DIGITS[c]
-        elif c in "角分":
-            cents, digit = cents + digit * (10 if c == "角" else 1), 0
-        else:
-            return None
-    return total + cents / 100
-
-
-def in_words(cents: int | None) -> str | None:
-    """An amount in capital numerals."""
-    if cents is None:
+    if not re.search(f"[{_D}{_T}万亿元圆角分]", text) and (digits := re.search(r"\d[\d.]*", re.sub("[,，]", "", text))):
+        return int(digits[0].replace(".", "")) / 100
+    text = text.translate({ord(c): None for c in _NOISE})
+    if not text or not re.fullmatch(f"[{_D}{_T}万亿元圆角分整正]+", text):
         return None
-    sign, cents = ("负", -cents) if cents < 0 else ("", cents)
-    whole, jiao, fen = cents // 100, cents // 10 % 10, cents % 10
-    out, gap = "", False
-    for i in range((len(str(whole)) - 1) // 4, -1, -1):
-        part = whole // 10_000**i % 10_000
-        if not part:
-            gap = bool(out)
-            continue
-        text, zero = "", (gap or part < 1000) and bool(out)
-        for j in range(3, -1, -1):
-            d = part // 10**j % 10
-            if d:
-                text += ("零" if zero else "") + NUMERALS[d] + UNITS[j]
-                zero = False
-            elif text:
-                zero = True
-        out, gap = out + text + GROUPS[i], False
-    tail = (NUMERALS[jiao] + "角" if jiao else "零" if fen and whole else "") + (NUMERALS[fen] + "分" if fen else "")
-    return sign + (f"{out}元" if whole else "" if tail else "零元") + (tail or "整")
+    text = re.sub("[整正]", "", text)
+    *_, whole, _ = ["", *re.split("[元圆]", text)] if re.search("[元圆]", text) else ["", text, ""]
+    total = 0
+    for section, magnitude in re.findall("([^万亿]*)([万亿]?)", re.sub(f"[{_D}]?[角分]", "", whole)):
+        total += sum((_DIGITS[d[-1]] if d else 1) * _TENS[u] for d, u in re.findall(f"([{_D}]*)([{_T}])", section))
+        last = re.search(f"[{_D}]$", section)
+        total = (total + (_DIGITS[last[0]] if last else 0)) * _MAGNITUDES.get(magnitude, 1)
+    part = {u: _DIGITS.get((re.findall(f"([{_D}]?){u}", text) or [""])[-1], 0) for u in "角分"}
+    return round(total + part["角"] / 10 + part["分"] / 100, 2)
 
 
 def words_to_amount(x: Column | str) -> Column:
+    """parse_words for a column; each different text of a batch is read once."""
+
     @F.pandas_udf("double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for own in batches:
-            yield own.map(parse_words).astype("float64")
+            yield own.map({t: parse_words(t) for t in own.dropna().unique()}).astype("float64")
 
     return parse(col(x))
 
 
-def cents_in_words(x: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def write(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in batches:
-            yield own.map(lambda c: None if pd.isna(c) else in_words(int(c)))
+def _section(n: Column) -> Column:
+    """Four digits in words: zeros between others are one, before and behind none."""
+    digits = [F.floor(n / 10**i) % 10 for i in (3, 2, 1, 0)]
+    said = [F.when(d > 0, F.concat(F.substring(F.lit(NUMERALS), (d + 1).cast("int"), F.lit(1)), F.lit(UNITS[3 - i]))).otherwise("零") for i, d in enumerate(digits)]
+    return F.regexp_replace(F.regexp_replace(F.concat(*said), "零+", "零"), "^零|零$", "")
+
+
+def cents_in_words(cents: Column | str) -> Column:
+    """An amount in capital numerals, without regard to its sign; null from ten quadrillions up.
 
-    return write(col(x))
+    A section of no digits between others is a zero; one that begins with zeros isn't marked.
+    """
+    c = F.abs(col(cents))
+    whole, tenths, rest = F.floor(c / 100), F.floor(c / 10) % 10, c % 10
+    out = []
+    for i in (3, 2, 1, 0):
+        own = F.floor(whole / 10 ** (4 * i)) % 10_000
+        out.append(F.when(own > 0, F.concat(_section(own), F.lit(GROUPS[i]))).when((whole >= 10 ** (4 * i + 4)) & (whole % 10 ** (4 * i) > 0), "零").otherwise(""))
+    said = lambda d, unit: F.when(d > 0, F.concat(F.substring(F.lit(NUMERALS), (d + 1).cast("int"), F.lit(1)), F.lit(unit))).otherwise("")
+    tail = F.when((tenths == 0) & (rest == 0), "整").when(rest == 0, F.concat(said(tenths, "角"), F.lit("整"))).otherwise(F.concat(F.when((tenths == 0) & (whole > 0), "零").otherwise(said(tenths, "角")), said(rest, "分")))
+    return F.when(c == 0, "零元整").when(whole < 10**16, F.concat(F.when(whole > 0, F.concat(*out, F.lit("元"))).otherwise(""), tail))

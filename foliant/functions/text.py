@@ -12,9 +12,12 @@ ABSENT = ("未见", "未出现")
 _SPACE = r"[\s\x1c-\x1f]"
 # Dates with the year first or last.
 DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}"
-# A cell of digits and signs alone; a code of letters, digits and joints; lines that hold a page number.
+# A cell of digits and signs alone; lines that hold a page number and nothing else.
 SKIPPABLE = r"(?U)^[\d\s/\-:.,()%¥$€£#&+＋]+$"
-PAGE_LINES = (r"(?U)^\s*\d+\s*$", r"(?U)^\s*[-–—]\s*\d+\s*[-–—]\s*$", r"(?U)^\s*第\s*\d+\s*页(?:\s*[/共]\s*\d+\s*页?)?\s*$", r"(?Ui)^\s*page\s+\d+(?:\s*(?:of|/)\s*\d+)?\s*$")
+PAGE_LINES = (r"(?Ui)^page\s*\d+(?:\s*(?:of|/)\s*\d+)?$", r"(?U)^第\s*\d+\s*页(?:\s*[,，]?\s*共\s*\d+\s*页)?$", r"(?U)^\d+\s*/\s*\d+$", r"(?U)^[-—–]\s*\d+\s*[-—–]$")
+# Months in file names, a range and a single one.
+MONTHS = r"(\d{4})年\s*(\d{1,2})\s*月?\s*[-—~至到]\s*(?:\d{4}年\s*)?(\d{1,2})\s*月"
+MONTH = r"(\d{4})年(\d{1,2})月"
 
 
 def col(x: Column | str) -> Column:
@@ -44,10 +47,10 @@ def cell(x: Column) -> Column:
     return F.coalesce(F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")), F.lit(""))
 
 
-def with_dates_marked(x: Column | str) -> Column:
-    """Dates replaced by placeholders numbered from the left: {D0}, {D1}, ..."""
+def with_dates_marked(x: Column | str, before: str = "{D", after: str = "}", first: int = 0) -> Column:
+    """Dates replaced by placeholders numbered from the left: {D0}, {D1}, ..., or what stands before and after a number."""
     parts = F.split(x, DATE, -1)
-    numbered = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("{D"), (i - 1).cast("string"), F.lit("}"), p)))
+    numbered = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(before), (i - 1 + first).cast("string"), F.lit(after), p)))
     return F.array_join(numbered, "")
 
 
@@ -56,8 +59,8 @@ def dates(x: Column | str) -> Column:
     return F.regexp_extract_all(x, F.lit(f"({DATE})"), F.lit(1))
 
 
-def with_dates_restored(x: Column | str, found: Column | str) -> Column:
-    marked = F.transform(found, lambda d, i: F.struct(F.concat(F.lit("{D"), i.cast("string"), F.lit("}")).alias("mark"), d.alias("date")))
+def with_dates_restored(x: Column | str, found: Column | str, before: str = "{D", after: str = "}", first: int = 0) -> Column:
+    marked = F.transform(found, lambda d, i: F.struct(F.concat(F.lit(before), (i + first).cast("string"), F.lit(after)).alias("mark"), d.alias("date")))
     return F.aggregate(marked, col(x), lambda text, m: F.replace(text, m["mark"], m["date"]))
 
 
@@ -71,42 +74,85 @@ def is_skippable(x: Column | str) -> Column:
 
 
 def is_page_line(x: Column | str) -> Column:
-    return reduce(lambda a, b: a | b, [col(x).rlike(p) for p in PAGE_LINES])
+    return reduce(lambda a, b: a | b, [strip(x).rlike(p) for p in PAGE_LINES])
 
 
 def is_code(x: Column | str) -> Column:
-    """Codes keep their spelling: no blanks, at least one digit or only capitals, of letters, digits and joints."""
-    c = col(x)
-    return c.rlike(r"(?U)^[\p{L}\d][\p{L}\d._/#\-]*$") & (c.rlike(r"(?U)\d") | (c.rlike(r"(?U)^[\p{Lu}._/#\-]+$") & (F.length(c) > 1)))
+    """Texts that need no rendering: any without a letter; else eight characters or more without a blank, with two digits
+    or more and all letters capital. Blanks are none."""
+    c = value(x)
+    spelt = ~c.rlike(f"(?U){_SPACE}") & (F.length(c) >= 8) & (F.regexp_count(c, F.lit(r"(?U)\d")) >= 2) & ~c.rlike(r"[\p{L}&&[^\p{Lu}]]")
+    return (c != "") & (~c.rlike(r"\p{L}") | spelt)
 
 
 def fidelity(source: Column | str, target: Column | str, placeholder: str = r"\{D\d+\}") -> Column:
-    """What is wrong with a rendering of a text, first in this order; `ok` if nothing."""
-    s, t = strip(source), strip(target)
-    lost = lambda pattern: F.size(F.filter(F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1)), lambda x: ~F.contains(t, x))) > 0
-    letters = s.rlike(r"(?U)\p{L}")
+    """What is wrong with a rendering of a text, the first of this order, with what is missing behind a colon; `ok` if nothing.
+
+    Placeholders and strings of digits must all be there; a text without letters must stay as it is; of a text of two
+    English words or more a rendering without a Chinese sign may keep less than six tenths; a text of 60 characters or
+    more may shrink to three tenths.
+    """
+    s, t = value(source), value(target)
+    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    missing = lambda xs: F.get(F.filter(xs, lambda x: ~F.contains(t, x)), F.lit(0))
+    words = lambda x: F.regexp_count(x, F.lit("[A-Za-z]{2,}"))
+    mark, number = missing(found(s, placeholder)), missing(found(F.regexp_replace(s, placeholder, ""), r"(?U)\d+"))
+    kept = (words(s) >= 2) & ~t.rlike("[\u4e00-\u9fff]") & (words(t) >= F.greatest(F.lit(2), F.floor(words(s) * 0.6)))
     return (
-        F.when(F.coalesce(t, F.lit("")) == "", "empty")
-        .when(lost(placeholder), "missing_placeholder")
-        .when(lost(r"\d+(?:[.,]\d+)*"), "missing_number")
-        .when(~letters, "ok")
-        .when((s == t) & ~is_code(s) & (F.length(s) > 3), "untranslated")
-        .when((F.length(s) >= 40) & (F.length(t) * 5 < F.length(s)), "truncated")
+        F.when(s == "", "ok")
+        .when(t == "", "empty")
+        .when(mark.isNotNull(), F.concat(F.lit("missing_placeholder:"), mark))
+        .when(number.isNotNull(), F.concat(F.lit("missing_number:"), number))
+        .when(~s.rlike("[A-Za-z\u4e00-\u9fff]") & (s != t), "not_identical")
+        .when(kept, "untranslated")
+        .when((F.length(s) >= 60) & (F.length(t) < F.length(s) * 0.3), "truncated")
         .otherwise("ok")
     )
 
 
-def year_month(name: Column | str) -> tuple[Column, Column]:
-    """Year and month (padded) of a file name such as `2023-4.csv` or `2023年11月-2024年1月.xlsx`: of a range its start; blank if none."""
-    pattern = r"(?<!\d)(\d{4})\s*[年.\-_/]\s*(0?[1-9]|1[0-2])(?!\d)"
-    year, month = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
-    return year, F.when(month == "", "").otherwise(F.lpad(month, 2, "0"))
+#: What to say when a rendering is asked for again, by the kind of the reason.
+HINTS = {
+    "empty": "There was no answer before.",
+    "truncated": "The answer before was cut. Render the whole text.",
+    "not_identical": "There is nothing to render in the text. Give it back as it is, sign by sign.",
+    "missing_number": "The answer before lost numbers of the text. Keep every number as it is.",
+    "missing_placeholder": "The answer before lost a placeholder. Keep every placeholder as it is.",
+    "untranslated": "The text came back untranslated. Render all of it, names and headings too; only codes stay.",
+}
+
+
+def retry_prompt(source: Column | str, reason: Column | str, hints: dict[str, str] | None = None) -> Column:
+    """The text behind a hint for its reason; the text alone where there is none for it."""
+    said = F.create_map(*[F.lit(x) for pair in (hints or HINTS).items() for x in pair])[F.split_part(col(reason), F.lit(":"), F.lit(1))]
+    return F.when(said.isNotNull(), F.concat(said, F.lit("\nSource: "), col(source))).otherwise(col(source))
+
+
+def year_month(path: Column | str) -> tuple[Column, Column, Column]:
+    """Year, month and last month (padded) of a file name such as `2023年4月.csv` or `2023年11月-2024年1月.xlsx`; blank if there is none.
+
+    The sign of the year is required, and that of the (last) month.
+    """
+    name = basename(path)
+    pad = lambda m: F.when(m == "", "").otherwise(F.lpad(m, 2, "0"))
+    ranged = name.rlike(MONTHS)
+    pick = lambda i: F.when(ranged, F.regexp_extract(name, MONTHS, i)).otherwise(F.regexp_extract(name, MONTH, i))
+    return pick(1), pad(pick(2)), F.when(ranged, pad(F.regexp_extract(name, MONTHS, 3))).otherwise("")
 
 
 def basename(path: Column | str) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def stem(path: Column | str) -> Column:
+    """The file name without its suffix; a leading point begins none."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]+$", "")
+
+
+def suffix(path: Column | str) -> Column:
+    """The suffix in small letters, with its point; blank if there is none."""
+    return F.lower(F.regexp_extract(basename(path), r"(?<=.)(\.[^.]+)$", 1))
+
+
 def masked_key(key: Column | str) -> Column:
     return F.concat(F.lit("****"), F.right(key, F.lit(4)))
 

@@ -67,15 +67,15 @@ def cached_pages(cache: DataFrame, fingerprint_: str | None = None) -> DataFrame
 
 
 def union_stores(stores: Sequence[DataFrame], path: str = "source_path") -> DataFrame:
-    """Rows of several stores with source file, year and month, ordered by month; files without one come last."""
+    """Rows of several stores with source file, year and month (`09-10` for a range), ordered by the first month; files without one come last."""
     out = None
     for i, s in enumerate(stores):
         own = s.withColumn("store", F.lit(i))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    name = basename(path)
-    year, month = year_month(name)
-    out = out.withColumn("source_file", name).withColumn("year", year).withColumn("month", month)
-    return out.orderBy(F.coalesce(F.col("year").try_cast("int"), F.lit(9999)), F.coalesce(F.col("month").try_cast("int"), F.lit(99)), "store", path)
+    year, month, last = year_month(path)
+    out = out.withColumn("source_file", basename(path)).withColumn("year", year)
+    out = out.withColumn("month", F.when(last == "", month).otherwise(F.concat(month, F.lit("-"), last)))
+    return out.orderBy(F.coalesce(year.try_cast("int"), F.lit(9999)), F.coalesce(month.try_cast("int"), F.lit(99)), "store", path)
 
 
 def fill_key(rows: DataFrame, key: str, keys: Sequence[str], order: Sequence[str], marks: tuple[str, ...] = ABSENT) -> DataFrame:
@@ -133,3 +133,37 @@ def inherit(rows: DataFrame, fields: Sequence[str], is_head: Column, by: Sequenc
     """Fields of the first head record of a page on all of its rows."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumns({f: F.first(F.when(is_head, F.col(f)), ignorenulls=True).over(w) for f in fields})
+
+
+def first_main(rows: DataFrame, is_main: Column, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of a page's main records the first stays and later ones go; its other records stay."""
+    w = Window.partitionBy(*by, is_main).orderBy(*order)
+    return rows.withColumn("_nth", F.row_number().over(w)).where(~is_main | (F.col("_nth") == 1)).drop("_nth")
+
+
+def units_of(records: DataFrame, longest: int = 200, labels: tuple[str, str] = ("字段 (页码)", "值")) -> DataFrame:
+    """Records (source_path, page_number, seq, data as JSON) as cells of tables and as texts: unit_id, unit_type, row, col, value.
+
+    A source is a table: a header, then for each record a row of its page number and a row for each field, `field (pN)` and
+    the value. A value longer than that is a text unit of its own, `file·field·pN`, numbered from `#2` where that is taken.
+    Broken JSON has no fields; ties in page and seq go by the JSON text.
+    """
+    at = Window.partitionBy("source_path").orderBy("page_number", "seq", "data")
+    own = records.withColumn("_rec", F.row_number().over(at)).select("source_path", "page_number", "_rec", "seq", "data")
+    # entries of a JSON object in its own order, so that fields come as they were written
+    keys = F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>"))
+    text = F.coalesce(F.from_json("data", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    fields = own.withColumn("_map", text).select("source_path", "page_number", "_rec", F.posexplode(keys).alias("_n", "_field"), "_map")
+    cell = F.regexp_replace(F.coalesce(F.col("_map")[F.col("_field")], F.lit("")), r"^(-?\d+)\.0$", "$1")
+    fields = fields.select("source_path", "page_number", "_rec", "_n", "_field", cell.alias("_value"))
+    file, long = basename("source_path"), F.length("_value") > longest
+    lines = own.select("source_path", "_rec", F.lit(-1).alias("_n"), F.col("page_number").cast("string").alias("_a"), F.lit("").alias("_b"))
+    lines = lines.union(fields.where(~long).select("source_path", "_rec", "_n", F.concat("_field", F.lit(" (p"), F.col("page_number").cast("string"), F.lit(")")), "_value"))
+    lines = lines.union(own.select("source_path").distinct().select("source_path", F.lit(0), F.lit(-1), F.lit(labels[0]), F.lit(labels[1])))
+    row = F.row_number().over(Window.partitionBy("source_path").orderBy("_rec", "_n")) - 1
+    tables = lines.withColumn("row", row).select(file.alias("unit_id"), F.lit("table").alias("unit_type"), "row", F.posexplode(F.array("_a", "_b")).alias("col", "value"))
+    name = F.concat(file, F.lit("·"), "_field", F.lit("·p"), F.col("page_number").cast("string"))
+    texts = fields.where(long).withColumn("_name", name)
+    nth = F.row_number().over(Window.partitionBy("_name").orderBy("source_path", "_rec", "_n"))
+    texts = texts.select(F.when(nth == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("#"), nth.cast("string"))).alias("unit_id"), F.lit("text").alias("unit_type"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("_value").alias("value"))
+    return tables.union(texts)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 DONE = ("succeeded", "failed", "failed_review", "cancelled", "interrupted")
 STATUSES = ("queued", "running", *DONE, "paused")
 
@@ -40,15 +42,24 @@ def rerunnable(runs: DataFrame, file: str | Sequence[str], newest: Sequence[str]
     return found.where(~F.col("_ok") & F.col("last_status").isin("failed", "failed_review", "interrupted")).drop("_ok")
 
 
-def run_tree(runs: DataFrame, root: str, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """All runs below a root with their depth, deepest first."""
-    runs.createOrReplaceTempView("foliant_runs")
-    return runs.sparkSession.sql(
-        f"""WITH RECURSIVE tree(node, depth) AS (
-          SELECT {node}, 0 FROM foliant_runs WHERE {node} = {root}
-          UNION ALL SELECT r.{node}, t.depth + 1 FROM foliant_runs r JOIN tree t ON r.{parent} = t.node)
-        SELECT node, depth FROM tree ORDER BY depth DESC, node"""
-    )
+def run_tree(runs: DataFrame, roots: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """All runs below the roots (a column of that node's name) with their root and depth.
+
+    By doubling: each round every run jumps to the ancestor of its ancestor, so that a chain of n takes about log n rounds,
+    each a join. A cycle, which no root leads to, is left out, and adds no rounds to those that the longest chain could need.
+    """
+    up = runs.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    ends = roots.select(F.col(node).alias("node")).distinct().withColumn("_end", F.lit(True))
+    # at: the ancestor reached, depth: how far it is; a root is its own
+    reach = up.join(ends, "node", "left").select("node", F.when(F.col("_end"), F.col("node")).otherwise(F.col("up")).alias("at"), F.when(F.col("_end"), 0).otherwise(1).cast("long").alias("depth"))
+    reach = cut(reach.where("at is not null"))
+    for _ in range(reach.count().bit_length() + 1):
+        ahead = reach.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        moved = cut(reach.join(ahead, "at", "left").select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("_moved")))
+        reach = moved.drop("_moved")
+        if not moved.where("_moved").head(1):
+            break
+    return reach.join(ends.select(F.col("node").alias("at")), "at").select(F.col("at").alias("root"), "node", "depth")
 
 
 def claimable(tasks: DataFrame, gate: int, tool: str, created: Sequence[str], running: Column, queued: Column) -> DataFrame:
@@ -82,3 +93,125 @@ def failure_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fai
     marked = rows.withColumn("_f", failed).withColumn("_run", F.sum((~F.col("_f")).cast("int")).over(w))
     own = marked.where("_f").groupBy(*keys, "_run").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("_at"))
     return own.where(F.col("length") >= most).select(*keys, *[F.col(f"_at.{c}").alias(c) for c in order], "length")
+
+
+def newest(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """By key the newest row with all its columns."""
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def latest_progress(events: DataFrame, run: str = "run_id", message: str = "message", order: str = "event_id") -> DataFrame:
+    """By run the last message that there is."""
+    return events.where(F.col(message).isNotNull()).groupBy(run).agg(F.max_by(message, order).alias(message))
+
+
+def skips(events: DataFrame, run: str = "run_id") -> DataFrame:
+    """By run the steps that were skipped, with what they waited for, in the order of the events (kind, event_id, step_index, when)."""
+    own = events.where(F.col("kind") == "step_skipped").groupBy(run).agg(F.array_sort(F.collect_list(F.struct("event_id", "step_index", "when")), lambda a, b: F.when(a["event_id"] < b["event_id"], -1).otherwise(1)).alias("_x"))
+    return own.select(run, F.transform("_x", lambda x: F.struct(x["step_index"].alias("step_index"), x["when"].alias("when"))).alias("skips"))
+
+
+def skip_reason(when: Column | str, titles: Column | str | None = None) -> Column:
+    """Conditions (a map of path to JSON text) in words, joined; an input's title stands for its path."""
+    entry = F.map_entries(when)
+    said = F.col(titles) if isinstance(titles, str) else titles
+
+    def words(e: Column) -> Column:
+        path, wanted = e["key"], e["value"]
+        title = F.when(path.startswith("input."), F.try_element_at(said, F.substring(path, F.lit(7), F.length(path)))) if said is not None else F.lit(None).cast("string")
+        name = F.concat(F.lit("「"), F.coalesce(title, path), F.lit("」"))
+        return F.when(wanted.isin("@exists", '"@exists"'), F.concat(name, F.lit("无值（该步需要它）"))).when(wanted == "true", F.concat(F.lit("未开启"), name)).when(wanted == "false", F.concat(name, F.lit("需关闭"))).otherwise(F.concat(name, F.lit("需为 "), F.regexp_replace(wanted, '^"|"$', "")))
+
+    text = F.array_join(F.transform(entry, words), "；")
+    return F.when(F.coalesce(text, F.lit("")) == "", "条件未满足").otherwise(text)
+
+
+def light_outputs(tasks: DataFrame, output: str = "output") -> DataFrame:
+    """What a summary needs of an output (JSON text): paths, counts and lengths of lists, never the lists themselves."""
+    at = lambda p: F.get_json_object(output, f"$.{p}")
+    texts = lambda p: F.from_json(at(p), "array<string>")
+    reviews = F.coalesce(F.size(F.filter(texts("statuses"), lambda x: x == "review")), at("review_count").cast("int"))
+    size = lambda p: F.when(texts(p).isNotNull(), F.size(texts(p)))
+    return tasks.withColumns({"path": at("path"), "name": at("name"), "layered_file": at("layered_file"), "layered_name": at("layered_name"), "usage": at("usage"), "usage_by_model": at("usage_by_model"), "calls": at("calls").cast("int"), "cache_hits": at("cache_hits").cast("int"), "statuses_len": size("statuses"), "review_count": F.when(at("statuses").isNotNull() | at("review_count").isNotNull(), reviews), "failed_pages": size("failed_pages"), "records_count": at("records_count").cast("int"), "review_notes_count": size("review_notes")}).drop(output)
+
+
+def summaries(runs: DataFrame, tasks: DataFrame, skipped: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """By run: steps done (skipped ones too) of all, artifacts, calls, what was checked, and what went wrong.
+
+    tasks: run_id, step_index, status, created_at, event order `task_id`, output. The latest task of a step tells its status,
+    its latest success its output; counts come from the last step that has some, sums over all steps. skipped: of `skips`;
+    totals: pipeline_id, steps_total.
+    """
+    last = tasks.groupBy("run_id", "step_index").agg(F.max_by("status", F.struct("created_at", "task_id")).alias("status"))
+    done = last.groupBy("run_id").agg(F.count_if(F.col("status").isin("succeeded", "skipped")).alias("_done"))
+    good = tasks.where("status = 'succeeded'").groupBy("run_id", "step_index").agg(F.max_by("output", F.struct("created_at", "task_id")).alias("output"))
+    out = light_outputs(good)
+    step = F.col("step_index")
+    told = lambda cond, c: F.max_by(F.col(c), F.when(cond, step))
+    paid, checked = F.col("usage").isNotNull() | F.col("usage_by_model").isNotNull(), F.col("statuses_len").isNotNull() | F.col("review_count").isNotNull()
+    files = F.array(F.when(F.coalesce("path", F.lit("")) != "", F.struct(F.col("name").alias("name"), F.col("path").alias("path"))), F.when(F.coalesce("layered_file", F.lit("")) != "", F.struct(F.coalesce("layered_name", F.lit("可搜索.pdf")).alias("name"), F.col("layered_file").alias("path"))))
+    found = out.groupBy("run_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(step, F.filter(files, lambda x: x.isNotNull()).alias("own")))), lambda x: x["own"])).alias("artifacts"),
+        *[told(paid, c).alias(c) for c in ("usage", "usage_by_model", "calls", "cache_hits")],
+        *[told(checked, c).alias(f"_{c}") for c in ("statuses_len", "review_count")],
+        told(paid, "review_count").alias("_paid_reviews"),
+        F.max((paid | checked).cast("int")).alias("_any"),
+        F.sum("failed_pages").alias("failed_pages"),
+        F.sum("review_notes_count").alias("review_notes_count"),
+        told(F.col("records_count").isNotNull(), "records_count").alias("records_count"),
+    )
+    reviews = F.when(F.col("_any") == 1, F.coalesce("_review_count", "_paid_reviews", F.lit(0)))
+    found = found.withColumn("review_count", reviews).withColumn("ok_count", F.when(F.col("_statuses_len").isNotNull(), F.greatest(F.col("_statuses_len") - F.col("review_count"), F.lit(0))))
+    whole = runs.select("run_id", "pipeline_id").join(done, "run_id", "left").join(found.drop("_statuses_len", "_review_count", "_paid_reviews", "_any"), "run_id", "left")
+    whole = whole.join(skipped, "run_id", "left") if skipped is not None else whole.withColumn("skips", F.lit(None).cast("array<struct<step_index:int,when:string>>"))
+    whole = whole.join(totals, "pipeline_id", "left") if totals is not None else whole.withColumn("steps_total", F.lit(None).cast("int"))
+    return whole.withColumn("steps_done", F.coalesce("_done", F.lit(0)) + F.coalesce(F.size("skips"), F.lit(0))).drop("_done")
+
+
+# Suffixes of files that a run may hand out.
+ARTIFACTS = (".pdf", ".docx", ".xlsx", ".xls", ".txt", ".md", ".csv", ".zip")
+
+
+def artifacts(outputs: DataFrame, existing: DataFrame | None = None, final: bool = True, root: str | None = None) -> DataFrame:
+    """Files named in the outputs (run_id, step_index, output as JSON text) of a run's last step, or of all: key, name, path.
+
+    Any text but a name counts that is an absolute path below root with one of the suffixes, once for each run; existing
+    (path, size) drops what isn't there. A file `x_file` is called what `x_name` says, else what `name` does, else as it is.
+    """
+    last = F.max("step_index").over(Window.partitionBy("run_id"))
+    own = outputs.withColumn("_last", last).where(F.col("step_index") == F.col("_last")) if final else outputs
+    data = F.from_json("output", "map<string,string>")
+    rows = own.select("run_id", "step_index", data.alias("_map"), F.posexplode(F.map_entries(data)).alias("_at", "_e")).select("run_id", "step_index", "_map", "_at", F.col("_e.key").alias("key"), F.col("_e.value").alias("path"))
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    rows = rows.where((F.col("key") != "name") & ~F.col("key").endswith("_name") & ending.isin(*ARTIFACTS) & F.col("path").startswith("/"))
+    rows = rows if root is None else rows.where(F.col("path").startswith(root.rstrip("/") + "/"))
+    label = F.coalesce(F.try_element_at("_map", F.concat(F.regexp_replace("key", "_file$", ""), F.lit("_name"))), F.try_element_at("_map", F.lit("name")), F.element_at(F.split("path", "/"), -1))
+    rows = rows.withColumn("name", label).withColumn("_nth", F.row_number().over(Window.partitionBy("run_id", "path").orderBy("step_index", "_at"))).where("_nth = 1")
+    rows = rows if existing is None else rows.join(existing.select("path", "size"), "path")
+    return rows.select("run_id", "step_index", "key", "name", "path", *(["size"] if existing is not None else []))
+
+
+def reference_counts(runs: DataFrame, by: str = "pipeline_id") -> DataFrame:
+    """By pipeline: runs in all, and those that run or pause."""
+    return runs.groupBy(by).agg(F.count("*").alias("runs"), F.count_if(F.col("status").isin("running", "paused")).alias("active"))
+
+
+def without_trees(runs: DataFrame, tasks: DataFrame, tree: DataFrame, keep_tasks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs without those of the trees (node), and tasks without theirs, or with their run taken off."""
+    gone = tree.select(F.col("node").alias("run_id")).distinct()
+    left = runs.join(gone, "run_id", "left_anti")
+    if not keep_tasks:
+        return left, tasks.join(gone, "run_id", "left_anti")
+    marked = tasks.join(gone.withColumn("_gone", F.lit(True)), "run_id", "left")
+    return left, marked.withColumn("run_id", F.when(F.col("_gone").isNull(), F.col("run_id"))).select(*tasks.columns)
+
+
+def moved(runs: DataFrame, changes: DataFrame, key: str = "run_id") -> DataFrame:
+    """Changes of state (key, was, becomes, at) that find a run in the state they start from; the first of a run counts. A
+    run that ends gets the time as its end."""
+    w = Window.partitionBy(key).orderBy("at", "becomes")
+    own = runs.select(key, F.col("status").alias("was"))
+    first = changes.join(own, [key, "was"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, "becomes", "at")
+    joined = runs.join(first, key, "left")
+    return joined.withColumn("finished_at", F.when(F.col("becomes").isin(*DONE), F.col("at")).otherwise(F.col("finished_at"))).withColumn("status", F.coalesce("becomes", "status")).select(*runs.columns)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import dates, is_absent, is_code, is_skippable, strip, value, with_dates_marked, with_dates_restored
 
@@ -20,9 +21,10 @@ def cells(units: DataFrame) -> DataFrame:
     return rows.select("unit_id", "row", F.posexplode("own").alias("col", "value"))
 
 
-def classify(table: DataFrame, by: Sequence[str] = ("unit_id", "col"), text: str = "value", most: int = ENUM_MOST) -> DataFrame:
-    """By column: skip if no cell needs a rendering, enum if few distinct values, else text. Without header cells."""
-    v = F.when(value(text) != "", value(text))
+def classify(table: DataFrame, by: Sequence[str] = ("unit_id", "col"), text: str = "value", most: int = ENUM_MOST, row: str = "row") -> DataFrame:
+    """By column: skip if no cell needs a rendering, enum if few distinct values, else text. Row 0, the header, takes no part;
+    values differ as they are written, blanks around them included."""
+    v = F.when((F.col(row) > 0) & (value(text) != ""), F.col(text))
     found = table.groupBy(*by).agg(F.coalesce(F.bool_and(is_skippable(v)), F.lit(True)).alias("_skip"), F.countDistinct(v).alias("unique"))
     return found.select(*by, F.when(F.col("_skip"), "skip").when(F.col("unique") <= most, "enum").otherwise("text").alias("class"), "unique")
 
@@ -31,23 +33,28 @@ def harvest(table: DataFrame, classes: DataFrame, unit: Sequence[str] = ("unit_i
     """Texts to render, numbered: of a unit header cells with a letter first, then data cells of columns that aren't skipped."""
     kept = table.join(classes.select(*unit, "col", "class"), [*unit, "col"], "left")
     head = F.col("row") == 0
-    kept = kept.where((value("value") != "") & F.when(head, F.col("value").rlike(r"(?U)\p{L}")).otherwise(F.coalesce("class", F.lit("skip")) != "skip"))
+    kept = kept.where((value("value") != "") & F.when(head, F.col("value").rlike("[A-Za-z\u4e00-\u9fff]")).otherwise(F.coalesce("class", F.lit("skip")) != "skip"))
     at = F.row_number().over(Window.partitionBy(*unit).orderBy("row", "col")) - 1
-    return kept.select(*unit, "row", "col", "value", at.cast("long").alias("at"))
+    return kept.select(*unit, "row", "col", value("value").alias("value"), at.cast("long").alias("at"))
 
 
-def ranges(segments: DataFrame, unit: Sequence[str] = ("unit_id",)) -> DataFrame:
-    """By unit: where its segments begin among all, and how many they are. Counts are summed, not segments."""
-    counts = segments.groupBy(*unit).agg(F.count("*").alias("count"))
-    before = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
+def ranges(segments: DataFrame, units: DataFrame, unit: Sequence[str] = ("unit_id",), order: Sequence[str] = ("unit_id",), batch: Sequence[str] = ()) -> DataFrame:
+    """By unit, those without segments and texts included: where its segments begin among all of its batch, and how many.
+
+    units: a row for each, with what orders them. Sums run over the units of a batch (a file, an upload), not over segments.
+    """
+    counts = segments.groupBy(*batch, *unit).agg(F.count("*").alias("count"))
+    counts = units.select(*dict.fromkeys([*batch, *unit, *order])).join(counts, [*batch, *unit], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    before = Window.partitionBy(*(batch or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
 
 
 def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:
     """Segments with the key of their text without dates, and the dictionary: a row for each key, first place and count."""
     marked = segments.withColumn("norm", with_dates_marked(strip(text))).withColumn("dates", dates(strip(text)))
-    marked = marked.withColumn("key", F.sha2("norm", 256))
-    return marked, marked.groupBy("key").agg(F.first("norm").alias("norm"), F.min(order).alias("first"), F.count("*").alias("refs"))
+    # the texts themselves are the key; their digest, which the cache goes by, is worked out once for each
+    found = marked.groupBy("norm").agg(F.min(order).alias("first"), F.count("*").alias("refs"))
+    return marked, found.select(F.sha2("norm", 256).alias("key"), "norm", "first", "refs")
 
 
 def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callable[[list[str]], list[str]], partitions: int | None = None) -> DataFrame:
@@ -70,9 +77,9 @@ def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callabl
 
 def write_back(encoded: DataFrame, mapped: DataFrame, text: str) -> DataFrame:
     """Each segment with its rendering, dates in place; where the status isn't ok the source stays behind a mark."""
-    joined = encoded.join(mapped.select("key", "target", "status"), "key", "left")
+    joined = encoded.join(mapped.select("norm", "target", "status"), "norm", "left")
     good = with_dates_restored("target", "dates")
-    return joined.withColumn("rendered", F.when(F.col("status") == "ok", good).otherwise(F.concat(F.lit(REVIEW_MARK), F.col(text)))).drop("norm", "dates", "key")
+    return joined.withColumn("rendered", F.when(F.col("status") == "ok", good).otherwise(F.concat(F.lit(REVIEW_MARK), F.col(text)))).drop("norm", "dates")
 
 
 def repeated_edge_lines(pages: DataFrame, file: Sequence[str], lines: str = "lines", share: int = 3) -> DataFrame:
@@ -85,17 +92,29 @@ def repeated_edge_lines(pages: DataFrame, file: Sequence[str], lines: str = "lin
 
 
 def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, most: int = 50, budget: int = 6000) -> DataFrame:
-    """Greedy batches within a key: a new one when it is full or would have too many characters."""
-    held = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.col(size).cast("long").alias("size")))), lambda x: x)
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["chars"] + x["size"] > budget))
-        batch = acc["batch"] + full.cast("long")
-        return F.struct(batch.alias("batch"), F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(acc["chars"] + x["size"]).alias("chars"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    found = rows.groupBy(*keys).agg(held.alias("_held")).withColumn("_batch", F.aggregate("_held", start, step, lambda a: a["out"]))
-    return found.select(*keys, F.explode(F.arrays_zip("_held", "_batch")).alias("x")).select(*keys, *[F.col(f"x._held.at.{c}").alias(c) for c in order], F.col("x._held.size").alias(size), F.col("x._batch").alias("batch"))
+    """Greedy batches within a key: a new one when it is full or would have too many characters. An item above the budget is
+    a batch of its own.
+
+    Where a batch ends depends on all before it: the rows of a key go by one after another through one task, which keeps
+    three numbers and a block of rows, never a key.
+    """
+    own = rows.select(*keys, *order, F.col(size).cast("long").alias(size))
+    placed = own.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, batch, n, chars = None, 0, 0, 0
+        for part in parts:
+            out = []
+            for key, x in zip(part[list(keys)].itertuples(index=False, name=None), part[size], strict=True):
+                if key != last:
+                    last, batch, n, chars = key, 0, 0, 0
+                if n and (n >= most or chars + x > budget):
+                    batch, n, chars = batch + 1, 0, 0
+                n, chars = n + 1, chars + x
+                out.append(batch)
+            yield part.assign(batch=pd.array(out, "int64"))
+
+    return placed.mapInPandas(deal, StructType([*own.schema.fields, StructField("batch", LongType())]))
 
 
 def blank(x: Column | str) -> Column:

@@ -140,12 +140,12 @@ def view_verdict_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILTERS = {
-    "empty": (Test("lang", "empty"), "trim(coalesce(lang, '')) = ''"),
-    "nonempty": (Test("lang", "nonempty"), "trim(coalesce(lang, '')) <> ''"),
+    "empty": (Test("lang", "empty"), "l = ''"),
+    "nonempty": (Test("lang", "nonempty"), "l <> ''"),
     "contains": (Test("source", "contains", "1"), "contains(source, '1')"),
     "not_contains": (Test("source", "not_contains", "1"), "not contains(source, '1')"),
-    "eq": (Test("lang", "eq", "en"), "lang = 'en'"),
-    "neq": (Test("lang", "neq", "en"), "lang <> 'en'"),
+    "eq": (Test("lang", "eq", "en"), "l = 'en'"),
+    "neq": (Test("lang", "neq", "en"), "l <> 'en'"),
     "startswith": (Test("source", "startswith", "src1"), "starts_with(source, 'src1')"),
     "endswith": (Test("source", "endswith", "7"), "ends_with(source, '7')"),
     "regex": (Test("source", "regex", "^src[0-4]$"), "regexp_matches(source, '^src[0-4]$')"),
@@ -154,12 +154,15 @@ _FILTERS = {
 
 
 def _filter_query(op: str, test: Test, sql: str) -> None:
+    """Of the languages one is null here and one is blank."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         view = View(mode="record", filters=(test,), aggregates=(Aggregate("page", "page_start"), Aggregate("lang", "first_value"), Aggregate("source", "first_value")))
-        return compile_view(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), view, page="doc_id", order=["doc_id"])
+        lang = F.when(F.col("lang") == "es", "  ").when(F.col("lang") != "de", F.col("lang"))
+        return compile_view(table(spark, sf_dir, "documents").select("doc_id", lang.alias("lang"), "source"), view, page="doc_id", order=["doc_id"])
 
     run.__name__ = f"filter_{op}"
-    query(f"select doc_id as page, lang, source from documents where {sql}")(run)
+    query(f"select doc_id as page, l as lang, source from (select *, case when lang in ('de', 'es') then '' else lang end l from documents) where {sql}")(run)
 
 
 for _op, (_test, _sql) in _FILTERS.items():
@@ -218,12 +221,20 @@ def merge_fill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join_rows(records.fill_key(rows, "event_type", ["user_id"], ["page"], ("error",)), "event_type", ["ids"], ["user_id"], ["page"], marks=("error",))
 
 
+_MONTH_NAMES = """case o_orderkey % 5 when 0 then y || '年' || m || '月.xlsx' when 1 then '册' || y || '年' || m || '月-12月x.pdf' when 2 then y || '年' || m || '-12月.pdf'
+    when 3 then y || '年11月至' || (y + 1) || '年1月.pdf' else y || '-' || m || '.pdf' end"""
+
+
 @query(
-    """with n as (select o_orderkey, '/up/' || o_orderkey || '_' || year(o_orderdate) || '年' || month(o_orderdate) || '月.xlsx' p, o_orderkey % 2 s from orders)
-    select o_orderkey, s::int as store, split_part(p, '/', -1) as source_file, regexp_extract(split_part(p, '/', -1), '(\\d{4})年', 1) as year, lpad(regexp_extract(p, '年(\\d{1,2})月', 1), 2, '0') as month from n"""
+    f"""with p as (select o_orderkey, year(o_orderdate)::int y, month(o_orderdate)::int m from orders), n as (select o_orderkey, {_MONTH_NAMES} f from p),
+    r as (select *, '(\\d{{4}})年\\s*(\\d{{1,2}})\\s*月?\\s*[-—~至到]\\s*(?:\\d{{4}}年\\s*)?(\\d{{1,2}})\\s*月' as p, '(\\d{{4}})年(\\d{{1,2}})月' as q from n)
+    select o_orderkey, (o_orderkey % 2)::int as store, f as source_file, case when o_orderkey % 5 = 4 then '' else regexp_extract(f, '(\\d{{4}})年', 1) end as year,
+    case o_orderkey % 5 when 0 then lpad(regexp_extract(f, '年(\\d+)', 1), 2, '0') when 4 then '' when 3 then '11-01' else lpad(regexp_extract(f, '年(\\d+)', 1), 2, '0') || '-12' end as month from r"""
 )
 def records_union_month_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/up/"), "o_orderkey", F.lit("_"), F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月.xlsx")).alias("source_path"))
+    """Months of single names, of ranges within and across years, and of names without the month's sign, which have none."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    rows = rows.select("o_orderkey", F.concat(F.lit("/up/"), F.expr(_MONTH_NAMES)).alias("source_path"))
     return records.union_stores([rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1")]).drop("source_path")
 
 
@@ -245,29 +256,46 @@ def page_replace_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, substr(sha256(text), 1, 16) as fingerprint from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1)")
 def cache_antijoin_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of quality 1 are cached as they are, others as they were before a change."""
     pages = table(spark, sf_dir, "documents").select("doc_id", records.fingerprint(F.col("text")).alias("fingerprint"))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return records.uncached(pages, pages.join(good, "doc_id", "left_semi"), ["doc_id"])
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    cache = known.select("doc_id", records.fingerprint(F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit(" before")))).alias("fingerprint"))
+    return records.uncached(pages, cache, ["doc_id"])
+
+
+@query(
+    """with l as (select l_orderkey, l_partkey::varchar d, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) s, case when l_orderkey % 2 = 0 then 'a' else 'b' end f from lineitem)
+    select l_orderkey as row_number, string_agg(d, '|' order by s) as records from l where f = 'a' group by 1"""
+)
+def cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the pages that a cache holds for one configuration (a fingerprint that every other order has)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("h").alias("file_hash"), F.lit("s").alias("source_path"), F.col("l_orderkey").alias("row_number"), "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_orderkey") % 2 == 0, "a").otherwise("b").alias("fingerprint"), F.col("l_partkey").cast("string").alias("data"))
+    found = records.cached_pages(records.numbered(rows, ["row_number"], ["l_linenumber", "l_partkey", "l_suppkey"]), "a")
+    return found.select("row_number", F.array_join("records", "|").alias("records"))
 
 
 @query(
-    """with o as (select sha256(c_mktsegment || c_nationkey) as key, min(c_custkey) created, 'old' as target from customer where c_custkey % 3 <> 0 group by 1),
-    n as (select sha256(c_mktsegment || c_nationkey) as key, max(c_custkey) created, 'new' as target from customer where c_custkey % 2 = 0 group by 1)
-    select coalesce(o.key, n.key) as key, coalesce(o.created, n.created) created, coalesce(n.target, o.target) target from o full join n on o.key = n.key"""
+    """with o as (select sha256(c_mktsegment || c_nationkey) as key, min(c_custkey) created, 'old' as target from customer where c_acctbal < 5000 group by 1),
+    n as (select sha256(c_mktsegment || c_nationkey) as key, max(c_custkey) created, 'new' as target from customer where c_acctbal >= 8000 or c_mktsegment = 'BUILDING' and c_acctbal >= 5000 group by 1),
+    r as (select sha256(c_mktsegment || c_nationkey || 'x') as key, min(c_custkey) created, 'old' as target from customer where c_acctbal >= 5000 group by 1)
+    select coalesce(o.key, n.key) as key, coalesce(o.created, n.created) created, coalesce(n.target, o.target) target from (select * from o union all select * from r) o full join n on o.key = n.key"""
 )
 def dict_upsert_keep_created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.sha2(F.concat("c_mktsegment", "c_nationkey"), 256).alias("key"), "c_custkey")
-    old = rows.where("c_custkey % 3 <> 0").groupBy("key").agg(F.min("c_custkey").alias("created")).withColumn("target", F.lit("old"))
-    new = rows.where("c_custkey % 2 = 0").groupBy("key").agg(F.max("c_custkey").alias("created")).withColumn("target", F.lit("new"))
+    """Entries of customers with little are old, of those with much new, of those between old under another key."""
+    rows = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", "c_nationkey").alias("text"), "c_custkey", "c_acctbal", "c_mktsegment")
+    keyed = lambda where, text, pick: rows.where(where).groupBy(F.sha2(text, 256).alias("key")).agg(pick("c_custkey").alias("created"))
+    old = keyed("c_acctbal < 5000", F.col("text"), F.min).union(keyed("c_acctbal >= 5000", F.concat("text", F.lit("x")), F.min)).withColumn("target", F.lit("old"))
+    new = keyed("c_acctbal >= 8000 or c_mktsegment = 'BUILDING' and c_acctbal >= 5000", F.col("text"), F.max).withColumn("target", F.lit("new"))
     return records.upsert(old, new, ["key"], keep=["created"])
 
 
 @query(
-    """select coalesce(o.k, l.k) as k, coalesce(o.total, l.total) as total from (select o_orderkey k, round(o_totalprice, 2) total from orders where o_orderkey % 2 = 0) o
+    """select coalesce(o.k, l.k) as k, coalesce(o.total, l.total) as total from (select o_orderkey k, case when o_orderstatus <> 'O' then round(o_totalprice, 2) end total from orders) o
     full join (select l_orderkey k, round(sum(l_quantity), 2) total from lineitem group by 1) l on o.k = l.k"""
 )
 def fill_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("total"))
+    """Open orders have no total yet: that of their lines fills it."""
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") != "O", F.round("o_totalprice", 2)).alias("total"))
     right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_quantity"), 2).alias("total"))
     return records.fill_missing(left, right, ["k"])
 
@@ -289,31 +317,41 @@ def document_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- segments
 
-_CELLS = """select p_partkey::bigint as row, 0 as col, p_name as value from part union all select p_partkey, 1, p_brand from part union all select p_partkey, 2, p_type from part
-    union all select p_partkey, 3, p_size::varchar from part union all select p_partkey, 4, '' from part"""
+_CELLS = """select p_partkey + 1 as row, 0 as col, p_name || case when p_size % 3 = 0 then ' ' else '' end as value from part union all select p_partkey + 1, 1, p_brand from part union all select p_partkey + 1, 2, p_type from part
+    union all select p_partkey + 1, 3, p_size::varchar from part union all select p_partkey + 1, 4, '' from part
+    union all select 0, unnest([0, 1, 2, 3, 4]), unnest(['Name', 'Brand', 'Type', 'Size (none here)', 'Note'])"""
 
 
 def _part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.array(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit(""))
-    return table(spark, sf_dir, "part").select(F.lit("part").alias("unit_id"), F.col("p_partkey").alias("row"), F.posexplode(own).alias("col", "value"))
+    """A table of parts with a header, which would make a text of the column of sizes."""
+    name = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " ").otherwise(""))
+    own = F.array(name, F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string"), F.lit(""))
+    data = table(spark, sf_dir, "part").select(F.lit("part").alias("unit_id"), (F.col("p_partkey") + 1).alias("row"), F.posexplode(own).alias("col", "value"))
+    head = F.array(*map(F.lit, ("Name", "Brand", "Type", "Size (none here)", "Note")))
+    return data.union(spark.range(1).select(F.lit("part"), F.lit(0).cast("long"), F.posexplode(head)))
 
 
 @query(
-    f"""select 'part' as unit_id, col, case when coalesce(bool_and(regexp_full_match(value, '[\\d\\s/\\-:.,()%¥$€£#&+＋]+')) filter (value <> ''), true) then 'skip'
-    when count(distinct value) filter (value <> '') <= 100 then 'enum' else 'text' end as class, count(distinct value) filter (value <> '') as "unique" from ({_CELLS}) group by col"""
+    f"""select 'part' as unit_id, col, case when coalesce(bool_and(regexp_full_match(value, '[\\d\\s/\\-:.,()%¥$€£#&+＋]+')) filter (value <> '' and row > 0), true) then 'skip'
+    when count(distinct value) filter (value <> '' and row > 0) <= 100 then 'enum' else 'text' end as class, count(distinct value) filter (value <> '' and row > 0) as "unique" from ({_CELLS}) group by col"""
 )
 def classify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.classify(_part_cells(spark, sf_dir))
 
 
 @query(
-    f"""with c as (select p_brand as unit_id, p_partkey as row, unnest([0, 1]) as col, unnest([p_name, p_size::varchar]) as value from part),
-    s as (select unit_id, count(*) n from c where col = 0 and value <> '' group by 1)
+    """with s as (select p_brand as unit_id, count(*) + 2 as n from part where p_name <> '' group by 1 union all select 'A note', 1 union all select 'Brand#2 is empty', 0)
     select unit_id, n as count, coalesce(sum(n) over (order by unit_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from s"""
 )
 def harvest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit_id"), F.col("p_partkey").alias("row"), F.posexplode(F.array("p_name", F.col("p_size").cast("string"))).alias("col", "value"))
-    return segments.ranges(segments.harvest(rows, segments.classify(rows)))
+    """Tables of brands with a header of two letter cells, a text, and a unit without segments."""
+    at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("unit_id"), at.alias("row"), F.posexplode(F.array("p_name", F.col("p_size").cast("string"))).alias("col", "value"))
+    rows = rows.union(rows.select("unit_id").distinct().select("unit_id", F.lit(0).cast("long"), F.posexplode(F.array(F.lit("Name"), F.lit("Größe")))))
+    found = segments.harvest(rows, segments.classify(rows))
+    note = spark.createDataFrame([("A note", 0, 0, "text", 0)], "unit_id string, row long, col int, value string, at long")
+    units = rows.select("unit_id").distinct().union(spark.createDataFrame([("A note",), ("Brand#2 is empty",)], "unit_id string"))
+    return segments.ranges(found.union(note), units)
 
 
 _DATED = "select o_orderkey, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ' is ' || o_orderpriority || ' until ' || strftime(o_orderdate, '%d/%m/%Y') as t, 'Order of {D0} is ' || o_orderpriority || ' until {D1}' as norm from orders"
@@ -350,24 +388,35 @@ def dictionary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.row_number().over(Window.orderBy(F.col("refs").desc(), "first")).cast("long").alias("place"), "norm", "refs").orderBy("place")
 
 
+_PAIR_KINDS = "['same', 'number', 'mark', 'empty', 'blank', 'digits', 'long', 'good', 'code']"
+
+
 @query(
-    """with p as (select conv_id, turn, trim(text) s, trim(coalesce(lead(text) over (partition by conv_id order by turn), '')) t from conversations),
-    q as (select *, regexp_extract_all(s, '\\d+(?:[.,]\\d+)*') ns from p)
-    select conv_id, turn, case when t = '' then 'empty' when len(list_filter(ns, lambda x: not contains(t, x))) > 0 then 'missing_number' when not regexp_matches(s, '\\p{L}') then 'ok'
-    when s = t and not (regexp_full_match(s, '[\\p{L}\\d][\\p{L}\\d._/#\\-]*') and (regexp_matches(s, '\\d') or (regexp_full_match(s, '[\\p{Lu}._/#\\-]+') and length(s) > 1))) and length(s) > 3 then 'untranslated'
-    when length(s) >= 40 and length(t) * 5 < length(s) then 'truncated' else 'ok' end as reason from q"""
+    f"""with v as (select p_partkey, unnest({_PAIR_KINDS}) as kind,
+      unnest([p_name, p_name || ' ' || p_size || ' of 120', '{{D0}} ' || p_name || ' {{D1}}', p_name, ' ', p_size || '-7', p_name || ' ' || p_type || ' ' || p_name || ' ' || p_type, p_name, 'KTD2V79R-D6']) as s,
+      unnest([p_name, '件 ' || p_size, '{{D1}} 件', ' ', p_name, p_size || '-8', '短', '零件', 'KTD2V79R-D6']) as t from part),
+    q as (select *, trim(s) a, trim(t) b from v), w as (select *, regexp_extract_all(a, '\\{{D\\d+\\}}') ms, regexp_extract_all(regexp_replace(a, '\\{{D\\d+\\}}', '', 'g'), '\\d+') ns, len(regexp_extract_all(a, '[A-Za-z]{{2,}}')) wa, len(regexp_extract_all(b, '[A-Za-z]{{2,}}')) wb from q),
+    m as (select *, list_filter(ms, lambda x: not contains(b, x))[1] lost, list_filter(ns, lambda x: not contains(b, x))[1] missed from w)
+    select p_partkey, kind, case when a = '' then 'ok' when b = '' then 'empty' when lost is not null then 'missing_placeholder:' || lost when missed is not null then 'missing_number:' || missed
+    when not regexp_matches(a, '[A-Za-z一-鿿]') and a <> b then 'not_identical' when wa >= 2 and not regexp_matches(b, '[一-鿿]') and wb >= greatest(2, floor(wa * 0.6)) then 'untranslated'
+    when length(a) >= 60 and length(b) < length(a) * 0.3 then 'truncated' else 'ok' end as reason from m"""
 )
 def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("t", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return rows.select("conv_id", "turn", text.fidelity("text", "t").alias("reason"))
+    """Renderings of part names that go wrong in each way there is."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    pairs = {"same": (name, name), "number": (F.concat(name, F.lit(" "), size, F.lit(" of 120")), F.concat(F.lit("件 "), size)), "mark": (F.concat(F.lit("{D0} "), name, F.lit(" {D1}")), F.lit("{D1} 件")), "empty": (name, F.lit(" ")), "blank": (F.lit(" "), name), "digits": (F.concat(size, F.lit("-7")), F.concat(size, F.lit("-8"))), "long": (F.concat_ws(" ", name, "p_type", name, "p_type"), F.lit("短")), "good": (name, F.lit("零件")), "code": (F.lit("KTD2V79R-D6"), F.lit("KTD2V79R-D6"))}
+    own = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.alias("s"), b.alias("t")) for k, (a, b) in pairs.items()]))
+    return table(spark, sf_dir, "part").select("p_partkey", own.alias("x")).select("p_partkey", "x.kind", text.fidelity("x.s", "x.t").alias("reason"))
 
 
 @query(
-    """select p_partkey, v, regexp_full_match(v, '[\\p{L}\\d][\\p{L}\\d._/#\\-]*') and (regexp_matches(v, '\\d') or (regexp_full_match(v, '[\\p{Lu}._/#\\-]+') and length(v) > 1)) as code
-    from (select p_partkey, unnest([p_brand, p_name, upper(p_type)]) v from part)"""
+    """select p_partkey, v, trim(v) <> '' and (not regexp_matches(v, '\\p{L}') or (not regexp_matches(trim(v), '\\s') and length(trim(v)) >= 8 and len(regexp_extract_all(v, '\\d')) >= 2 and not regexp_matches(v, '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]'))) as code
+    from (select p_partkey, unnest([p_brand, p_name, upper(p_type), p_size::varchar, ' ', '3,361.215', 'PO' || (202004291000 + p_partkey), 'po' || (202004291000 + p_partkey), 'A ' || (202004291000 + p_partkey), 'IBM', upper(p_brand) || '-D6X'] ) v from part)"""
 )
 def code_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_brand", "p_name", F.upper("p_type"))).alias("v")).withColumn("code", text.is_code("v"))
+    number = (F.lit(202004291000) + F.col("p_partkey")).cast("string")
+    made = [F.col("p_brand"), F.col("p_name"), F.upper("p_type"), F.col("p_size").cast("string"), F.lit(" "), F.lit("3,361.215"), F.concat(F.lit("PO"), number), F.concat(F.lit("po"), number), F.concat(F.lit("A "), number), F.lit("IBM"), F.concat(F.upper("p_brand"), F.lit("-D6X"))]
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*made)).alias("v")).withColumn("code", text.is_code("v"))
 
 
 @query("select p_partkey, p_name as term, p_brand || ' -> x' as rendering from part")
@@ -387,10 +436,21 @@ def edge_lines_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.repeated_edge_lines(pages, ["source"], share=9)
 
 
-@query("select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*\\d+\\s*$')))::int as dropped from documents")
+_ODD_LINES = ("Page {k}", "page{k}/9", "PAGE 3 OF {k}", "第{k}页", " 第 {k} 页，共 9 页 ", "第3页共{k}页", "{k}/10", "{k} / 10", "- {k} -", "—{k}—", "{k}", "Page three", "第{k}页 of", "{k}/10 parts", "- {k}", "")
+
+
+@query(
+    """with l as (select doc_id, list_concat(string_split(text, chr(10)), list_transform(['Page {k}', 'page{k}/9', 'PAGE 3 OF {k}', '第{k}页', ' 第 {k} 页，共 9 页 ', '第3页共{k}页', '{k}/10', '{k} / 10', '- {k} -', '—{k}—', '{k}', 'Page three', '第{k}页 of', '{k}/10 parts', '- {k}', ''], lambda x: replace(x, '{k}', doc_id::varchar))) l from documents),
+    k as (select doc_id, len(l) n, list_filter(l, lambda x: not regexp_full_match(trim(x), '(?i)page\\s*\\d+(\\s*(of|/)\\s*\\d+)?') and not regexp_full_match(trim(x), '第\\s*\\d+\\s*页(\\s*[,，]?\\s*共\\s*\\d+\\s*页)?')
+    and not regexp_full_match(trim(x), '\\d+\\s*/\\s*\\d+') and not regexp_full_match(trim(x), '[-—–]\\s*\\d+\\s*[-—–]')) kept from l)
+    select doc_id, (n - len(kept))::int as dropped, md5(array_to_string(kept, chr(10))) as kept from k"""
+)
 def strip_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(text.PAGE_LINES[0]))).alias("dropped"))
+    """Lines of documents, and lines that hold a page number or come near."""
+    number = F.col("doc_id").cast("string")
+    lines = F.concat(F.split("text", "\n"), F.array(*[F.replace(F.lit(x), F.lit("{k}"), number) for x in _ODD_LINES]))
+    kept = F.filter("lines", lambda x: ~text.is_page_line(x))
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).select("doc_id", (F.size("lines") - F.size(kept)).alias("dropped"), F.md5(F.array_join(kept, "\n")).alias("kept"))
 
 
 @query(

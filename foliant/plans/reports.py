@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import records, runs
+from ..operators import browse, hooks, records, runs
 from ..streaming import events as streams
 from .catalogue import query, table
 
@@ -35,12 +35,12 @@ def latest_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select user_id, arg_max(status, (ts, event_id)) as last_status, count(*) as attempts from ({_RUNS_SQL}) where event_id % 3 = 0 group by 1
+    f"""select user_id, date_trunc('day', ts)::date as day, arg_max(status, (ts, event_id)) as last_status, count(*) as attempts from ({_RUNS_SQL}) group by 1, 2
     having not bool_or(status = 'succeeded') and arg_max(status, (ts, event_id)) in ('failed', 'failed_review', 'interrupted')"""
 )
 def rerunnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users without a success among a batch of their runs (batch three of the log)."""
-    return runs.rerunnable(_runs(spark, sf_dir).where("event_id % 3 = 0"), "user_id", ["ts", "event_id"])
+    """Users' days without a success among all their runs, of which the last one failed."""
+    return runs.rerunnable(_runs(spark, sf_dir).withColumn("day", F.to_date("ts")), ["user_id", "day"], ["ts", "event_id"])
 
 
 @query(
@@ -72,24 +72,25 @@ def root_stats_5join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("lines"), F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum("l_extendedprice"), 0).alias("price"))
 
 
-@query("with recursive c as (select conv_id * 1000 + turn as id, case when turn = 0 then conv_id * 1000 - 1 else conv_id * 1000 + turn - 1 end as p, conv_id, turn from conversations), m as (select min(conv_id) m, from conversations), t(node, depth) as (select min(id), 0 from c, m where conv_id = m union all select c.id, t.depth + 1 from c join t on c.p = t.node) select node, depth from t")
+@query(
+    """with recursive c as (select conv_id * 1000 + turn as id, conv_id * 1000 + turn - 1 as p, turn = min(turn) over (partition by conv_id) as head from conversations),
+    t(root, node, depth) as (select id, id, 0::bigint from c where head union all select t.root, c.id, t.depth + 1 from c join t on c.p = t.node where not c.head) select root, node, depth from t"""
+)
 def run_tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain of turns below the first turn of the first conversation."""
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"))
-    root = rows.agg(F.min("id")).first()[0]
-    return runs.run_tree(rows, root)
+    """The chains of turns below the first turn of each conversation."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent_id"))
+    return runs.run_tree(rows, rows.groupBy("conv_id").agg(F.min("id").alias("id")))
 
 
 @query(
-    f"""with r as ({_RUNS_SQL}), busy as (select k, count(*) b from r where status = 'running' and event_id % 50 = 0 group by 1),
-    q as (select event_id, k, row_number() over (partition by k order by ts, event_id) place from r where status = 'paused')
-    select event_id, q.k, place::int place from q left join busy on busy.k = q.k where place <= 5 - coalesce(b, 0)"""
+    f"""with r as (select *, k || '/' || user_id as tool from ({_RUNS_SQL})), busy as (select tool, count(*) b from r where status = 'running' group by 1),
+    q as (select event_id, tool, row_number() over (partition by tool order by ts, event_id) place from r where status = 'paused')
+    select event_id, q.tool, place::int place from q left join busy on busy.tool = q.tool where place <= 2 - coalesce(b, 0)"""
 )
 def claimable_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paused events as a queue with five places for each k; every fiftieth running event holds one."""
-    tasks = _runs(spark, sf_dir)
-    found = runs.claimable(tasks, 5, "k", ["ts", "event_id"], (F.col("status") == "running") & (F.col("event_id") % 50 == 0), F.col("status") == "paused")
-    return found.select("event_id", "k", "place")
+    """Paused events as a queue with two places for each user's k, of which running events hold some."""
+    tasks = _runs(spark, sf_dir).withColumn("tool", F.concat("k", F.lit("/"), "user_id"))
+    return runs.claimable(tasks, 2, "tool", ["ts", "event_id"], F.col("status") == "running", F.col("status") == "paused").select("event_id", "tool", "place")
 
 
 @query(
@@ -98,8 +99,8 @@ def claimable_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stale_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = _runs(spark, sf_dir).where("status = 'running'").withColumn("attempt", F.col("event_id") % 4)
-    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return runs.stale(tasks, "ts", F.lit(now), 90, "attempt", 2).select("event_id", "next_status")
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    return runs.stale(tasks, "ts", now, 90, "attempt", 2).select("event_id", "next_status")
 
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
@@ -142,49 +143,69 @@ def artifact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with p as (select page_id, split_part(split_part(split_part(url, '?', 1), '#', 1), '/', -1) as name from pages),
-    n as (select page_id as file_id, 'a1b2c3d4_' || name as stored from p where name <> '' and page_id % 2 = 0)
-    select p.page_id, min(n.file_id) as file_id from p join n on substr(n.stored, 10) = p.name where p.name <> '' group by 1"""
+    f as (select '/up/' || case when page_id % 3 = 0 then '' else lpad(page_id::varchar, 8, '0') || '_' end || name as path, case when page_id % 3 = 0 then '' else lpad(page_id::varchar, 8, '0') || '_' end || name as file from p where name <> '')
+    select n.name, coalesce(min(f.path), '') as source_file from (select distinct name from p union select 'missing.pdf') n left join f on n.name <> '' and (f.file = n.name or ends_with(f.file, '_' || n.name)) group by 1"""
 )
 def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names meet stored names of the form `<8 digits>_<name>`; the prefix is cut, so that the join is on equality."""
+    """Names meet stored names that are the same or have something and `_` in front."""
     bare = F.regexp_replace("url", r"[?#].*$", "")
-    p = table(spark, sf_dir, "pages").select("page_id", text.basename(bare).alias("name")).where("name <> ''")
-    stored = p.where("page_id % 2 = 0").select(F.col("page_id").alias("file_id"), F.concat(F.lit("a1b2c3d4_"), "name").alias("stored"))
-    stored = stored.withColumn("name", F.regexp_replace("stored", "^[0-9a-f]{8}_", ""))
-    return p.join(stored, "name").groupBy("page_id").agg(F.min("file_id").alias("file_id"))
+    p = table(spark, sf_dir, "pages").select("page_id", text.basename(bare).alias("name"))
+    ahead = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit("_")))
+    files = p.where("name <> ''").select(F.concat(F.lit("/up/"), ahead, "name").alias("path"))
+    return browse.source_files(p.select("name").union(spark.createDataFrame([("missing.pdf",)], "name string")), files)
 
 
 @query(
-    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, (round(l_extendedprice * 100, 0))::bigint as cents,
-    case when c >= 100 then (c // 100) || '.' || lpad((c % 100)::varchar, 2, '0') else '0.' || lpad(c::varchar, 2, '0') end as amount
-    from (select *, round(l_extendedprice * 100, 0)::bigint c from lineitem)"""
+    """with t as (select *, round(l_extendedprice * 100, 0)::bigint c from lineitem), s as (select *, case l_returnflag when 'R' then '00' || c when 'A' then (c // 100)::varchar || ',' || lpad((c % 100)::varchar, 2, '0') else '￥' || c end as t from t)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag in ('R', 'A') then c end as cents,
+    case when l_returnflag in ('R', 'A') then case when l_returnflag = 'R' then '00' else '' end || (c // 100) || '.' || lpad((c % 100)::varchar, 2, '0') else t end as amount from s"""
 )
 def amount_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("t", F.round(F.col("l_extendedprice") * 100, 0).cast("long").cast("string"))
+    """Digit strings with leading zeros, with a comma, and with a currency sign, which stay as they are."""
+    c = F.round(F.col("l_extendedprice") * 100, 0).cast("long")
+    comma = F.concat(F.floor(c / 100).cast("string"), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"))
+    t = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("00"), c.cast("string"))).when(F.col("l_returnflag") == "A", comma).otherwise(F.concat(F.lit("￥"), c.cast("string")))
     amount = money.normalize_amount("t")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.to_cents(F.concat(F.lit("￥"), amount)).alias("cents"), amount.alias("amount"))
+    return table(spark, sf_dir, "lineitem").withColumn("t", t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.to_cents(amount).alias("cents"), amount.alias("amount"))
 
 
 @query(
-    """select l_orderkey, sum(case when l_returnflag = 'R' then c else 0 end)::bigint debit, sum(case when l_returnflag <> 'R' then c else 0 end)::bigint credit, count(distinct l_linestatus) as anchors,
-    case when count(distinct l_linestatus) = 1 then min(l_linestatus) when count(distinct l_linestatus) > 1 then 'CONFLICT' else '' end as anchor
-    from (select *, round(l_extendedprice * 100, 0)::bigint c from lineitem) group by 1"""
+    """with l as (select *, round(l_extendedprice * 100, 0)::bigint c from lineitem), t as (select l_orderkey k, sum(c) s from l group by 1),
+    r as (select l_orderkey k, c d, 0 e, case l_linestatus when 'O' then s + 1 else s end w, false total from l join t on k = l_orderkey union all select l_orderkey, 0, c, null, false from l where l_returnflag <> 'R' union all select k, s, 0, null, true from t)
+    select k as l_orderkey, sum(d)::bigint as debit, sum(e)::bigint as credit, case when min(w) = max(w) then min(w)::bigint end as anchor, coalesce(min(w) <> max(w), false) as conflict,
+    sum(d) = sum(e) and coalesce(min(w) = max(w), true) and coalesce(min(w) = sum(d), true) as ok from r where not total group by 1"""
 )
 def page_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as debit with the sum in words (open lines name another), as credit but for returns, and a total row."""
     c = F.round(F.col("l_extendedprice") * 100, 0).cast("long")
-    back = F.col("l_returnflag") == "R"
-    n = F.countDistinct("l_linestatus")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(back, c).otherwise(0)).alias("debit"), F.sum(F.when(~back, c).otherwise(0)).alias("credit"), n.alias("anchors"), F.when(n == 1, F.min("l_linestatus")).when(n > 1, "CONFLICT").otherwise("").alias("anchor"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", c.alias("c"), "l_linestatus", "l_returnflag")
+    lines = lines.withColumn("s", F.sum("c").over(Window.partitionBy("l_orderkey")))
+    digits = F.col("c").cast("string")
+    said = money.cents_in_words(F.when(F.col("l_linestatus") == "O", F.col("s") + 1).otherwise(F.col("s")))
+    debit = lines.select("l_orderkey", money.normalize_amount(digits).alias("debit"), F.lit("").alias("credit"), said.alias("words"), F.lit("x").alias("account"))
+    credit = lines.where("l_returnflag <> 'R'").select("l_orderkey", F.lit(""), money.normalize_amount(digits), F.lit(""), F.lit("y"))
+    total = lines.select("l_orderkey", "s").distinct().select("l_orderkey", money.normalize_amount(F.col("s").cast("string")), F.lit(""), F.lit(""), F.lit("合计"))
+    return hooks.page_sums(debit.union(credit).union(total), ["l_orderkey"], "debit", "credit", "words", F.col("account") == "合计")
 
 
 @query(
-    """select o_orderkey, coalesce(abs(round(o_totalprice, 2) - s) <= 0.05, false) as agrees from orders left join
-    (select l_orderkey, round(sum(l_extendedprice), 2) s from lineitem group by 1) on l_orderkey = o_orderkey"""
+    """with l as (select *, round(l_extendedprice, 2)::decimal(18,2) a, (round(l_extendedprice, 2)::decimal(18,2) - l_linenumber)::decimal(18,2) b, case when l_returnflag = 'R' then l_linenumber + 0.10 else -l_linenumber end::decimal(18,2) x from lineitem),
+    t as (select l_orderkey k, sum(a) sa, sum(b) sb, sum(x) sx from l group by 1), o as (select k, sa + case when k % 2 = 0 then 1 else 0 end as ta, sb as tb, sx as tx, sa, sb, sx from t)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag = 'R' then 'seen；勾稽差+0.10' else 'seen' end as note from l union all
+    select k, 0, 0, 0, 'seen' || case when abs(abs(tx) - abs(ta - tb)) > 0.05 then '；勾稽差' || case when abs(tx) - abs(ta - tb) >= 0 then '+' else '' end || (abs(tx) - abs(ta - tb))::decimal(18,2) else '' end || case when ta <> sa then '；合计送审金额差+1.00' else '' end from o"""
 )
 def total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("s"))
-    joined = table(spark, sf_dir, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.select("o_orderkey", F.coalesce(F.abs(F.round("o_totalprice", 2) - F.col("s")) <= 0.05, F.lit(False)).alias("agrees"))
+    """Lines as rows of an audit table (returns are off by ten), and a total, off by one for even orders."""
+    form = hooks.Audit(note="note")
+    price = F.round("l_extendedprice", 2).cast("decimal(18,2)")
+    n, back = F.col("l_linenumber"), F.col("l_returnflag") == "R"
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("line").alias(form.name), price.alias("a"), (price - n).alias("b"), F.when(back, n + F.lit(0.10)).otherwise(-n).cast("decimal(18,2)").alias("x"))
+    sums = lines.groupBy("l_orderkey").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("x").alias("x"))
+    off = F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(0)
+    rows = lines.union(sums.select("l_orderkey", F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit("合计"), F.col("a") + off, "b", "x"))
+    named = {form.submitted: "a", form.approved: "b", form.adjusted: "x"}
+    cells = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", form.name, *[(F.col(named[c]).cast("string") if c in named else F.lit("—")).alias(c) for c in form.amounts], F.lit("seen").alias("note"))
+    return hooks.reconciled(cells, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], form).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "note")
 
 
 @query("select doc_id, length(text) as n, md5(text) as digest from documents")

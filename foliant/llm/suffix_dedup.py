@@ -32,7 +32,7 @@ BUCKETS, AT_ONCE = 8, 500  # buckets of anchors for each fragment, texts taken a
 _NONE = -(1 << 63)  # stands for a null id: before all others
 _STRETCH = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("seg", pa.binary()), ("at", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("marks", pa.binary())])
 _STRETCH_SQL = "bucket int, key long, seg binary, at int, id long, row long, start long, marks binary"
-_MARKS = pa.schema([("row", pa.int64()), ("marks", pa.binary())])
+_MARKS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("marks", pa.binary())])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,20 +89,20 @@ def _repeated(blocks: int):
 
 
 class _Marks:
-    """Byte ranges to remove, by row."""
+    """Byte ranges to remove, by row and id: the digests of rows of different ids may clash."""
 
     def __init__(self) -> None:
-        self.own: dict[int, list[tuple[int, int]]] = {}
+        self.own: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-    def add(self, row: int, start: int, end: int) -> None:
-        own = self.own.setdefault(row, [])
+    def add(self, row: int, k: int, start: int, end: int) -> None:
+        own = self.own.setdefault((row, k), [])
         if own and own[-1][1] == start or own and own[-1][0] <= start <= own[-1][1]:
             own[-1] = own[-1][0], max(end, own[-1][1])
         else:
             own.append((start, end))
 
-    def table(self) -> list[tuple[int, bytes]]:
-        return [(row, np.array(own, np.int64).tobytes()) for row, own in self.own.items()]
+    def table(self) -> list[tuple[int, int, bytes]]:
+        return [(row, k, np.array(own, np.int64).tobytes()) for (row, k), own in self.own.items()]
 
 
 def _stretches(buckets: int, window: int):
@@ -128,10 +128,10 @@ def _stretches(buckets: int, window: int):
                         best[key] = (int(own[i]), seg, int(place[i]) - a, k, row, a)
                         size += 1
                     elif (k, a) < had[3:6:2]:
-                        marks.add(had[4], had[5], had[5] + len(seg))
+                        marks.add(had[4], had[3], had[5], had[5] + len(seg))
                         best[key] = (*had[:3], k, row, a)
                     elif (k, a) > had[3:6:2]:
-                        marks.add(row, a, e)
+                        marks.add(row, k, a, e)
             if size >= HELD:
                 yield from send(best, marks)
                 best, marks, size = {}, _Marks(), 0
@@ -147,7 +147,7 @@ def _stretches(buckets: int, window: int):
         done = marks.table()
         if done:
             none = [None] * len(done)
-            yield batch(_STRETCH, [[row % buckets for row, _ in done], none, none, none, none, [row for row, _ in done], none, [m for _, m in done]])
+            yield batch(_STRETCH, [[x[0] % buckets for x in done], none, none, none, [x[1] for x in done], [x[0] for x in done], none, [x[2] for x in done]])
 
     return run
 
@@ -192,7 +192,7 @@ def _mark_windows(strings: list[tuple], window: int, marks: _Marks) -> None:
     w, s = which[late], starts[late]
     o = np.lexsort((s, w))
     for i, a in zip(w[o].tolist(), s[o].tolist(), strict=True):
-        marks.add(strings[i][3], a, a + window)
+        marks.add(strings[i][3], strings[i][2], a, a + window)
 
 
 def _marked(window: int, symbols: int):
@@ -204,16 +204,16 @@ def _marked(window: int, symbols: int):
             _, key, seg, at, k, row, start, along = (c.to_pylist() for c in part.columns)
             for a, s, p, i, r, b, m in zip(key, seg, at, k, row, start, along, strict=True):
                 if m is not None:
-                    out.append((r, m))
+                    out.append((r, i, m))
                     continue
                 had = best.get(s)
                 if had is None:
                     best[s] = (a, p, i, r, b)
                 elif (i, b) < (had[2], had[4]):
-                    marks.add(had[3], had[4], had[4] + len(s))
+                    marks.add(had[3], had[2], had[4], had[4] + len(s))
                     best[s] = (a, p, i, r, b)
                 elif (i, b) > (had[2], had[4]):
-                    marks.add(r, b, b + len(s))
+                    marks.add(r, i, b, b + len(s))
         del t
         groups: dict[int, list[tuple]] = {}
         for s, (a, *rest) in best.items():
@@ -229,7 +229,7 @@ def _marked(window: int, symbols: int):
                 held, size = [], 0
         _mark_windows(held, window, marks)
         out += marks.table()
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], schema=_MARKS)
+        return pa.table([pa.array([x[j] for x in out], f.type) for j, f in enumerate(_MARKS)], schema=_MARKS)
 
     return run
 
@@ -263,8 +263,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # the texts are dealt by row once; both joins use that exchange
     held = rows.join(places, rows.row == places.mark_row, "left").select("id", "row", "text", "places")
     stretches = held.mapInArrow(_stretches(BUCKETS * n, window), _STRETCH_SQL)
-    marks = stretches.groupBy("bucket").applyInArrow(_marked(window, symbols), "row long, marks binary")
-    marks = marks.select(F.col("row").alias("mark_row"), "marks").groupBy("mark_row").agg(F.collect_list("marks").alias("marks"))
+    marks = stretches.groupBy("bucket").applyInArrow(_marked(window, symbols), "row long, id long, marks binary")
+    marks = marks.groupBy(F.col("row").alias("mark_row")).agg(F.collect_list(F.struct("id", "marks")).alias("found"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(span)), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_kept)
 
@@ -281,5 +281,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     to.append(x)
             yield batch(schema, out)
 
-    final = rows.join(marks, rows.row == marks.mark_row, "left").select("id", "text", "marks")
+    # joined by row, for which the texts are dealt already; ids settle clashes of its 64 bits
+    own = F.transform(F.filter("found", lambda x: x["id"] == F.coalesce("id", F.lit(_NONE))), lambda x: x["marks"])
+    final = rows.join(marks, rows.row == marks.mark_row, "left").withColumn("marks", own).select("id", "text", "marks")
     return final.mapInArrow(remove, "id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from foliant.plans import catalogue, reports  # noqa: F401
+from foliant.plans import catalogue, reports, rules  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -161,8 +161,9 @@ def view_id(name: Column | str) -> Column:
     return F.concat(F.lit("view."), F.left(F.sha1(name), F.lit(10)))
 
 
-def glossary(text: Column | str) -> Column:
-    """Lines `term => rendering` as entries; of the separators in a line the first of this order counts; # begins a comment."""
+def glossary(text: Column | str, most: int | None = None) -> Column:
+    """Lines `term => rendering` as entries; of the separators in a line the first of this order counts; # begins a comment.
+    `most` at most, in order."""
     separators = ("=>", "\t", "->", "→", "＝")
 
     def entry(line: Column) -> Column:
@@ -170,7 +171,8 @@ def glossary(text: Column | str) -> Column:
         return at
 
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: (value(x) != "") & ~value(x).startswith("#"))
-    return F.filter(F.transform(lines, entry), lambda e: e.isNotNull() & (e["term"] != "") & (e["rendering"] != ""))
+    found = F.filter(F.transform(lines, entry), lambda e: e.isNotNull() & (e["term"] != "") & (e["rendering"] != ""))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def sanitized(name: Column | str) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import dates, is_absent, is_code, is_skippable, strip, value, with_dates_marked, with_dates_restored
+from ..functions.prompts import is_contaminated
+from ..functions.text import dates, fidelity, is_absent, is_code, is_skippable, retry_prompt, strip, value, with_dates_marked, with_dates_restored
+from ..lineage import cut
 
 ENUM_MOST = 100
 REVIEW_MARK = "⚠️ "
@@ -57,22 +59,48 @@ def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataF
     return marked, found.select(F.sha2("norm", 256).alias("key"), "norm", "first", "refs")
 
 
-def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callable[[list[str]], list[str]], partitions: int | None = None) -> DataFrame:
-    """target and status for each unique value: from the cache where it is ok there, codes as they are, the rest by the
-    provider, a batch at a time. The cost goes with unique values, not with segments."""
+def _asked(provider: Callable[[list[str]], list[str]], most: int, column: Column | str) -> Column:
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for own in batches:
+            texts = own.tolist()
+            found = [y for i in range(0, len(texts), most) for y in provider(texts[i : i + most])]
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+            yield pd.Series(found, index=own.index)
+
+    return ask(column)
+
+
+def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callable[[list[str]], list[str]], partitions: int | None = None, most: int = 50, terms: Sequence[str] = ()) -> DataFrame:
+    """target and status for each unique value: from the cache where it is ok there (terms of a glossary never are), codes as
+    they are, the rest by the provider, `most` at a time. The cost goes with unique values, not with segments."""
     known = dictionary if cache is None else dictionary.join(cache.where(F.col("status") == "ok").select("key", F.col("target").alias("_hit")), "key", "left")
     known = known if cache is not None else known.withColumn("_hit", F.lit(None).cast("string"))
     same = F.when(is_code("norm") | is_skippable("norm"), F.col("norm"))
-    ready = known.withColumn("target", F.coalesce("_hit", same)).drop("_hit")
+    hit = F.when(~F.col("norm").isin(*terms), F.col("_hit")) if terms else F.col("_hit")
+    ready = known.withColumn("target", F.coalesce(hit, same)).drop("_hit")
     asked = ready.where("target is null")
     asked = asked.repartition(partitions) if partitions else asked
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in batches:
-            yield pd.Series(provider(own.tolist()), index=own.index)
+    return ready.where("target is not null").unionByName(asked.withColumn("target", _asked(provider, most, "norm"))).withColumn("status", F.lit("ok"))
+
+
+def verified(mapped: DataFrame, provider: Callable[[list[str]], list[str]], most: int = 1) -> DataFrame:
+    """Renderings that lack something are asked for once more, with a hint; one that then is right and doesn't repeat the
+    hint is taken, else the first stays, for review. Adds reason, why the first one failed."""
+    checked = cut(mapped.withColumn("reason", fidelity("norm", "target")))
+    good, bad = checked.where("reason = 'ok'"), checked.where("reason <> 'ok'")
+    again = bad.withColumn("_again", _asked(provider, most, retry_prompt("norm", "reason")))
+    better = (fidelity("norm", "_again") == "ok") & ~is_contaminated("_again")
+    again = again.withColumn("status", F.when(better, "ok").otherwise("review")).withColumn("target", F.when(better, F.col("_again")).otherwise(F.col("target")))
+    return good.unionByName(again.drop("_again"))
+
 
-    return ready.where("target is not null").unionByName(asked.withColumn("target", ask("norm"))).withColumn("status", F.lit("ok"))
+def index_join(items: DataFrame, renderings: DataFrame, text: str = "text", at: str = "at") -> DataFrame:
+    """Items with the rendering of their place; what has none, or isn't ok, keeps its own text (behind a mark if it failed)."""
+    joined = items.join(renderings.select(at, "target", "status"), at, "left")
+    return joined.withColumn("rendered", F.when(F.col("status").isNull(), F.col(text)).when(F.col("status") == "ok", F.col("target")).otherwise(F.concat(F.lit(REVIEW_MARK), F.col(text)))).drop("target", "status")
 
 
 def write_back(encoded: DataFrame, mapped: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,8 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -133,9 +134,43 @@ def _title(name: str, used: set[str]) -> str:
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*|\d+\.\d+)")
 
 
+# Titles and headers of workbooks with renderings.
+RESULT = "_翻译结果"
+DICTIONARY = ("对照字典", ("原文（日期归一前采样）", "译文", "状态", "引用次数"))
+
+
 def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
     """A sheet for each table, rows streamed from the executors partition by partition. Texts that are numbers become
     numbers, but for leading zeros and more than twelve digits."""
+    _write(path, [(name, chain([df.columns], df.toLocalIterator())) for name, df in sheets.items()])
+
+
+def write_backfilled(path: str, cells: DataFrame, dictionary: DataFrame | None = None, layout: str = "dict") -> None:
+    """A workbook of rendered cells (unit_id, row, col, value, rendered), units in the order of their names.
+
+    `dict`: a sheet for each unit with its renderings and, last, the dictionary (norm, target, status, refs, first), most
+    referred to first. `sheets`: each unit as it was, and behind it as rendered, `<unit>_翻译结果`. One workbook is one file
+    that the driver writes; rows come from the executors one after another.
+    """
+    if layout not in ("dict", "sheets"):
+        raise ValueError(f"no layout {layout}")
+    by_row = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce(c, F.lit("")).alias("v")))), lambda x: x["v"])
+    rows = cells.groupBy("unit_id", "row").agg(by_row("value").alias("value"), by_row("rendered").alias("rendered"))
+    names = [r.unit_id for r in cells.select("unit_id").distinct().orderBy("unit_id").collect()]  # the sheets of one file
+    own = lambda name, c: (r[0] for r in rows.where(F.col("unit_id") == name).orderBy("row").select(c).toLocalIterator())
+    out: list[tuple[str, Iterable]] = []
+    for name in names:
+        if layout == "sheets":
+            out += [(name, own(name, "value")), (f"{name[: 31 - len(RESULT)]}{RESULT}", own(name, "rendered"))]
+        else:
+            out.append((name, own(name, "rendered")))
+    if layout == "dict" and dictionary is not None:
+        ordered = dictionary.orderBy(F.col("refs").desc(), "first").select("norm", "target", "status", F.col("refs").cast("string"))
+        out.append((DICTIONARY[0], chain([DICTIONARY[1]], ordered.toLocalIterator())))
+    _write(path, out)
+
+
+def _write(path: str, sheets: list[tuple[str, Iterable]]) -> None:
 
     def cell(x: object) -> str:
         if x is None:
@@ -147,7 +182,7 @@ def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
     used: set[str] = set()
-    titles = [_title(n, used) for n in sheets]
+    titles = [_title(n, used) for n, _ in sheets]
     main, rel = _S[1:-1], _R[1:-1]
     package = "http://schemas.openxmlformats.org/package/2006"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -156,10 +191,10 @@ def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
         z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(titles, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(titles) + 1)) + "</Relationships>")
-        for i, df in enumerate(sheets.values(), 1):
+        for i, (_, rows) in enumerate(sheets, 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                out.write(f'<worksheet xmlns="{main}"><sheetData><row>{"".join(map(cell, df.columns))}</row>'.encode())
-                for row in df.toLocalIterator():
+                out.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for row in rows:
                     out.write(f"<row>{''.join(map(cell, row))}</row>".encode())
                 out.write(b"</sheetData></worksheet>")
 

@@ -167,3 +167,19 @@ def units_of(records: DataFrame, longest: int = 200, labels: tuple[str, str] = (
     nth = F.row_number().over(Window.partitionBy("_name").orderBy("source_path", "_rec", "_n"))
     texts = texts.select(F.when(nth == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("#"), nth.cast("string"))).alias("unit_id"), F.lit("text").alias("unit_type"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("_value").alias("value"))
     return tables.union(texts)
+
+
+def healed(old: DataFrame, replies: DataFrame, parsed_reply: Column, by: Sequence[str] = (*KEY, "row_number")) -> DataFrame:
+    """Records of pages read again from the models' replies (a row for each page, parsed_reply their list of maps) in place
+    of the old ones; pages of which a reply can't be read keep theirs."""
+    rows = replies.withColumn("_read", parsed_reply).where(F.col("_read").isNotNull())
+    emptied = rows.where(F.size("_read") == 0).select(*by)
+    new = rows.select(*by, F.posexplode("_read").alias("seq", "data"))
+    kept = old.join(emptied, list(by), "left_anti")
+    return replace_pages(kept, new.withColumn("data", F.to_json("data")), by)
+
+
+def single_default(rows: DataFrame, order: Sequence[str], flag: str = "is_default", by: Sequence[str] = ()) -> DataFrame:
+    """Of several rows that are the default of their group the newest stays it."""
+    w = Window.partitionBy(*(by or [F.lit(0)]), flag).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("_n", F.row_number().over(w)).withColumn(flag, F.col(flag) & (F.col("_n") == 1)).drop("_n")

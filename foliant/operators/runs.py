@@ -215,3 +215,20 @@ def moved(runs: DataFrame, changes: DataFrame, key: str = "run_id") -> DataFrame
     first = changes.join(own, [key, "was"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, "becomes", "at")
     joined = runs.join(first, key, "left")
     return joined.withColumn("finished_at", F.when(F.col("becomes").isin(*DONE), F.col("at")).otherwise(F.col("finished_at"))).withColumn("status", F.coalesce("becomes", "status")).select(*runs.columns)
+
+
+def child_steps(tasks: DataFrame, runs: DataFrame) -> DataFrame:
+    """By parent run and the step that started it: the latest task of each step of its child runs.
+
+    tasks: run_id, step_index, status, created_at, task_id; runs: run_id, parent_run, parent_step.
+    """
+    own = runs.where(F.col("parent_run").isNotNull()).select("run_id", "parent_run", "parent_step")
+    return latest(tasks.join(own, "run_id"), ["parent_run", "parent_step", "step_index"], ["created_at", "task_id"], ["run_id", "status"])
+
+
+def root_stats(tasks: DataFrame, runs: DataFrame, seconds: str, pipelines: Sequence[str] | None = None) -> DataFrame:
+    """stats by root pipeline: tasks count for the pipeline of their run's parent, where it has one. pipelines: these alone."""
+    up = runs.select(F.col("run_id").alias("_up"), F.col("pipeline_id").alias("_root"))
+    own = runs.join(up, F.col("parent_run") == F.col("_up"), "left").select("run_id", F.coalesce("_root", "pipeline_id").alias("root"))
+    own = own if pipelines is None else own.where(F.col("root").isin(*pipelines))
+    return stats(tasks.join(own, "run_id"), ["root"], seconds)

@@ -147,3 +147,11 @@ def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: st
 
 def blank(x: Column | str) -> Column:
     return is_absent(x)
+
+
+def verified_lists(rows: DataFrame, sources: str = "sources", targets: str = "targets") -> DataFrame:
+    """Adds results, a list of (ok, reason) for lists of texts and renderings; lists of unlike lengths are an error."""
+    same = F.size(sources) == F.size(targets)
+    found = F.transform(F.arrays_zip(F.col(sources).alias("s"), F.col(targets).alias("t")), lambda x: fidelity(x["s"], x["t"]))
+    judged = F.transform(found, lambda r: F.struct((r == "ok").alias("ok"), F.when(r == "ok", "").otherwise(r).alias("reason")))
+    return rows.withColumn("results", F.when(same, judged).otherwise(F.raise_error(F.lit("texts and renderings differ in number"))))

@@ -49,3 +49,14 @@ def unique_names(files: DataFrame, by: tuple[str, ...], name: str, order: str) -
     n = F.row_number().over(Window.partitionBy(*by, name).orderBy(order))
     stem, dot = F.regexp_replace(name, r"\.[^.]+$", ""), F.regexp_extract(name, r"(\.[^.]+)$", 1)
     return files.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), dot)))
+
+
+def inventory(files: DataFrame, records: DataFrame, path: str = "path") -> DataFrame:
+    """Files with how many records each has; none for those without, or that can't be read."""
+    counts = records.groupBy(path).agg(F.count("*").alias("records"))
+    return files.join(counts, path, "left").withColumn("records", F.coalesce("records", F.lit(0)))
+
+
+def unpruned(manifests: DataFrame, now: Column, days: int = 30, created: str = "created_at") -> DataFrame:
+    """Manifests that are no older than that; those without a date stay."""
+    return manifests.where(F.coalesce(F.col(created) >= now - F.make_dt_interval(F.lit(days)), F.lit(True)))

@@ -59,17 +59,22 @@ def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataF
     return marked, found.select(F.sha2("norm", 256).alias("key"), "norm", "first", "refs")
 
 
-def _asked(provider: Callable[[list[str]], list[str]], most: int, column: Column | str) -> Column:
+def _asked(provider: Callable[[list[str]], list[str]], most: int, column: Column | str, known: Column | str | None = None) -> Column:
+    """The provider's answers, `most` texts at a time; texts with a known one aren't asked for."""
+
     @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for own in batches:
-            texts = own.tolist()
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for own, had in batches:
+            out = had.astype(object)
+            open_ = out.isna() & own.notna()
+            texts = own[open_].tolist()
             found = [y for i in range(0, len(texts), most) for y in provider(texts[i : i + most])]
             if len(found) != len(texts):
                 raise ValueError(f"{len(found)} answers to {len(texts)} texts")
-            yield pd.Series(found, index=own.index)
+            out[open_] = found
+            yield out
 
-    return ask(column)
+    return ask(column, F.lit(None).cast("string") if known is None else known)
 
 
 def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callable[[list[str]], list[str]], partitions: int | None = None, most: int = 50, terms: Sequence[str] = ()) -> DataFrame:
@@ -80,10 +85,9 @@ def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callabl
     same = F.when(is_code("norm") | is_skippable("norm"), F.col("norm"))
     hit = F.when(~F.col("norm").isin(*terms), F.col("_hit")) if terms else F.col("_hit")
     ready = known.withColumn("target", F.coalesce(hit, same)).drop("_hit")
-    asked = ready.where("target is null")
-    asked = asked.repartition(partitions) if partitions else asked
-
-    return ready.where("target is not null").unionByName(asked.withColumn("target", _asked(provider, most, "norm"))).withColumn("status", F.lit("ok"))
+    ready = ready.repartition(partitions) if partitions else ready
+    # one pass: what is known goes through beside what is asked for, so that the dictionary is built once
+    return ready.withColumn("target", _asked(provider, most, "norm", "target")).withColumn("status", F.lit("ok"))
 
 
 def verified(mapped: DataFrame, provider: Callable[[list[str]], list[str]], most: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, saved, spread, text_of
 
 WINDOW, BIN, END_ID, DEPTH = 4096, 16, 2, 3
-CACHED_WORDS, AT_ONCE = 300_000, 4_000_000
+CACHED_WORDS, AT_ONCE = 200_000, 2_000_000
 
 
 #: Words of letters whose composed form and lower case are plain: ASCII's and Latin-1's. A stop or comma may follow.
@@ -52,7 +52,7 @@ class Merges:
         merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int32), merged
-        bits = 22  # a table by hash, with the sorted keys for the few that collide
+        bits = 20  # a table by hash, with the sorted keys for the few that collide
         self.shift = np.uint64(64 - bits)
         slot = self._slot(self.keys)
         self.table_key, self.table_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NO, np.int32)

@@ -87,6 +87,13 @@ class View:
             raise ValueError("a view has no " + ", ".join(sorted(bad)))
         return self
 
+    def _folds(self) -> bool:
+        """No aggregate needs the values themselves: conditions are then flags, and no list is gathered."""
+        return all(a.op in ("group_key", "page", "page_start", "page_end", "page_count") for a in self.aggregates)
+
+    def _tests(self) -> list[Test]:
+        return list(dict.fromkeys(t for r in self.rules for t in (*r.all, *r.any)))
+
     def _lists(self) -> list[str]:
         """Fields of which values are gathered: no others reach the shuffle."""
         from_aggregates = [a.field if a.op == "evidence" else a.source for a in self.aggregates if a.op in ("first_value", "last_value", "count_values", "join_values", "evidence")]
@@ -124,20 +131,42 @@ def holds(t: Test, own: Column) -> Column:
     }[t.op]()
 
 
-def verdict(view: View, own: dict[str, Column]) -> Column:
-    """The first rule that holds; all of its `all`, and one of its `any` if there are some."""
+def _seen(t: Test, absent: tuple[str, ...]) -> Column:
+    """Whether a record has a value that decides a condition: one for it, or, of `empty` and `not_contains`, one against it."""
+    v, x = value(t.field), t.values[0]
+    own = {
+        "nonempty": lambda: F.lit(True),
+        "empty": lambda: F.lit(True),
+        "contains_any": lambda: reduce(lambda a, b: a | b, [v.contains(y) for y in t.values]),
+        "not_contains": lambda: v.contains(x),
+        "eq": lambda: v == x,
+        "startswith": lambda: v.startswith(x),
+        "contains": lambda: v.contains(x),
+    }[t.op]()
+    return ~v.isin("", *absent) & own
+
+
+def verdict(view: View, own: dict[str, Column], flags: dict[Test, Column] | None = None) -> Column:
+    """The first rule that holds; all of its `all`, and one of its `any` if there are some. flags: of _seen, in place of lists."""
+    met = (lambda t: holds(t, own[t.field])) if flags is None else (lambda t: ~flags[t] if t.op in ("empty", "not_contains") else flags[t])
     out = None
     for r in view.rules:
-        good = reduce(lambda a, b: a & b, [holds(t, own[t.field]) for t in r.all], F.lit(True))
+        good = reduce(lambda a, b: a & b, [met(t) for t in r.all], F.lit(True))
         if r.any:
-            good = good & reduce(lambda a, b: a | b, [holds(t, own[t.field]) for t in r.any])
+            good = good & reduce(lambda a, b: a | b, [met(t) for t in r.any])
         out = F.when(good, r.label) if out is None else out.when(good, r.label)
     return F.lit(view.default) if out is None else out.otherwise(view.default)
 
 
 def _slots(rows: DataFrame, view: View, keys: Sequence[str], page: str, order: Sequence[str]) -> DataFrame:
-    """A row for each page with the distinct values of each field that matters, in order."""
+    """A row for each page with the distinct values of each field that matters, in order; where lists aren't needed, with
+    flags of conditions and the first value that groups."""
     place = F.struct(*order)
+    if view._folds():
+        flags = [F.bool_or(_seen(t, view.absent)).alias(f"_t{i}") for i, t in enumerate(view._tests())]
+        v = value(view.field) if view.field else F.lit("")
+        first = [F.min(F.when(~v.isin("", *view.absent), F.struct(place.alias("at"), v.alias("v"))))["v"].alias("_own")]
+        return rows.groupBy(*keys, F.col(page).alias("_page")).agg(*first, *flags)
     own = [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(~value(f).isin("", *view.absent), F.struct(place.alias("at"), value(f).alias("v"))))), lambda x: x["v"])).alias(f"_{f}") for f in view._lists()]
     return rows.groupBy(*keys, F.col(page).alias("_page")).agg(*(own or [F.lit(1).alias("_none")]))
 
@@ -147,7 +176,7 @@ def _grouped(pages: DataFrame, view: View, keys: Sequence[str]) -> DataFrame:
     by, first = Window.partitionBy(*keys).orderBy("_page"), F.lit(view.untitled)
     if view.mode == "none":
         return pages.withColumn("_key", F.lit("")).withColumn("_group", F.col("_page"))
-    pages = pages.withColumn("_own", F.get(F.col(f"_{view.field}"), 0))
+    pages = pages if view._folds() else pages.withColumn("_own", F.get(F.col(f"_{view.field}"), 0))
     if view.mode == "value_run":
         filled = pages.withColumn("_key", F.coalesce(F.last("_own", ignorenulls=True).over(by), first))
         changed = F.coalesce((F.col("_key") != F.lag("_key").over(by)).cast("int"), F.lit(1))
@@ -203,11 +232,15 @@ def compile_view(rows: DataFrame, view: View, *, keys: Sequence[str] = (), page:
     pages = _grouped(_slots(rows, view, keys, page, order), view, keys)
     fields = view._lists()
     gathered = [F.array_sort(F.collect_list(F.struct(F.col("_page").alias("page"), F.col(f"_{f}").alias("v")))).alias(f"_{f}") for f in fields]
+    tests = view._tests()
+    gathered = [F.bool_or(f"_t{i}").alias(f"_t{i}") for i in range(len(tests))] if view._folds() else gathered
     groups = pages.groupBy(*keys, "_key", "_group").agg(F.min("_page").alias("_low"), F.max("_page").alias("_high"), F.count("*").alias("_n"), *gathered)
     own = {f: F.col(f"_{f}") for f in fields}
+    flags = {t: F.col(f"_t{i}") for i, t in enumerate(tests)} if view._folds() else None
     out = [_aggregate(a, view, own).alias(a.column) for a in view.aggregates]
     if view.verdict:
-        out.append(verdict(view, {f: F.flatten(F.transform(c, lambda p: p["v"])) for f, c in own.items()}).alias(view.verdict))
+        lists = {} if flags else {f: F.flatten(F.transform(c, lambda p: p["v"])) for f, c in own.items()}
+        out.append(verdict(view, lists, flags).alias(view.verdict))
     made = groups.select(*keys, *out, F.col("_low"))
     made = _sorted(made, view, [*map(F.col, keys), F.col("_low")])
     return made.select(*keys, *(view.columns or [c for c in made.columns if c not in keys and c != "_low"]))

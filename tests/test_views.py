@@ -104,3 +104,15 @@ def test_results_do_not_depend_on_partitions(spark):
     view = View(mode="value_run", field="k", aggregates=SPAN)
     one = sorted(map(tuple, compile_view(rows.repartition(1), view).collect()))
     assert one == sorted(map(tuple, compile_view(rows.repartition(9), view).collect()))
+
+
+@pytest.mark.parametrize("mode", ["none", "value", "value_run"])
+def test_flags_decide_as_lists_do(spark, mode):
+    """Views that need no values fold conditions into flags; an aggregate that needs some makes lists of them."""
+    random.seed(3)
+    rows = spark.createDataFrame([(s, p, i, random.choice(["ab", "abc", "x", "", "未见", " y "]), random.choice(["", "未出现", "k", "kk"])) for s in range(6) for p in range(1, 9) for i in range(random.randint(1, 3))], "s int, page int, ord int, v string, k string")
+    tests = [Test("v", "nonempty"), Test("v", "empty"), Test("v", "contains_any", ("c", "y")), Test("v", "not_contains", "b"), Test("v", "contains", "b"), Test("v", "eq", "y"), Test("k", "startswith", "kk"), Test("k", "empty")]
+    rules = tuple(Rule(f"r{i}{j}", all=(a,), any=(b, tests[-1])) for i, a in enumerate(tests) for j, b in enumerate(tests) if i < j)
+    for chosen in (rules, rules[::-1], rules[5::7]):
+        both = [compile_view(rows, View(mode=mode, field="k" if mode != "none" else "", aggregates=(*SPAN, *more), verdict="w", rules=chosen), keys=["s"]).select("s", "page", "w").collect() for more in ((), (Aggregate("all", "join_values", "v"),))]
+        assert sorted(map(tuple, both[0])) == sorted(map(tuple, both[1]))

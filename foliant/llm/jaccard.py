@@ -238,9 +238,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = cut.groupBy("fragment").applyInArrow(_shared(n), _PACKED.format("block") + ", freqs binary, fragment int")
     sets = saved(shared.groupBy("block").applyInArrow(_linkable(num, den), "sig long, n int, tokens array<long>"), "sets")
     roots = set_links(sets, n, num, den)
-    if roots is None:
-        placed = known.select("id", "n", F.col("sig").alias("root"))
-    else:
-        placed = known.join(roots, known.sig == roots.node, "left").select("id", "n", F.coalesce("root", "sig").alias("root"))
-    first = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("first"))
-    return placed.join(first.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & (F.col("n") > 0), "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
+    # the smallest id of each set, and of its component: tables by set, so that no document is dealt by its component
+    lows = known.where("n > 0").groupBy("sig").agg(F.min("id").alias("first"))
+    if roots is not None:
+        lows = saved(lows, "lows")
+        least = roots.join(lows, roots.node == lows.sig).groupBy("root").agg(F.min("first").alias("least"))
+        least = roots.join(saved(least, "least"), "root").select(F.col("node").alias("sig"), "least")
+        lows = lows.join(least, "sig", "left").select("sig", F.coalesce("least", "first").alias("first"))
+    placed = known.join(saved(lows, "firsts"), "sig", "left")
+    return placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))

@@ -257,7 +257,9 @@ def density(node: Node) -> float:
 def candidates(root: Node) -> tuple[dict[Node, float], dict[Node, int]]:
     """Points by container, and its paragraphs: a paragraph's whole points to its parent, half to the next level, a third of a half and less above.
 
-    A level ends where an ancestor has more paragraphs.
+    A level ends where an ancestor has more paragraphs. An article, or a main element without one, is a container that the
+    author marked: it gets whole points from any depth, and a start. Headings and blocks under 25 characters give none
+    (they stay where the container stays). Of containers with equal points the first that got some is the best.
     """
     points: dict[Node, float] = {}
     found = []
@@ -270,12 +272,13 @@ def candidates(root: Node) -> tuple[dict[Node, float], dict[Node, int]]:
         for node in above:
             paragraphs[node] = paragraphs.get(node, 0) + 1
     for own, above in found:
-        level = 0
+        level, marked = 0, False
         for below, node in zip([None, *above], above, strict=False):
             level += below is not None and paragraphs[node] > paragraphs[below]
-            bonus = 25.0 if node not in points and node.names & GOOD else 0.0
-            bonus += 10.0 if node not in points and node.tag in ("article", "main") else 0.0
-            points[node] = points.get(node, 0.0) + bonus + own / (1 if level == 0 else 2 if level == 1 else level * 3)
+            whole = node.tag == "article" or node.tag == "main" and not marked
+            marked |= whole
+            bonus = 0.0 if node in points else (25.0 if node.names & GOOD else 0.0) + (40.0 if whole else 0.0)
+            points[node] = points.get(node, 0.0) + bonus + own / (1 if level == 0 or whole else 2 if level == 1 else level * 3)
     return {n: p * (1 - density(n)) for n, p in points.items()}, paragraphs
 
 
@@ -289,8 +292,6 @@ def extract(page: str | None) -> str:
     points, paragraphs = candidates(root)
     if points:
         best = max(points, key=lambda n: points[n])
-        # an article or main element around the best container is the container its author meant
-        best = next((n for n in _up(best) if n.tag == "article"), next((n for n in _up(best) if n.tag == "main"), best))
         least = max(10.0, 0.2 * points.get(best, 0.0))
         kept = []
         for c in best.parent.children if best.parent else [best]:
@@ -325,7 +326,10 @@ def _all(root: Node) -> Iterator[Node]:
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: id, url, text, n_chars (code points). Null and empty pages have an empty text; repeated rows stay."""
+    """Per row: id, url, text, n_chars (code points). Null and empty pages have an empty text; repeated rows stay.
+
+    Pages of any length are read whole, equal pages alike; no rows give none; other columns are ignored.
+    """
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -300,12 +300,22 @@ def test_deep_and_short_pages():
 LONG = [f"Paragraph {i} has commas, several of them, and enough text to be worth something to a reader." for i in range(5)]
 
 
-@pytest.mark.parametrize("name", ["content with-sidebar", "post no-comments", "layoutHasSidebar", "sidebar content", "sidebar"])
+@pytest.mark.parametrize("name", ["content with-sidebar", "post no-comments", "layoutHasSidebar", "sidebar content", "sidebar", "site has-sidebar", "no-sidebar", "content search-page", "post share-enabled", "layout-widget", "single post tags", "entry hidden-xs", "page-with-footer"])
 def test_names_of_notices_spare_main_text(name):
     page = f'<body><div class="{name}">{"".join(f"<p>{x}</p>" for x in LONG)}</div><div class="widget_text"><p>{LONG[0]} Widget.</p></div></body>'
     assert html.extract(page).split("\n\n") == LONG
 
 
+def test_scores_choose_the_container_inside_an_article_too():
+    lead, end = "A lead of its own, long enough to count.", "An end note, long enough to count as well."
+    links = "".join(f"<li><a href={i}>Other story number {i}, which is elsewhere</a></li>" for i in range(40))
+    whole = f"<article><h1>Title</h1><p>{lead}</p><div class=content>{''.join(f'<p>{x}</p>' for x in LONG)}</div><p>{end}</p></article>"
+    assert html.extract(f"<body>{whole}<ul>{links}</ul></body>").split("\n\n") == ["Title", lead, *LONG, end]
+    # an article that is mostly links isn't the container, whatever its tag says
+    page = f"<body><article><ul>{links}</ul><p>{lead}</p></article><div>{''.join(f'<p>{x}</p>' for x in LONG)}</div></body>"
+    assert html.extract(page).split("\n\n")[-5:] == LONG
+
+
 def test_many_comments_are_no_main_text():
     page = f'<body><div class="post"><p>{LONG[0]}</p></div><div class="comments">{"".join(f"<p>{x}</p>" for x in LONG * 3)}</div></body>'
     assert html.extract(page) == LONG[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprint, html, jaccard, packing, secrets, suffix_dedup, toxicity, urls, warc
+from . import common, decontaminate, exact_search, fingerprint, html, jaccard, packing, secrets, suffix_dedup, toxicity, urls, warc, whitening, word_runs
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose checksum is divisible by ten, with their words repeated as the contract states: words from a on
+    are the p words behind a, over and over. A row without an id stays as it is."""
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    own = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    own = own.withColumn("n", F.size("words").cast("long")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(1 + (n - a) div p as int))), 1, cast(n - a as int))")
+    return own.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(words, 1, a)"), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.periodic_runs(_with_repeats(common.table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    longer = lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    best = found.select("*", F.reduce("runs", none, longer).alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(common.table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_url_filter, op4_html_extraction, op5_packing, op6_secret_scan, op7_warc, op8_decontamination, op9_fingerprint, op10_toxicity, op11_whitening, op12_periodic_runs, op13_exact_search)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _JACCARD_SQL = f"""
@@ -91,5 +120,10 @@ hits as (select doc_id, i, dw.n, item from dw join bw on bw.k = dw.k and bw.n =
 c as (select doc_id, count(*) h from pos group by 1), own as (select doc_id, count(distinct item) m, string_agg(distinct item, ',' order by item) ids from hits group by 1)
 select d.doc_id, len(w) as n_words, coalesce(h, 0) as n_hit, coalesce(m, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(h, 0) > 0 and 20 * coalesce(h, 0) >= len(w) as contaminated
 from d left join c on c.doc_id = d.doc_id left join own on own.doc_id = d.doc_id"""
+_SEARCH_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) x from embeddings where len(list_filter(embedding, lambda e: e is null or not isfinite(e::double))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
 
-ORACLE_SQL = {"op1_jaccard_join": _JACCARD_SQL, "op3_url_filter": urls.oracle_sql(), "op7_warc": _WARC_SQL, "op8_decontamination": _CONTAMINATION_SQL}
+ORACLE_SQL = {"op1_jaccard_join": _JACCARD_SQL, "op3_url_filter": urls.oracle_sql(), "op7_warc": _WARC_SQL, "op8_decontamination": _CONTAMINATION_SQL, "op13_exact_search": _SEARCH_SQL}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import basename
+from ..lineage import cut
 
 
 def like(column: Column | str, text: str) -> Column:
@@ -51,14 +55,77 @@ def dictionary_of(entries: DataFrame, q: str = "", status: str | None = None, mo
     return out if model is None else out.where(F.col("model") == model)
 
 
-def references(tasks: DataFrame, paths: DataFrame, path: str = "path", suffixes: Sequence[str] = ()) -> DataFrame:
-    """By path: how many successful tasks of a run name it in their output (JSON text).
+def references(tasks: DataFrame, paths: DataFrame, path: str = "path", output: str = "output") -> DataFrame:
+    """By path: how many successful tasks of a run have it in their output (JSON text), also within a longer text.
 
-    Outputs are cut into the strings they hold, which meet the paths by equality; tasks whose run is gone don't count.
+    Outputs are compared as canonical JSON, so that `\\/` and `\\u` escapes hide nothing, and paths as they stand in JSON;
+    what isn't JSON is taken as it is. Tasks whose run is gone don't count, nulls neither; a blank path is in every output.
+    Nulls and repeats among the paths go.
+
+    Both sides are cut into grams of a few bytes, of which the least hash of every window is kept. A text that holds a path
+    holds all of the path's kept grams, so the two meet by equality on the one of them that the fewest outputs have, and
+    are compared then. Windows are as wide as the shortest path allows: one number.
     """
-    live = tasks.where((F.col("status") == "succeeded") & F.col("run").isNotNull()).select("task_id", "output")
-    held = live.select("task_id", F.explode(F.regexp_extract_all("output", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))).alias(path)).distinct()
-    return paths.select(path).distinct().join(held, path, "left").groupBy(path).agg(F.count("task_id").alias("refs"))
+    live = tasks.where((F.col("status") == "succeeded") & F.col("run").isNotNull() & F.col(output).isNotNull())
+    own = cut(live.select(F.coalesce(F.to_json(F.try_parse_json(output)), F.col(output)).alias("text")).withColumn("task", F.monotonically_increasing_id()))
+    said = F.to_json(F.struct(F.col(path).alias("p")))  # {"p":"..."}
+    needles = cut(paths.select(path).where(F.col(path).isNotNull()).distinct().withColumn("needle", F.substr(said, F.lit(7), F.length(said) - 8)))
+    least = needles.where("needle <> ''").agg(F.min(F.octet_length("needle"))).first()[0]
+    whole = needles.where("needle = ''").select(path, F.lit(own.count()).alias("refs"))
+    if not least:
+        return whole
+    size = min(8, least)
+    window = min(least - size + 1, WINDOW)
+    held = cut(_grams(own.select("task", "text"), size, window))
+    asked = _grams(needles.where("needle <> ''").select(path, "needle"), size, window)
+    seen = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no output has says that none has the path
+    rarest = asked.join(seen, "gram", "left").groupBy(path).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    met = rarest.join(held, "gram").select(path, "task").join(own, "task").join(needles, path)
+    counts = met.where(F.contains("text", "needle")).groupBy(path).agg(F.count("*").alias("refs"))
+    return needles.where("needle <> ''").join(counts, path, "left").select(path, F.coalesce("refs", F.lit(0)).alias("refs")).union(whole)
+
+
+#: Grams of a window, at most.
+WINDOW = 24
+
+
+def _grams(rows: DataFrame, size: int, window: int) -> DataFrame:
+    """The first column with each gram of the second, a text, that has the least hash of a window."""
+    key = rows.schema[0]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [least_grams(x.as_buffer().to_pybytes(), size, window) for x in b.column(1)]
+            of = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate(grams) if grams else [], pa.int64())], [key.name, "gram"])
+
+    return rows.mapInArrow(judge, StructType([key, StructField("gram", LongType())]))
+
+
+def least_grams(text: bytes, size: int, window: int) -> np.ndarray:
+    """Hashes of grams (8 bytes at most) that are the least of some window of so many, each once."""
+    n = len(text) - size + 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    own, grams = np.frombuffer(text, np.uint8).astype(np.uint64), np.zeros(n, np.uint64)
+    for k in range(size):
+        grams = grams << np.uint64(8) | own[k : k + n]
+    grams = (grams ^ grams >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    reach = 1
+    while reach < window:
+        step = min(reach, window - reach)
+        grams = np.minimum(grams[: len(grams) - step], grams[step:])
+        reach += step
+    return np.unique(grams).view(np.int64)
+
+
+def runs_of_uploads(runs: DataFrame, folders: DataFrame, folder: str = "folder", file: str = "file") -> DataFrame:
+    """Runs whose file lies in one of the folders, or below it: folder and the run's columns. The folders on a file's way meet
+    them by equality; neither the way's first part nor the file's own name is one."""
+    parts = F.split(file, "/")
+    on_way = F.array_distinct(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))
+    return runs.withColumn(folder, F.explode(on_way)).join(folders.select(folder).distinct(), folder)
 
 
 def source_files(names: DataFrame, files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:

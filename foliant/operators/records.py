@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ABSENT, basename, is_absent, value, year_month
+from .scans import Scan, stretch
 
 KEY = ("file_hash", "source_path")
 
@@ -79,10 +80,9 @@ def union_stores(stores: Sequence[DataFrame], path: str = "source_path") -> Data
 
 
 def fill_key(rows: DataFrame, key: str, keys: Sequence[str], order: Sequence[str], marks: tuple[str, ...] = ABSENT) -> DataFrame:
-    """A blank key takes the last one before it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """A blank key takes the last one before it. Without keys all rows are one sequence, in ranges of many tasks."""
     seen = F.when(~is_absent(key, marks), F.col(key))
-    return rows.withColumn(key, F.coalesce(F.last(seen, ignorenulls=True).over(w), F.col(key)))
+    return stretch(rows, {"_seen": Scan("last", seen)}, order, keys).withColumn(key, F.coalesce("_seen", key)).drop("_seen")
 
 
 def join_rows(rows: DataFrame, key: str, fields: Sequence[str], keys: Sequence[str], order: Sequence[str], sep: str = "；", marks: tuple[str, ...] = ABSENT) -> DataFrame:
@@ -90,9 +90,9 @@ def join_rows(rows: DataFrame, key: str, fields: Sequence[str], keys: Sequence[s
 
     The beginning row's value stays even if it is an absent mark; of the others blanks and marks are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    begins = (~is_absent(key, marks)) | (F.row_number().over(w) == 1)
-    rows = rows.withColumn("_begins", begins).withColumn("_gid", F.sum(F.col("_begins").cast("int")).over(w))
+    named = ~is_absent(key, marks)
+    rows = stretch(rows, {"_gid": Scan("sum", named.cast("long")), "_nth": Scan("count")}, order, keys)
+    rows = rows.withColumn("_begins", named | (F.col("_nth") == 1))
     place = F.struct(*order)
     joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.when(F.col("_begins"), value(f) != "").otherwise(~is_absent(f, marks)), F.struct(place.alias("at"), value(f).alias("v"))))), lambda x: x["v"]), sep).alias(f) for f in fields]
     first = F.min_by(key, place).alias(key)

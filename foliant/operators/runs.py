@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .scans import Scan, stretch
 
 DONE = ("succeeded", "failed", "failed_review", "cancelled", "interrupted")
 STATUSES = ("queued", "running", *DONE, "paused")
@@ -89,8 +90,7 @@ def usage(rows: DataFrame, by: str, amounts: Sequence[str]) -> DataFrame:
 
 def failure_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, most: int) -> DataFrame:
     """Stretches of failures in a row that are long enough to stop for."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_f", failed).withColumn("_run", F.sum((~F.col("_f")).cast("int")).over(w))
+    marked = stretch(rows.withColumn("_f", failed), {"_run": Scan("sum", (~F.col("_f")).cast("long"))}, order, keys)
     own = marked.where("_f").groupBy(*keys, "_run").agg(F.count("*").alias("length"), F.min(F.struct(*order)).alias("_at"))
     return own.where(F.col("length") >= most).select(*keys, *[F.col(f"_at.{c}").alias(c) for c in order], "length")
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions.prompts import is_contaminated
 from ..functions.text import dates, fidelity, is_absent, is_code, is_skippable, retry_prompt, strip, value, with_dates_marked, with_dates_restored
 from ..lineage import cut
+from .scans import Scan, ranked, stretch
 
 ENUM_MOST = 100
 REVIEW_MARK = "⚠️ "
@@ -43,12 +44,12 @@ def harvest(table: DataFrame, classes: DataFrame, unit: Sequence[str] = ("unit_i
 def ranges(segments: DataFrame, units: DataFrame, unit: Sequence[str] = ("unit_id",), order: Sequence[str] = ("unit_id",), batch: Sequence[str] = ()) -> DataFrame:
     """By unit, those without segments and texts included: where its segments begin among all of its batch, and how many.
 
-    units: a row for each, with what orders them. Sums run over the units of a batch (a file, an upload), not over segments.
+    units: a row for each, with what orders them. Sums run over the units of a batch (a file, an upload), not over segments;
+    without a batch over all units, in ranges of many tasks.
     """
     counts = segments.groupBy(*batch, *unit).agg(F.count("*").alias("count"))
     counts = units.select(*dict.fromkeys([*batch, *unit, *order])).join(counts, [*batch, *unit], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    before = Window.partitionBy(*(batch or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return stretch(counts, {"_upto": Scan("sum", "count")}, order, batch).withColumn("start", F.col("_upto") - F.col("count")).drop("_upto")
 
 
 def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +60,12 @@ def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataF
     return marked, found.select(F.sha2("norm", 256).alias("key"), "norm", "first", "refs")
 
 
+def indexed(marked: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of encode with uniq_idx: numbers from 0 by the first place at which a text is seen."""
+    numbered = cut(ranked(dictionary, ["first"], "_place").withColumn("uniq_idx", F.col("_place") - 1).drop("_place"))
+    return marked.join(numbered.select("norm", "uniq_idx"), "norm", "left"), numbered
+
+
 def _asked(provider: Callable[[list[str]], list[str]], most: int, column: Column | str, known: Column | str | None = None) -> Column:
     """The provider's answers, `most` texts at a time; texts with a known one aren't asked for."""
 

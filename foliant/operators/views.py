@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ABSENT, clip, value
+from .scans import Scan, stretch
 
 MODES = ("none", "value", "value_run", "record")
 NUMBERS = ("page_start", "page_end", "page_count", "count_values")
@@ -173,21 +174,27 @@ def _slots(rows: DataFrame, view: View, keys: Sequence[str], page: str, order: S
 
 def _grouped(pages: DataFrame, view: View, keys: Sequence[str]) -> DataFrame:
     """Adds _key and _group, the group's place in its sequence."""
-    by, first = Window.partitionBy(*keys).orderBy("_page"), F.lit(view.untitled)
+    first = F.lit(view.untitled)
     if view.mode == "none":
         return pages.withColumn("_key", F.lit("")).withColumn("_group", F.col("_page"))
     pages = pages if view._folds() else pages.withColumn("_own", F.get(F.col(f"_{view.field}"), 0))
     if view.mode == "value_run":
-        filled = pages.withColumn("_key", F.coalesce(F.last("_own", ignorenulls=True).over(by), first))
-        changed = F.coalesce((F.col("_key") != F.lag("_key").over(by)).cast("int"), F.lit(1))
-        return filled.withColumn("_change", changed).withColumn("_group", F.sum("_change").over(by))
+        seen = stretch(pages, {"_last": Scan("last", "_own"), "_ahead": Scan("before", "_own"), "_nth": Scan("count")}, ["_page"], keys)
+        filled = seen.withColumn("_key", F.coalesce("_last", first))
+        changed = (F.col("_nth") == 1) | (F.col("_key") != F.coalesce("_ahead", first))
+        return stretch(filled, {"_group": Scan("sum", changed.cast("long"))}, ["_page"], keys)
     if view.blank_joins_previous:
         # a blank page joins the group made last, which isn't the last page's
-        made = F.when(F.col("_page") == F.min("_page").over(Window.partitionBy(*keys, "_own")), F.col("_own"))
-        pages = pages.withColumn("_made", made).withColumn("_key", F.coalesce("_own", F.last("_made", ignorenulls=True).over(by), first))
+        if keys:
+            made = F.when(F.col("_page") == F.min("_page").over(Window.partitionBy(*keys, "_own")), F.col("_own"))
+            pages = pages.withColumn("_made", made)
+        else:  # a value of very many pages isn't gathered: its first page meets it by both
+            firsts = pages.where("_own is not null").groupBy("_own").agg(F.min("_page").alias("_page")).withColumn("_made", F.col("_own"))
+            pages = pages.join(firsts, ["_own", "_page"], "left")
+        pages = stretch(pages, {"_latest": Scan("last", "_made")}, ["_page"], keys).withColumn("_key", F.coalesce("_own", "_latest", first))
     else:
         pages = pages.withColumn("_key", F.coalesce("_own", first))
-    return pages.withColumn("_group", F.min("_page").over(Window.partitionBy(*keys, "_key")))
+    return pages.withColumn("_group", F.lit(0))  # the key tells the group
 
 
 def _aggregate(a: Aggregate, view: View, own: dict[str, Column]) -> Column:

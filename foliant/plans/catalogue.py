@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import records, segments
+from ..operators import records, scans, segments
 from ..operators.views import Aggregate, Rule, Test, View, compile_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,8 +181,7 @@ def sort_mixed_int_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compile_view(_event_pages(spark, sf_dir), view, keys=["user_id"], order=["event_id"])
     number = F.when(~F.contains("page", F.lit("-")), F.col("page").try_cast("long"))
     low = F.split_part(F.col("page"), F.lit("-"), F.lit(1)).cast("long")
-    w = Window.orderBy(F.contains("page", F.lit("-")).cast("int").desc(), number.desc(), F.col("page").desc(), "user_id", low)
-    return out.withColumn("place", F.row_number().over(w).cast("long"))
+    return scans.ranked(out, [F.contains("page", F.lit("-")).cast("int").desc(), number.desc(), F.col("page").desc(), F.col("user_id"), low])
 
 
 @query("select c_custkey, c_name, c_acctbal from customer where c_name like '%1%' order by c_acctbal desc, c_custkey limit 20 offset 40")
@@ -385,7 +384,7 @@ def unique_map_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select row_number() over (order by count(*) desc, min(o_orderkey)) as place, norm, count(*) as refs from ({_DATED}) group by norm")
 def dictionary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = segments.encode(_dated(spark, sf_dir), "t", "o_orderkey")[1]
-    return own.select(F.row_number().over(Window.orderBy(F.col("refs").desc(), "first")).cast("long").alias("place"), "norm", "refs").orderBy("place")
+    return scans.ranked(own.select("norm", "refs", "first"), [F.col("refs").desc(), "first"]).select("place", "norm", "refs").orderBy("place")
 
 
 _PAIR_KINDS = "['same', 'number', 'mark', 'empty', 'blank', 'digits', 'long', 'good', 'code']"

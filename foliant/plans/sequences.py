@@ -27,16 +27,16 @@ _FLOW = (advance.FlowStep(), advance.FlowStep(), advance.FlowStep(when={"prev.ou
 
 @query(
     f"""with e as ({_TOLD}), c as (select run_id, min((ts, event_id)) filter (status = 'failed' or status = 'succeeded' and step_index = 3) c from e group by 1),
-    s as (select run_id, step_index k, min((ts, event_id)) at, arg_min(value, (ts, event_id)) v from e join c using (run_id) where status = 'succeeded' and (c is null or (ts, event_id) <= c) group by 1, 2),
-    w as (select run_id, max(at) filter (k = 0) s0, max(at) filter (k = 1) s1, max(v) filter (k = 1) v1, max(at) filter (k = 2) s2, max(at) filter (k = 3) s3 from s group by 1),
+    s as (select run_id, step_index k, min((ts, event_id)) p, arg_min(value, (ts, event_id)) v from e join c using (run_id) where status = 'succeeded' and (c is null or (ts, event_id) <= c) group by 1, 2),
+    w as (select run_id, max(p) filter (k = 0) s0, max(p) filter (k = 1) s1, max(v) filter (k = 1) v1, max(p) filter (k = 2) s2, max(p) filter (k = 3) s3 from s group by 1),
     x as (select *, s1 is not null and v1 < 50 and (s2 is null or s2 > s1) skips from w),
-    a as (select run_id, 'started' as action, 1 step_index, s0 at from x where s0 is not null and (s1 is null or s1 > s0) union all
+    a as (select run_id, 'started' as action, 1 step_index, s0 p from x where s0 is not null and (s1 is null or s1 > s0) union all
     select run_id, 'skipped', 2, s1 from x where skips union all
     select run_id, 'started', 2, s1 from x where s1 is not null and v1 >= 50 and (s2 is null or s2 > s1) union all
     select run_id, 'child', 3, case when skips and (s2 is null or s1 < s2) then s1 else s2 end from x where (skips or s2 is not null) and (s3 is null or s3 > case when skips then s1 else s2 end) union all
     select run_id, 'succeeded', null, s3 from x where s3 is not null union all
     select run_id, 'failed', step_index, c from e join c using (run_id) where (ts, event_id) = c and status = 'failed')
-    select run_id, action, step_index::int as step_index, at[2] as event_id from a"""
+    select run_id, action, step_index::int as step_index, p[2] as event_id from a"""
 )
 def step_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What follows from endings in a flow of which the third step has a condition and the fourth is a child run."""
@@ -44,9 +44,9 @@ def step_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with e as (select run_id, status = 'failed' or status = 'succeeded' and step_index = 3 ends, epoch_ms(ts) at from ({_TOLD})), b as (select run_id, at, bool_or(ends) ends, bool_or(not ends) beats from e group by 1, 2),
-    m as (select *, min(at) filter (ends) over (partition by run_id) e, lead(at) over (partition by run_id order by at) n, max(at) over () now from b)
-    select run_id, at as last_seen_ms from m where beats and (e is null or at < e) and (n is null or n > at + 3600000) and at + 3600000 < now"""
+    f"""with e as (select run_id, status = 'failed' or status = 'succeeded' and step_index = 3 ends, epoch_us(ts) // 1000 p from ({_TOLD})), b as (select run_id, p, bool_or(ends) ends, bool_or(not ends) beats from e group by 1, 2),
+    m as (select *, min(p) filter (ends) over (partition by run_id) e, lead(p) over (partition by run_id order by p) n, max(p) over () now from b)
+    select run_id, p as last_seen_ms from m where beats and (e is null or p < e) and (n is null or n > p + 3600000) and p + 3600000 < now"""
 )
 def silent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of which nothing was heard for an hour, each time; none after its end."""

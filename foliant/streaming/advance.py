@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -27,6 +27,7 @@ SUBMITTED, PAUSE, RESUME = "submitted", "pause", "resume"
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ACTIONS = "run_id long, action string, step_index int, flow string, parent_run long, parent_step int, output string, event_id long, at_ms long"
+_TOLD = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in (x.split() for x in ACTIONS.split(", "))])
 
 
 @dataclass(frozen=True)
@@ -142,21 +143,20 @@ def advanced(events: DataFrame, flow: Sequence[FlowStep]) -> DataFrame:
     A run's events go in their order through one task, which holds no more than what the run's steps are at.
     """
     ship(events.sparkSession)
-    own = events.select(*_events(events)).where("run_id is not null and at_ms is not null").repartition("run_id").sortWithinPartitions("run_id", "at_ms", "event_id")
+    own = events.select(*_events(events)).where("run_id is not null and at_ms is not null").repartition("run_id").sortWithinPartitions("run_id", "at_ms", F.asc_nulls_last("event_id"))
     flow = tuple(flow)
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, state = None, Progress()
         for part in parts:
             out = []
-            part = part.astype(object).where(part.notna(), None)
-            for r in part.itertuples(index=False):
-                if r.run_id != run:
-                    run, state = r.run_id, Progress()
-                out += _told(run, state, flow, r.event_id, r.at_ms, state.after(flow, r.step_index, r.status, r.output, r.input, (r.parent_run, r.parent_step)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ACTIONS.split(", ")])
+            for run_id, event_id, at, step, status, given, output, *parent in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if run_id != run:
+                    run, state = run_id, Progress()
+                out += _told(run, state, flow, event_id, at, state.after(flow, step, status, output, given, tuple(parent)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_TOLD), _TOLD, strict=True)], schema=_TOLD)
 
-    return own.mapInPandas(fold, ACTIONS)
+    return own.mapInArrow(fold, ACTIONS)
 
 
 class _Advance(StatefulProcessor):
@@ -193,7 +193,7 @@ class _Advance(StatefulProcessor):
         for _, event_id, at, step, status, input_, output, *parent in due:
             last = max(last, at)
             for told in _told(key[0], own, self.flow, event_id, at, own.after(self.flow, step, status, output, input_, tuple(parent))):
-                yield Row(*[c.split()[0] for c in ACTIONS.split(", ")])(*told)
+                yield Row(*_TOLD.names)(*told)
         self.run.update((own.phase, own.input, own.parent_run, own.parent_step, last))
         self.handle.registerTimer(last + self.keep)
         self.steps.clear()

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from foliant.functions import replies
 from foliant.operators import records, runs, segments
 from foliant.sources import files
-from foliant.streaming import advance, events
 
 
 def test_children_and_roots(spark):
@@ -40,24 +39,3 @@ def test_inventories_and_old_manifests(spark):
     assert {r.path: r.records for r in files.inventory(own, spark.createDataFrame([("/a",), ("/a",)], "path string")).collect()} == {"/a": 2, "/b": 0}
     made = spark.sql("select * from values ('new', timestamp '2024-02-20 00:00:00'), ('old', timestamp '2024-01-01 00:00:00'), ('none', null) t(k, created_at)")
     assert {r.k for r in files.unpruned(made, F.lit("2024-03-01 00:00:00").cast("timestamp")).collect()} == {"new", "none"}
-
-
-def test_runs_advance_once_for_each_step(spark, tmp_path):
-    schema = "run_id long, step_index int, status string"
-    for i, rows in enumerate([[(1, 0, "succeeded"), (1, 1, "running")], [(1, 0, "succeeded"), (2, 0, "failed")], [(1, 1, "succeeded"), (2, 0, "succeeded")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen = []
-    stream = advance.next_steps(events.tail(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files=1), 3)
-    stream.writeStream.foreachBatch(lambda df, n: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(seen) == [(1, 1), (1, 2)]
-
-
-def test_silent_runs_are_told_once(spark, tmp_path):
-    schema = "run_id long, t string, status string"
-    for rows in ([(1, "2024-01-01 00:00:00", "running"), (2, "2024-01-01 00:00:00", "running")], [(2, "2024-01-01 00:01:00", "succeeded"), (3, "2024-01-01 00:10:00", "running")], [(3, "2024-01-01 00:10:30", "running")], [(3, "2024-01-01 00:11:00", "running")]):
-        spark.createDataFrame(rows, schema).select("run_id", F.col("t").cast("timestamp").alias("ts"), "status").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    seen = []
-    source = spark.read.parquet(str(tmp_path / "in"))
-    stream = advance.silent(events.tail(spark, str(tmp_path / "in"), source.schema, files=1), 90)
-    stream.writeStream.foreachBatch(lambda df, n: seen.extend(r.run_id for r in df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
-    assert seen.count(1) == 1 and 2 not in seen

@@ -23,7 +23,8 @@ from .common import batch, spread
 # Names of elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math xmp noembed noframes select canvas audio video".split())
-CUT = frozenset("nav aside footer form button menu dialog fieldset label datalist output progress meter head map".split())
+CUT = frozenset("button label datalist output progress meter head map".split())
+DOUBTED = frozenset("nav aside footer form menu dialog fieldset".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr html body".split())
 CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"}}
@@ -41,28 +42,35 @@ NEVER = frozenset("comment comments commentlist consent cookie cookies disqus gd
 #: What follows these in a class says what is beside the element, or isn't there.
 MODIFIERS = frozenset("no not with without has".split())
 MOST, LEAST_PARAGRAPHS = 0.75, 3
-
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Parts of a name that say nothing of what an element holds.
+PLAIN = frozenset("area box container form inner item items list outer section thread wrap wrapper".split())
+#: Siblings of the best container are kept from this share of its points, or if they are prose: at most this share in links.
+ALIKE, PROSE_LINKS = 0.2, 0.25
+
+#: A quote opens a value behind an equals sign alone; `<!-->` is a whole comment.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PART = re.compile(r"[A-Za-z]+")
 _COMMA = re.compile("[,،、，]")
+_SENTENCE = re.compile("[.!?…:;。！？；：][\"'”’»)\\]]*$")
 
 
 class Node:
-    __slots__ = ("children", "links", "parent", "points", "size", "tag", "names", "cut", "good")
+    __slots__ = ("children", "links", "parent", "points", "size", "tag", "names", "cut", "good", "role")
 
-    def __init__(self, tag: str, parent: "Node | None", names: frozenset[str] = frozenset(), cut: bool = False, good: bool = False) -> None:
-        self.tag, self.parent, self.names, self.cut, self.good = tag, parent, names, cut, good
+    def __init__(self, tag: str, parent: "Node | None", names: frozenset[str] = frozenset(), cut: bool = False, good: bool = False, role: bool = False) -> None:
+        self.tag, self.parent, self.names, self.cut, self.good, self.role = tag, parent, names, cut, good, role
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def _attributes(text: str) -> tuple[frozenset[str], bool, bool]:
-    """Parts of class and id, whether an attribute alone cuts the element, and whether a class or id names main text alone."""
+def _attributes(text: str) -> tuple[frozenset[str], bool, bool, bool]:
+    """Parts of class and id, whether an attribute alone cuts the element, whether a class or id names main text alone, and
+    whether a role puts it in doubt."""
     if not text or "=" not in text and "hidden" not in text.lower():
-        return frozenset(), False, False
+        return frozenset(), False, False, False
     rest = _ATTRIBUTE.sub(" ", text).lower()
-    names, good, cut = set(), False, bool(re.search(r"(?:^|[\s/])hidden(?:[\s/]|$)", re.sub(r"[\"'].*", "", rest, flags=re.S)))
+    names, good, role, cut = set(), False, False, bool(re.search(r"(?:^|[\s/])hidden(?:[\s/]|$)", re.sub(r"[\"'].*", "", rest, flags=re.S)))
     for name, *values in _ATTRIBUTE.findall(text):
         value, name = "".join(values), name.lower()
         if name in ("class", "id"):
@@ -74,12 +82,12 @@ def _attributes(text: str) -> tuple[frozenset[str], bool, bool]:
         elif name == "hidden":
             cut = True
         elif name == "role":
-            cut |= value.strip().lower() in ROLES
+            role |= value.strip().lower() in ROLES
         elif name == "aria-hidden":
             cut |= value.strip().lower() == "true"
         elif name == "style":
             cut |= "display:none" in value.replace(" ", "").lower()
-    return frozenset(names), cut, good
+    return frozenset(names), cut, good, role
 
 
 def parse(text: str) -> Node:
@@ -98,12 +106,12 @@ def parse(text: str) -> Node:
         if not m:
             return root
         pos = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if not tag:
             if m[0].startswith("<![CDATA["):
                 at.children.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag, ending = tag.lower(), m[1] or m[4]
+        tag, ending = tag.lower(), m[1]
         if ending:
             if tag == "br":
                 at.children.append(Node("br", at))
@@ -119,7 +127,7 @@ def parse(text: str) -> Node:
             continue
         if text.endswith(m[0]) and pos == len(text) and not m[0].endswith(">"):
             return root  # the page ends inside a tag
-        names, cut, good = _attributes(m[3] or m[6] or "")
+        names, cut, good, role = _attributes(m[3] or "")
         if tag in RAW:
             if not m[0].endswith("/>") or tag in ("script", "style", "textarea", "title"):
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, pos)
@@ -141,7 +149,7 @@ def parse(text: str) -> Node:
                 close(found)
         if tag in ("html", "body") and any(n.tag == tag for n in _up(at)):
             continue
-        node = Node(tag, at, names, cut, good)
+        node = Node(tag, at, names, cut, good, role)
         at.children.append(node)
         if tag not in VOID and not m[0].endswith("/>") or tag in BLOCK - VOID:
             at = node
@@ -154,18 +162,22 @@ def _up(node: Node) -> Iterator[Node]:
 
 
 def _is_cut(node: Node) -> bool:
-    """Without regard to NAMES, of which _prune takes care."""
-    if node.tag in ("html", "body", "main", "article"):
-        return bool(node.tag == "article" and node.names & {"comment", "comments", "ad", "advert", "promo"})
-    if node.cut or node.tag in CUT:
-        return True
-    if node.tag == "header":
-        return not any(n.tag in ("article", "main") for n in _up(node))
-    return bool({"header"} & node.names and not node.names & (GOOD | NAMES) and not any(n.tag in ("article", "main") for n in _up(node)))
+    """What is no main text wherever it stands. What else may be none by its tag, role or name, _prune decides."""
+    return node.cut or node.tag in CUT or node.tag == "article" and bool(node.names & {"comment", "comments", "ad", "advert", "promo"})
 
 
-def _named(node: Node) -> bool:
-    return node.tag not in ("html", "body", "main", "article", "header") and not node.good and bool(node.names & NAMES)
+def _doubt(node: Node) -> str:
+    """Why an element may be none of the main text: its tag (or role), its name, or one of NEVER; blank if nothing says so."""
+    if node.tag in ("html", "body", "main", "article"):
+        return ""
+    in_article = any(n.tag in ("article", "main") for n in _up(node))
+    if node.tag in DOUBTED or node.role or node.tag == "header" and not in_article:
+        return "tag"
+    if node.tag == "header" or node.good:
+        return ""
+    if node.names & NAMES:
+        return "never" if node.names & NEVER else "name"
+    return "name" if "header" in node.names and not node.names & GOOD and not in_article else ""
 
 
 def _drop(root: Node, is_cut) -> list[Node]:
@@ -175,26 +187,56 @@ def _drop(root: Node, is_cut) -> list[Node]:
         node = todo.pop()
         order.append(node)
         node.children = [c for c in node.children if isinstance(c, str) or not is_cut(c)]
-        todo += [c for c in node.children if isinstance(c, Node)]
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return order
 
 
 def _prune(root: Node) -> None:
+    """Cuts elements that a tag, role or name makes doubtful, unless they hold the page's main text.
+
+    One that holds at least three paragraphs and MOST of the points of all is spared if only its name is in doubt, and
+    otherwise if it has a heading or article in it. Where no paragraph, article or heading is outside of all doubtful
+    elements, the one of three paragraphs that says most for itself is spared, and the same is asked inside it; one that
+    is named for comments, cookies or hidden things alone isn't.
+    """
     order = _drop(root, _is_cut)
-    if not any(_named(n) for n in order):
+    doubts = {n: d for n in order if (d := _doubt(n))}
+    if not doubts:
         return
+    _measure(root)
     own: dict[Node, list[float]] = {}
+    marked: set[Node] = set()
     for text, owner in blocks(root):
-        if _is_paragraph(text, owner):
+        if _is_paragraph(text, owner) and density(owner) < 0.5:
             held = own.setdefault(owner, [0, 0.0])
             held[0], held[1] = held[0] + 1, held[1] + _worth(text)
+    alone = {n: list(x) for n, x in own.items()}
     for node in reversed(order):  # sums of subtrees
-        if node in own and node.parent:
+        if node.parent and node in own:
             held = own.setdefault(node.parent, [0, 0.0])
             held[0], held[1] = held[0] + own[node][0], held[1] + own[node][1]
+        if node.parent and (node in marked or node.tag in ("h1", "main") or node.tag == "article" and not node.names & NEVER) and not node.names & NEVER:
+            marked.add(node.parent)
     least = MOST * own[root][1] if root in own else 0.0
-    most = {n for n, (k, p) in own.items() if k >= LEAST_PARAGRAPHS and p >= least and not n.names & NEVER}
-    _drop(root, lambda n: _named(n) and n not in most)
+    spared = {n for n, d in doubts.items() if n in own and own[n][0] >= LEAST_PARAGRAPHS and own[n][1] >= least and (d == "name" or n in marked)}
+    while alone:
+        outer: dict[Node, Node | None] = {}
+        for node in order:
+            above = outer.get(node.parent) if node.parent else None
+            outer[node] = above or (node if node in doubts and node not in spared else None)
+        if any(outer[n] is None and (n in alone or n.size and n.tag in ("article", "main", "h1")) for n in order):
+            break
+        says = lambda n: (n in marked, bool(n.names & GOOD), own[n][1])
+        able = [n for n in dict.fromkeys(outer[m] for m in alone) if own[n][0] >= LEAST_PARAGRAPHS and (doubts[n] != "never" or n.names - NAMES - PLAIN or n in marked)]
+        if not able:
+            break
+        spared.add(max(able, key=says))
+    _drop(root, lambda n: n in doubts and n not in spared)
+    menus = {n for n in spared if doubts[n] == "tag"}
+    if menus:  # links that stand in them are still menus
+        _measure(root)
+        within = {c for n in menus for c in n.children if isinstance(c, Node) and c not in own and c.size and density(c) >= 0.5}
+        _drop(root, lambda n: n in within)
 
 
 def _is_paragraph(text: str, owner: Node) -> bool:
@@ -282,6 +324,15 @@ def candidates(root: Node) -> tuple[dict[Node, float], dict[Node, int]]:
     return {n: p * (1 - density(n)) for n, p in points.items()}, paragraphs
 
 
+def _is_prose(node: Node) -> bool:
+    """Few links, and of blocks that are sentences, or long, at least half the text."""
+    if not node.size or density(node) >= PROSE_LINKS:
+        return False
+    texts = [t for t, _ in blocks(node)]
+    said = sum(len(t) for t in texts if _SENTENCE.search(t) or len(t) > 80)
+    return 2 * said >= sum(map(len, texts)) > 0
+
+
 def extract(page: str | None) -> str:
     """Blocks of the main text joined by two line ends; empty for a page without text."""
     if not page or not page.strip():
@@ -292,15 +343,14 @@ def extract(page: str | None) -> str:
     points, paragraphs = candidates(root)
     if points:
         best = max(points, key=lambda n: points[n])
-        least = max(10.0, 0.2 * points.get(best, 0.0))
+        least = ALIKE * points[best]
         kept = []
         for c in best.parent.children if best.parent else [best]:
             if c is best:
                 kept.append(c)
             elif isinstance(c, Node):
-                alike = points.get(c, 0.0) + (0.2 * points.get(best, 0.0) if c.names and c.names == best.names else 0.0) >= least
-                prose = c.tag == "p" and (c.size > 80 and density(c) < 0.25 or 0 < c.size <= 80 and not c.links and "." in "".join(t for t, _ in blocks(c)))
-                if alike or prose or c.tag == "h1":
+                alike = points.get(c, 0.0) > 0 and (points[c] >= least or c.names and c.names == best.names)
+                if alike or _is_prose(c) or c.tag == "h1":
                     kept.append(c)
         top = best  # siblings that score alike can lie beside the wrappers of the best
         while top.parent in paragraphs and paragraphs[top.parent] == paragraphs.get(best):

@@ -342,6 +342,85 @@ def test_pages_with_nulls(spark):
     assert sorted((r.id or 0, r.text, r.n_chars) for r in html.main_text(rows).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, "", 0)]
 
 
+FIVE = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="hidden-xs">{FIVE}</div>',
+        f'<div class="site comments-open"><h1>T</h1>{FIVE}<div class="comments">{"<p>A reader says: this comment is long enough, and more.</p>" * 9}</div></div>',
+        f'<div id="page-cookie">{FIVE}</div>',
+        f'<div class="cookie-notice-visible site">{FIVE}<footer><p>A reader says: copyright, and all rights reserved.</p></footer></div>',
+        f'<form id="aspnetForm"><div>{FIVE}</div></form>',
+        f"<form><fieldset>{FIVE}</fieldset></form>",
+        f'<nav><ul><li><a href=x>A reader says: home of all things on earth</a></li></ul><div>{FIVE}</div>',
+        f"<div><p title=it's>{LONG[0]}</p>{FIVE.partition('</p>')[2]}<p title='x'></p></div>",
+        f"<!--><div>{FIVE}</div><!-- A reader says x -->",
+        f'<div role="form">{FIVE}</div>',
+    ],
+)
+def test_no_wrapper_loses_an_article(page):
+    got = [x for x in html.extract(f"<body>{page}</body>").split("\n\n") if x != "T"]
+    assert got == LONG
+
+
+def test_uneven_wrappers_and_short_sentences_stay():
+    page = f"<body><div id=w><div>{''.join(f'<p>{x}</p>' for x in LONG[:3])}</div><div><p>{LONG[3]}</p></div><div><p>Short number 4, yes.</p></div></div></body>"
+    assert html.extract(page).split("\n\n") == [*LONG[:4], "Short number 4, yes."]
+
+
+def test_doubtful_elements_stay_out_beside_a_short_article():
+    page = f'<body><div class="ad">{LONG[0]}</div><article><h1>Title</h1><p>Short.</p></article><footer>{FIVE}</footer></body>'
+    assert html.extract(page) == "Title\n\nShort."
+    assert html.extract(f'<body><div class="comments-area">{FIVE}</div></body>') == ""
+
+
+def test_points_against_a_plain_scorer_on_random_trees():
+    """Points of each container by the rule, worked out from the trees that the pages are made of."""
+    rnd = random.Random(7)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.35:
+            return rnd.choice(["Long enough to count, with a comma and then some more. " * rnd.randint(1, 4), "short"])
+        return [tree(depth - 1) for _ in range(rnd.randint(1, 3))]
+
+    for _ in range(150):
+        own, k, places = tree(5), 0, {}
+
+        def write(t, path):
+            nonlocal k
+            if isinstance(t, str):
+                return f"<p>{t}</p>"
+            k += 1
+            places[path] = name = f"n{k}"
+            return f"<div id={name}>{''.join(write(c, (*path, i)) for i, c in enumerate(t))}</div>"
+
+        def leaves(t, path):
+            return [(path, t)] if isinstance(t, str) else [x for i, c in enumerate(t) for x in leaves(c, (*path, i))]
+
+        root = html.parse(f"<body>{write([own], ())}</body>")
+        texts = [(p, " ".join(t.split())) for p, t in leaves([own], ()) if len(t) >= 25]
+        held = {p: sum(q[: len(p)] == p for q, _ in texts) for p in places}
+        want = {}
+        for path, t in texts:
+            worth, level, last = 1 + t.count(",") + min(3, len(t) // 100), 0, None
+            for n in range(len(path) - 1, -1, -1):
+                level += last is not None and held[path[:n]] > last
+                last = held[path[:n]]
+                want[places[path[:n]]] = want.get(places[path[:n]], 0) + worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        html._measure(root)
+        points, _ = html.candidates(root)
+        ours = sorted(round(p, 6) for n, p in points.items() if n.tag == "div")
+        assert ours == sorted(round(x, 6) for x in want.values())
+
+
+def test_main_text_of_empty_tables_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", f"<p>{LONG[0]}", 5, "t", 7)], "page_id long, url string, html string, id int, text string, n_chars int")
+    assert [tuple(r) for r in html.main_text(rows).collect()] == [(1, "u", LONG[0], len(LONG[0]))]
+    assert html.main_text(rows.where("false")).count() == 0
+
+
 # ---- toxicity
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, strip
@@ -57,3 +57,16 @@ def error_class(message: Column | str) -> Column:
     m = F.lower(col(message))
     any_of = lambda *xs: reduce(lambda a, b: a | b, [m.contains(x) for x in xs])
     return F.when(any_of("401", "403", "invalid api key", "unauthorized", "arrearage"), "fatal").when(any_of("model not found", "model_not_found", "does not exist", "unsupported model"), "model").otherwise("retry")
+
+
+def left_out(reply: Column | str) -> Column:
+    """A note of entries of the reply's list that are no objects; null if there are none, or if it has no list."""
+    found = F.from_json(unfenced(reply), "array<string>")
+    kept = F.size(F.filter(found, lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False))))
+    return F.when(F.size(found) > kept, F.concat(F.size(found).cast("string"), F.lit(" entries, "), (F.size(found) - kept).cast("string"), F.lit(" of them no objects")))
+
+
+def write_raw(pages: DataFrame, to: str, by: str = "file_hash") -> None:
+    """Models' replies as they came (page_number, reply, and what else there is), as JSON lines in a folder for each file:
+    what records.healed reads again. A file that is written again replaces its folder alone."""
+    pages.repartition(by).sortWithinPartitions(by, "page_number").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(to)

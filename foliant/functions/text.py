@@ -110,21 +110,20 @@ def fidelity(source: Column | str, target: Column | str, placeholder: str = r"\{
     )
 
 
-#: What to say when a rendering is asked for again, by the kind of the reason.
-HINTS = {
-    "empty": "There was no answer before.",
-    "truncated": "The answer before was cut. Render the whole text.",
-    "not_identical": "There is nothing to render in the text. Give it back as it is, sign by sign.",
-    "missing_number": "The answer before lost numbers of the text. Keep every number as it is.",
-    "missing_placeholder": "The answer before lost a placeholder. Keep every placeholder as it is.",
-    "untranslated": "The text came back untranslated. Render all of it, names and headings too; only codes stay.",
-}
+#: How a second request opens, and what stands before the text; an answer with either has taken in its instruction.
+AGAIN, BEFORE_TEXT = "The last answer failed a check", "\nSource: "
+REASONS = ("empty", "missing_number", "missing_placeholder", "not_identical", "truncated", "untranslated")
 
 
 def retry_prompt(source: Column | str, reason: Column | str, hints: dict[str, str] | None = None) -> Column:
-    """The text behind a hint for its reason; the text alone where there is none for it."""
-    said = F.create_map(*[F.lit(x) for pair in (hints or HINTS).items() for x in pair])[F.split_part(col(reason), F.lit(":"), F.lit(1))]
-    return F.when(said.isNotNull(), F.concat(said, F.lit("\nSource: "), col(source))).otherwise(col(source))
+    """The text behind what was wrong with its rendering: the hint for the reason's kind, or, without hints, the reason itself
+    in a sentence. The text alone where there is none for it."""
+    kind = F.split_part(col(reason), F.lit(":"), F.lit(1))
+    if hints is None:
+        said = F.when(kind.isin(*REASONS), F.concat(F.lit(f"{AGAIN}: "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(".")))
+    else:
+        said = F.create_map(*[F.lit(x) for pair in hints.items() for x in pair])[kind] if hints else F.lit(None).cast("string")
+    return F.when(said.isNotNull(), F.concat(said, F.lit(BEFORE_TEXT), col(source))).otherwise(col(source))
 
 
 def year_month(path: Column | str) -> tuple[Column, Column, Column]:

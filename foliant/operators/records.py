@@ -24,6 +24,13 @@ def parsed(records: DataFrame, column: str = "data") -> DataFrame:
     return records.withColumn(column, F.coalesce(other, whole, F.create_map().cast("map<string,string>")))
 
 
+def promoted(rows: DataFrame, page_key: str = "页码", row_key: str = "行号") -> DataFrame:
+    """Maps with the page number where they have none of their own, and with the row number, which is always the store's."""
+    given = F.when(F.map_contains_key("data", page_key), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit(page_key), F.col("page_number").cast("string")))
+    own = F.map_filter("data", lambda k, v: k != row_key)
+    return rows.withColumn("data", F.map_concat(own, given, F.create_map(F.lit(row_key), F.col("row_number").cast("string"))))
+
+
 def scan(records: DataFrame, file_hash: str | None = None, source_path: str | None = None) -> DataFrame:
     """Records in order; filters on hash and path reach the files."""
     for c, x in zip(KEY, (file_hash, source_path), strict=True):

@@ -128,12 +128,17 @@ def skip_reason(when: Column | str, titles: Column | str | None = None) -> Colum
 
 
 def light_outputs(tasks: DataFrame, output: str = "output") -> DataFrame:
-    """What a summary needs of an output (JSON text): paths, counts and lengths of lists, never the lists themselves."""
-    at = lambda p: F.get_json_object(output, f"$.{p}")
-    texts = lambda p: F.from_json(at(p), "array<string>")
-    reviews = F.coalesce(F.size(F.filter(texts("statuses"), lambda x: x == "review")), at("review_count").cast("int"))
-    size = lambda p: F.when(texts(p).isNotNull(), F.size(texts(p)))
-    return tasks.withColumns({"path": at("path"), "name": at("name"), "layered_file": at("layered_file"), "layered_name": at("layered_name"), "usage": at("usage"), "usage_by_model": at("usage_by_model"), "calls": at("calls").cast("int"), "cache_hits": at("cache_hits").cast("int"), "statuses_len": size("statuses"), "review_count": F.when(at("statuses").isNotNull() | at("review_count").isNotNull(), reviews), "failed_pages": size("failed_pages"), "records_count": at("records_count").cast("int"), "review_notes_count": size("review_notes")}).drop(output)
+    """What a summary needs of an output (JSON text): paths, counts and lengths of lists, never the lists themselves.
+
+    usage and usage_by_model are JSON texts whose keys are in order. Broken JSON has nothing.
+    """
+    own = tasks.withColumn("_v", F.try_parse_json(output))  # read once; every path is looked up in what was read
+    at = lambda p, kind="string": F.try_variant_get("_v", f"$.{p}", kind)
+    listed = lambda p: at(p, "array<string>")
+    text = lambda p: F.when(at(p, "variant").isNotNull() & ~F.coalesce(F.is_variant_null(at(p, "variant")), F.lit(False)), F.to_json(at(p, "variant")))
+    reviews = F.coalesce(F.size(F.filter(listed("statuses"), lambda x: x == "review")), at("review_count", "int"))
+    size = lambda p: F.when(listed(p).isNotNull(), F.size(listed(p)))
+    return own.withColumns({"path": at("path"), "name": at("name"), "layered_file": at("layered_file"), "layered_name": at("layered_name"), "usage": text("usage"), "usage_by_model": text("usage_by_model"), "calls": at("calls", "int"), "cache_hits": at("cache_hits", "int"), "statuses_len": size("statuses"), "review_count": F.when(listed("statuses").isNotNull() | at("review_count").isNotNull(), reviews), "failed_pages": size("failed_pages"), "records_count": at("records_count", "int"), "review_notes_count": size("review_notes")}).drop(output, "_v")
 
 
 def summaries(runs: DataFrame, tasks: DataFrame, skipped: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
@@ -192,6 +197,22 @@ def artifacts(outputs: DataFrame, existing: DataFrame | None = None, final: bool
     return rows.select("run_id", "step_index", "key", "name", "path", *(["size"] if existing is not None else []))
 
 
+def artifact_totals(found: DataFrame, tree: DataFrame | None = None, folder: str = "path") -> DataFrame:
+    """By run, and in all (a null run): files, bytes and folders of artifacts (run_id, path, size), of a run's children too where
+    tree (root, node) says whose they are. A path that several runs name counts once in each, and once in all."""
+    own = found.select("run_id", "path", "size") if tree is None else found.join(tree.select(F.col("node").alias("run_id"), "root"), "run_id").select(F.col("root").alias("run_id"), "path", "size")
+    own = own.withColumn("_dir", F.regexp_replace(F.col(folder), "/[^/]*$", ""))
+    total = lambda rows: [F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.countDistinct("_dir").alias("dirs")]
+    once = own.groupBy("run_id", "path").agg(F.max("size").alias("size"), F.first("_dir").alias("_dir"))
+    whole = own.groupBy("path").agg(F.max("size").alias("size"), F.first("_dir").alias("_dir"))
+    return once.groupBy("run_id").agg(*total(once)).unionByName(whole.agg(*total(whole)).withColumn("run_id", F.lit(None).cast(own.schema["run_id"].dataType)))
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Rows of each status, and of all (a null status)."""
+    return rows.rollup(status).agg(F.count("*").alias("n"))
+
+
 def reference_counts(runs: DataFrame, by: str = "pipeline_id") -> DataFrame:
     """By pipeline: runs in all, and those that run or pause."""
     return runs.groupBy(by).agg(F.count("*").alias("runs"), F.count_if(F.col("status").isin("running", "paused")).alias("active"))

@@ -97,13 +97,13 @@ def map_unique(dictionary: DataFrame, cache: DataFrame | None, provider: Callabl
     return ready.withColumn("target", _asked(provider, most, "norm", "target")).withColumn("status", F.lit("ok"))
 
 
-def verified(mapped: DataFrame, provider: Callable[[list[str]], list[str]], most: int = 1) -> DataFrame:
-    """Renderings that lack something are asked for once more, with a hint; one that then is right and doesn't repeat the
-    hint is taken, else the first stays, for review. Adds reason, why the first one failed."""
+def verified(mapped: DataFrame, provider: Callable[[list[str]], list[str]], most: int = 1, hints: dict[str, str] | None = None) -> DataFrame:
+    """Renderings that lack something are asked for once more, with a hint (by the reason's kind); one that then is right and
+    doesn't repeat the hint is taken, else the first stays, for review. Adds reason, why the first one failed."""
     checked = cut(mapped.withColumn("reason", fidelity("norm", "target")))
     good, bad = checked.where("reason = 'ok'"), checked.where("reason <> 'ok'")
-    again = bad.withColumn("_again", _asked(provider, most, retry_prompt("norm", "reason")))
-    better = (fidelity("norm", "_again") == "ok") & ~is_contaminated("_again")
+    again = bad.withColumn("_again", _asked(provider, most, retry_prompt("norm", "reason", hints)))
+    better = (fidelity("norm", "_again") == "ok") & ~is_contaminated("_again", hints)
     again = again.withColumn("status", F.when(better, "ok").otherwise("review")).withColumn("target", F.when(better, F.col("_again")).otherwise(F.col("target")))
     return good.unionByName(again.drop("_again"))
 

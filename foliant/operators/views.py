@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ABSENT, clip, value
-from .scans import Scan, stretch
+from .scans import Scan, ranked, stretch
 
 MODES = ("none", "value", "value_run", "record")
 NUMBERS = ("page_start", "page_end", "page_count", "count_values")
@@ -253,8 +253,8 @@ def compile_view(rows: DataFrame, view: View, *, keys: Sequence[str] = (), page:
     return made.select(*keys, *(view.columns or [c for c in made.columns if c not in keys and c != "_low"]))
 
 
-def _records(rows: DataFrame, view: View, keys: Sequence[str], page: str, order: Sequence[str]) -> DataFrame:
-    """A row for each record: no shuffle but for the sort."""
+def _records(rows: DataFrame, view: View, keys: Sequence[str], page: str, order: Sequence[str], hidden: bool = False) -> DataFrame:
+    """A row for each record: no shuffle but for the sort. hidden: unsorted, with its page and order."""
     own = {f: F.filter(F.array(value(f)), lambda v: ~v.isin("", *view.absent)) for f in {*view._lists(), *(a.source for a in view.aggregates if a.source in rows.columns)}}
     out = []
     for a in view.aggregates:
@@ -269,17 +269,39 @@ def _records(rows: DataFrame, view: View, keys: Sequence[str], page: str, order:
     extra = [F.col(c).alias(f"_o_{c}") for c in order]
     split = [F.when(value(view.split).isin("", *view.absent), view.untitled).otherwise(value(view.split)).alias("split_key")] if view.split else []
     made = rows.select(*keys, *split, *out, F.col(page).alias("_page"), *extra)
+    if hidden:
+        return made
     made = _sorted(made, view, [*map(F.col, keys), F.col("_page"), *(F.col(f"_o_{c}") for c in order)])
-    hidden = {*keys, "_page", *(f"_o_{c}" for c in order)}
-    return made.select(*keys, *(view.columns if view.columns and not view.split else [c for c in made.columns if c not in hidden]))
-
-
-def splits(rows: DataFrame, view: View, names: Sequence[str], **where) -> dict[str, DataFrame]:
-    """A table for each named value of the split field, without columns that are blank in all of its rows."""
-    merged, out = compile_view(rows, view, **where), {}
-    for name in names:
-        own = merged.where(F.col("split_key") == name)
-        cells = [c for c in own.columns if c != "split_key"]
-        used = own.agg(*[F.max((F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int")).alias(c) for c in cells]).first()
-        out[name] = own.select(*[c for c in cells if used[c]])
-    return out
+    unseen = {*keys, "_page", *(f"_o_{c}" for c in order)}
+    return made.select(*keys, *(view.columns if view.columns and not view.split else [c for c in made.columns if c not in unseen]))
+
+
+def split_index(rows: DataFrame, view: View, *, keys: Sequence[str] = (), page: str = "page", order: Sequence[str] = ("ord",)) -> DataFrame:
+    """A row for each split: split_key, place (from 1, as they first appear), rows, and columns, those that aren't blank in all
+    of its rows. One pass, whatever the number of splits."""
+    view.checked(rows.columns)
+    for t in view.filters:
+        rows = rows.where(passes(t))
+    made = _records(rows, view, keys, page, order, hidden=True)
+    hidden = ["_page", *(f"_o_{c}" for c in order)]
+    cells = [c for c in made.columns if c not in (*hidden, "split_key")]
+    used = [F.bool_or(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(f"_u{i}") for i, c in enumerate(cells)]
+    found = made.groupBy("split_key").agg(F.min(F.struct(*keys, *hidden)).alias("_first"), F.count("*").alias("rows"), *used)
+    named = F.array_compact(F.array(*[F.when(F.col(f"_u{i}"), F.lit(c)) for i, c in enumerate(cells)]))
+    placed = ranked(found.select("split_key", "_first", "rows", named.alias("columns")), ["_first"])
+    return placed.select("split_key", "place", "rows", "columns")
+
+
+def write_splits(rows: DataFrame, view: View, to: str, **where) -> DataFrame:
+    """Writes all splits below `to`, a folder `split_key=...` for each, and returns their index: two jobs for any number."""
+    compile_view(rows, view, **where).repartition("split_key").write.mode("overwrite").partitionBy("split_key").parquet(to)
+    return split_index(rows, view, **where)
+
+
+def splits(rows: DataFrame, view: View, names: Sequence[str] | None = None, **where) -> dict[str, DataFrame]:
+    """A table for each value of the split field, or for the named ones alone, in the order in which they first appear, without
+    columns that are blank in all of its rows. The tables' list is one job; the driver sees a row for each split."""
+    merged, index = compile_view(rows, view, **where), split_index(rows, view, **where)
+    index = index if names is None else index.where(F.col("split_key").isin(*names))
+    own = lambda r: merged.where(F.col("split_key") == r.split_key).select(*r["columns"])
+    return {r.split_key: own(r) for r in sorted(index.collect(), key=lambda r: r.place)}

@@ -223,9 +223,10 @@ def trees_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select p_partkey, 'other', p_name from part"""
 )
 def retry_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = {"missing_number": "The answer before lost numbers of the text. Keep every number as it is."}
     part = table(spark, sf_dir, "part")
     lost = part.select("p_partkey", F.lit("lost").alias("kind"), F.concat("p_name", F.lit(" 12")).alias("s"), F.lit("one").alias("t"))
-    lost = lost.select("p_partkey", "kind", text.retry_prompt("s", text.fidelity("s", "t")).alias("prompt"))
-    return lost.union(part.select("p_partkey", F.lit("other"), text.retry_prompt("p_name", F.lit("ok"))))
+    lost = lost.select("p_partkey", "kind", text.retry_prompt("s", text.fidelity("s", "t"), hints).alias("prompt"))
+    return lost.union(part.select("p_partkey", F.lit("other"), text.retry_prompt("p_name", F.lit("ok"), hints)))
 
 

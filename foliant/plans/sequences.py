@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared
 from ..operators import browse, records, runs, scans, segments
-from ..operators.views import Aggregate, View, compile_view
+from ..operators.store import Store
+from ..operators.views import Aggregate, View, compile_view, split_index
 from ..streaming import advance
-from .catalogue import _DATED, _dated, query, table
+from .catalogue import _DATED, _LINES, _dated, query, table
+from .reports import _RUNS_SQL, _runs
 
 # Events as what is told of runs: a user's events of one k are a run of four steps.
 _TOLD = """select user_id * 100 + cast(json_extract_string(props, '$.k') as bigint) % 7 as run_id, event_id, ts, (event_id % 4)::int as step_index,
@@ -141,3 +144,50 @@ def sums_along_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with the number of their text, by the place at which it is first seen."""
     return segments.indexed(*segments.encode(_dated(spark, sf_dir), "t", "o_orderkey"))[0].select("o_orderkey", "uniq_idx")
+
+
+# ---- a store that changes in part
+
+
+@query(
+    f"""with o as (select 'h' || row_number % 40 as file_hash, row_number, seq, data from ({_LINES})), n as (select file_hash, row_number, row_number() over (partition by file_hash, row_number order by seq) - 1 as seq, 'new ' || data as data from o where file_hash = 'h3' and seq % 2 = 0)
+    select file_hash, row_number, seq::int as seq, data from o where file_hash not in ('h3', 'h5') union all select file_hash, row_number, seq::int, data from n"""
+)
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all lines as records of forty files: the pages of one file are replaced, another file's go."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("h"), F.col("l_orderkey") % 40).alias("file_hash"), F.lit("s").alias("source_path"), F.col("l_orderkey").alias("row_number"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").cast("string").alias("data"))
+    columns = ["file_hash", "source_path", "row_number", "seq", "data"]
+    old = records.numbered(rows, ["row_number"], ["l_linenumber", "l_partkey", "l_suppkey"]).select(columns)
+    store = Store.create(old, shared(spark), ("file_hash", "source_path"), 64)
+    new = store.read().where("file_hash = 'h3' and seq % 2 = 0").withColumnRenamed("seq", "was")
+    new = records.numbered(new, ["file_hash", "row_number"], ["was"]).select("file_hash", "source_path", "row_number", "seq", F.concat(F.lit("new "), "data").alias("data"))
+    store.replace_pages(new)
+    store.reset("h5", "s")
+    return store.read().drop("source_path")
+
+
+@query(f"select status, count(*) as n from ({_RUNS_SQL}) group by rollup (status)")
+def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each status, and of all."""
+    return runs.status_counts(_runs(spark, sf_dir))
+
+
+@query(
+    """with f as (select l_orderkey % 1000 as run_id, '/o/' || l_suppkey || '/' || l_partkey || '.pdf' as path, l_partkey % 97 as size, '/o/' || l_suppkey as d from lineitem), o as (select run_id, path, max(size) size, any_value(d) d from f group by 1, 2), w as (select path, max(size) size, any_value(d) d from f group by 1)
+    select run_id, count(*) as files, sum(size)::bigint as bytes, count(distinct d) as dirs from o group by 1 union all select null, count(*), sum(size)::bigint, count(distinct d) from w"""
+)
+def artifact_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, bytes and folders by run and in all."""
+    path = F.concat(F.lit("/o/"), "l_suppkey", F.lit("/"), "l_partkey", F.lit(".pdf"))
+    found = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("run_id"), path.alias("path"), (F.col("l_partkey") % 97).alias("size"))
+    return runs.artifact_totals(found)
+
+
+@query(
+    """with v as (select p_type, p_partkey, p_name, p_brand from part) select p_type as split_key, row_number() over (order by min(p_partkey)) as place, count(*) as rows, 'page,name,brand' as columns from v group by 1"""
+)
+def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits in the order in which they first appear, with the columns that each of them needs."""
+    view = View(split="p_type", aggregates=(Aggregate("page", "page"), Aggregate("name", "first_value", "p_name"), Aggregate("brand", "first_value", "p_brand")))
+    index = split_index(table(spark, sf_dir, "part"), view, page="p_partkey", order=["p_partkey"])
+    return index.withColumn("columns", F.array_join("columns", ","))

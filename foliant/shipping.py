@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant_modules.zip"
         with zipfile.ZipFile(target, "w") as z:
-            for p in sorted([*root.rglob("*.py"), *root.parent.glob("corpus_pipeline.py")]):
+            for p in sorted([*root.rglob("*.py"), *root.parent.glob("*_pipeline.py")]):
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(target))
         _shipped.add(context.applicationId)

@@ -86,7 +86,7 @@ def test_a_stream_that_is_done_equals_the_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     seen: list[tuple[str, int]] = []
     stream = events.tail(spark, str(tmp_path / "in"), rows.schema, files=1)
-    q = events.to_sinks(stream, str(tmp_path / "check"), lambda df, n: seen.append(("a", df.count())), lambda df, n: seen.append(("b", df.count())))
+    q = events.to_sinks(stream, str(tmp_path / "check"), str(tmp_path / "ledger"), {k: lambda df, n, k=k: seen.append((k, df.count())) for k in "ab"})
     q.awaitTermination(60)
     assert sum(n for k, n in seen if k == "a") == sum(n for k, n in seen if k == "b") == 30
     assert sum(r.n for r in events.tumbling(rows, "10 minutes").collect()) == 30

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,24 +86,31 @@ def words_to_amount(x: Column | str) -> Column:
     return parse(col(x))
 
 
-def _section(n: Column) -> Column:
-    """Four digits in words: zeros between others are one, before and behind none."""
-    digits = [F.floor(n / 10**i) % 10 for i in (3, 2, 1, 0)]
-    said = [F.when(d > 0, F.concat(F.substring(F.lit(NUMERALS), (d + 1).cast("int"), F.lit(1)), F.lit(UNITS[3 - i]))).otherwise("零") for i, d in enumerate(digits)]
-    return F.regexp_replace(F.regexp_replace(F.concat(*said), "零+", "零"), "^零|零$", "")
-
-
 def cents_in_words(cents: Column | str) -> Column:
     """An amount in capital numerals, without regard to its sign; null from ten quadrillions up.
 
     A section of no digits between others is a zero; one that begins with zeros isn't marked.
     """
-    c = F.abs(col(cents))
+    return _bound(F.abs(col(cents)), _in_words)
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _in_words(c: Column) -> Column:
     whole, tenths, rest = F.floor(c / 100), F.floor(c / 10) % 10, c % 10
-    out = []
-    for i in (3, 2, 1, 0):
-        own = F.floor(whole / 10 ** (4 * i)) % 10_000
-        out.append(F.when(own > 0, F.concat(_section(own), F.lit(GROUPS[i]))).when((whole >= 10 ** (4 * i + 4)) & (whole % 10 ** (4 * i) > 0), "零").otherwise(""))
+    # sixteen numerals in four sections of digits before their units; zeros have none, several are one, and go at either end
+    text = F.translate(F.lpad(whole.cast("string"), 16, "0"), "0123456789", NUMERALS)
+    text = F.regexp_replace(text, "(.)(.)(.)(.)", "".join(f"${4 - i}{UNITS[i]}" for i in (3, 2, 1, 0)) + "|")
+    for found, put in (("零[^零|]?", "零"), ("零+", "零"), (r"零\|", "|"), (r"(^|\|)零", "$1")):
+        text = F.regexp_replace(text, found, put)
+
+    def joined(sections: Column) -> Column:
+        zero = lambda i: (whole >= 10 ** (4 * i + 4)) & (whole % 10 ** (4 * i) > 0)
+        return F.concat(*[F.when(sections[3 - i] != "", F.concat(sections[3 - i], F.lit(GROUPS[i]))).when(zero(i), "零").otherwise("") for i in (3, 2, 1, 0)], F.lit("元"))
+
     said = lambda d, unit: F.when(d > 0, F.concat(F.substring(F.lit(NUMERALS), (d + 1).cast("int"), F.lit(1)), F.lit(unit))).otherwise("")
     tail = F.when((tenths == 0) & (rest == 0), "整").when(rest == 0, F.concat(said(tenths, "角"), F.lit("整"))).otherwise(F.concat(F.when((tenths == 0) & (whole > 0), "零").otherwise(said(tenths, "角")), said(rest, "分")))
-    return F.when(c == 0, "零元整").when(whole < 10**16, F.concat(F.when(whole > 0, F.concat(*out, F.lit("元"))).otherwise(""), tail))
+    return F.when(c == 0, "零元整").when(whole < 10**16, F.concat(F.when(whole > 0, _bound(F.split(text, r"\|"), joined)).otherwise(""), tail))

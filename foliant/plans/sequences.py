@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..lineage import shared
 from ..operators import browse, records, runs, scans, segments
 from ..operators.store import Store
@@ -191,3 +192,18 @@ def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = View(split="p_type", aggregates=(Aggregate("page", "page"), Aggregate("name", "first_value", "p_name"), Aggregate("brand", "first_value", "p_brand")))
     index = split_index(table(spark, sf_dir, "part"), view, page="p_partkey", order=["p_partkey"])
     return index.withColumn("columns", F.array_join("columns", ","))
+
+
+# ---- conditions and templates of steps
+
+
+@query(
+    """select event_id, json_extract_string(props, '$.k')::bigint = 3 as three, json_extract_string(props, '$.k')::bigint = 3 and event_type = 'view' as seen,
+    '{"file":"/d/' || json_extract_string(props, '$.k') || '/' || event_type || '.pdf","k":' || json_extract_string(props, '$.k') || ',"opt":null,"note":["x",""]}' as step_input from events"""
+)
+def step_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on the JSON of an input and of an output, and a step's input filled in from both."""
+    events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("i"), F.parse_json(F.to_json(F.struct("event_type"))).alias("o"))
+    state = {"input": F.col("i"), "prev.output": F.col("o")}
+    template = {"file": "/d/{{ input.k }}/{{ prev.output.event_type }}.pdf", "k": "{{ input.k }}", "opt": "{{ input.none }}", "note": ["x", "{{ input.none }}{{ input.none }}"]}
+    return events.select("event_id", paths.conditions_hold({"input.k": 3, "input.none@exists": False}, state).alias("three"), paths.conditions_hold({"input.k": 3, "prev.output.event_type": "view"}, state).alias("seen"), paths.resolved(template, state).alias("step_input"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +65,42 @@ def inventory(files: DataFrame, records: DataFrame, path: str = "path") -> DataF
 def unpruned(manifests: DataFrame, now: Column, days: int = 30, created: str = "created_at") -> DataFrame:
     """Manifests that are no older than that; those without a date stay."""
     return manifests.where(F.coalesce(F.col(created) >= now - F.make_dt_interval(F.lit(days)), F.lit(True)))
+
+
+ENTRIES = "archive string, n int, path string, size long, link boolean"
+
+
+def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all zip files below a path, without their folders: archive, n (from 0), path, size, link. What is no zip has one
+    entry without a path. Only the list of an archive is read, but its file comes to a task whole."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            out: list[tuple] = []
+            for name, content in zip(own["path"], own["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        held = [i for i in z.infolist() if not i.is_dir()]
+                    out += [(name, n, i.filename, i.file_size, i.external_attr >> 16 & 0o170000 == 0o120000) for n, i in enumerate(held)]
+                except zipfile.BadZipFile:
+                    out.append((name, 0, None, None, False))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRIES.split(", ")])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "content").mapInPandas(listed, ENTRIES)
+
+
+def judged_entries(entries: DataFrame, allowed: tuple[str, ...], most: int = 1000, most_bytes: int = 2 << 30) -> DataFrame:
+    """Adds skip_reason to entries (null: taken) and refused to them all where their archive has too many entries or too many
+    bytes in all, or is none. Counts and sums are by archive, before anything is moved."""
+    whole = entries.groupBy("archive").agg(F.count("path").alias("_n"), F.coalesce(F.sum("size"), F.lit(0)).alias("_bytes"))
+    refused = F.when(F.col("_n") == 0, "no archive").when(F.col("_n") > most, "entries").when(F.col("_bytes") > most_bytes, "bytes")
+    reason = F.when(F.col("link"), "link").otherwise(skip_reason("path", "size", allowed))
+    return entries.join(whole.select("archive", refused.alias("refused")), "archive").withColumn("skip_reason", reason)
+
+
+def replaced_entry(files: Column | str, old_path: Column | str, entry: Column) -> Column:
+    """A manifest's list of files with the first of that path replaced by another entry; the list as it is without one."""
+    own = F.col(files) if isinstance(files, str) else files
+    at = F.array_position(F.transform(own, lambda x: x["path"]), F.col(old_path) if isinstance(old_path, str) else old_path)
+    return F.transform(own, lambda x, i: F.when(i + 1 == at, entry).otherwise(x))

@@ -6,15 +6,19 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 # Name spaces of the formats.
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -170,33 +174,145 @@ def write_backfilled(path: str, cells: DataFrame, dictionary: DataFrame | None =
     _write(path, out)
 
 
+class _Book:
+    """A workbook that is written row by row: nothing but the row at hand and the sheets' titles is held."""
+
+    def __init__(self, file) -> None:
+        self.zip, self.used, self.titles, self.sheet = zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED), set(), [], None
+
+    def begin(self, name: str) -> None:
+        self._end()
+        self.titles.append(_title(name, self.used))
+        self.sheet = self.zip.open(f"xl/worksheets/sheet{len(self.titles)}.xml", "w")
+        self.sheet.write(f'<worksheet xmlns="{_S[1:-1]}"><sheetData>'.encode())
+
+    def row(self, cells: Iterable) -> None:
+        self.sheet.write(f"<row>{''.join(map(_cell, cells))}</row>".encode())
+
+    def _end(self) -> None:
+        if self.sheet:
+            self.sheet.write(b"</sheetData></worksheet>")
+            self.sheet.close()
+            self.sheet = None
+
+    def close(self) -> None:
+        self._end()
+        main, rel, package = _S[1:-1], _R[1:-1], "http://schemas.openxmlformats.org/package/2006"
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(self.titles) + 1))
+        self.zip.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        self.zip.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        self.zip.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(self.titles, 1)) + "</sheets></workbook>")
+        self.zip.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(self.titles) + 1)) + "</Relationships>")
+        self.zip.close()
+
+
+def _cell(x: object) -> str:
+    if x is None:
+        return "<c/>"
+    text = str(x).strip()
+    if isinstance(x, (int, float)) and not isinstance(x, bool) or isinstance(x, str) and _NUMBER.fullmatch(text) and sum(c.isdigit() for c in text) <= 12:
+        return f"<c><v>{text}</v></c>"
+    clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(x))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+
 def _write(path: str, sheets: list[tuple[str, Iterable]]) -> None:
+    book = _Book(path)
+    for name, rows in sheets:
+        book.begin(name)
+        for row in rows:
+            book.row(row)
+    book.close()
+
 
-    def cell(x: object) -> str:
-        if x is None:
-            return "<c/>"
-        text = str(x).strip()
-        if isinstance(x, (int, float)) and not isinstance(x, bool) or isinstance(x, str) and _NUMBER.fullmatch(text) and sum(c.isdigit() for c in text) <= 12:
-            return f"<c><v>{text}</v></c>"
-        clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(x))
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
-
-    used: set[str] = set()
-    titles = [_title(n, used) for n, _ in sheets]
-    main, rel = _S[1:-1], _R[1:-1]
-    package = "http://schemas.openxmlformats.org/package/2006"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(titles) + 1))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(titles, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(titles) + 1)) + "</Relationships>")
-        for i, (_, rows) in enumerate(sheets, 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                out.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
-                for row in rows:
-                    out.write(f"<row>{''.join(map(cell, row))}</row>".encode())
-                out.write(b"</sheetData></worksheet>")
+def sheet_rows(table: DataFrame, workbook: Column, sheet: Column, order: Sequence[Column | str], columns: Sequence[str], sheet_place: Column | None = None) -> DataFrame:
+    """A table as rows of workbooks (workbook, sheet_place, sheet, place, cells), a header in front of each sheet."""
+    own = table.select(workbook.cast("string").alias("workbook"), (F.lit(0).cast("long") if sheet_place is None else sheet_place.cast("long")).alias("sheet_place"), sheet.cast("string").alias("sheet"), F.struct(*order).alias("_at"), F.array(*[F.col(c).cast("string") for c in columns]).alias("cells"))
+    at = F.row_number().over(Window.partitionBy("workbook", "sheet_place", "sheet").orderBy("_at")).cast("long")
+    heads = own.select("workbook", "sheet_place", "sheet").distinct().select("*", F.lit(0).cast("long").alias("place"), F.array(*map(F.lit, columns)).alias("cells"))
+    return own.withColumn("place", at).drop("_at").unionByName(heads)
+
+
+def backfilled_rows(cells: DataFrame, dictionary: DataFrame | None = None, layout: str = "dict") -> DataFrame:
+    """Rows of workbooks with renderings. cells: workbook, unit_id, row, col, value, rendered; dictionary: workbook, norm, target,
+    status, refs, first. Layouts as of write_backfilled; a workbook is a file's, so that each is the work of one task."""
+    if layout not in ("dict", "sheets"):
+        raise ValueError(f"no layout {layout}")
+    by_row = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce(c, F.lit("")).alias("v")))), lambda x: x["v"])
+    rows = cells.groupBy("workbook", "unit_id", F.col("row").cast("long").alias("place")).agg(by_row("value").alias("value"), by_row("rendered").alias("rendered"))
+    title = lambda suffix: F.concat(F.left("unit_id", F.lit(31 - len(suffix))), F.lit(suffix))
+    # sheets come by their unit's name, the rendered one behind its own
+    name = lambda n, sheet, c: rows.select("workbook", F.struct(F.lit(0).alias("last"), "unit_id", F.lit(n).alias("n")).alias("sheet_place"), sheet.alias("sheet"), "place", F.col(c).alias("cells"))
+    if layout == "sheets":
+        return name(0, F.col("unit_id"), "value").union(name(1, title(RESULT), "rendered"))
+    out = name(0, F.col("unit_id"), "rendered")
+    if dictionary is None:
+        return out
+    at = F.row_number().over(Window.partitionBy("workbook").orderBy(F.col("refs").desc(), "first")).cast("long")
+    place = F.struct(F.lit(1).alias("last"), F.lit("").alias("unit_id"), F.lit(0).alias("n"))
+    own = dictionary.select("workbook", place.alias("sheet_place"), F.lit(DICTIONARY[0]).alias("sheet"), at.alias("place"), F.array("norm", "target", "status", F.col("refs").cast("string")).alias("cells"))
+    heads = dictionary.select("workbook").distinct().select("workbook", place, F.lit(DICTIONARY[0]), F.lit(0).cast("long"), F.array(*map(F.lit, DICTIONARY[1])))
+    return out.union(own).union(heads)
+
+
+def write_workbooks(rows: DataFrame, to: str) -> DataFrame:
+    """Writes a workbook `<workbook>.xlsx` below `to` for each of the rows' (workbook, sheet_place, sheet, place, cells), each by
+    one task, which holds a row at a time; returns workbook, path, sheets, rows and bytes of each.
+
+    `to` is a folder that all machines see. A file is written under a name of its task's attempt and moved when it is whole, so
+    that an attempt that is repeated or runs twice leaves one whole file. Signs that file names refuse become `_`; a workbook
+    without a name is `_`. Sheets come in the order of sheet_place, rows in that of place.
+    """
+    placed = rows.select(F.coalesce("workbook", F.lit("")).alias("workbook"), "sheet_place", F.coalesce("sheet", F.lit("")).alias("sheet"), "place", "cells").repartition("workbook").sortWithinPartitions("workbook", "sheet_place", "sheet", "place").select("workbook", "sheet", "cells")
+    schema = pa.schema([("workbook", pa.string()), ("path", pa.string()), ("sheets", pa.int32()), ("rows", pa.int64()), ("bytes", pa.int64())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(to)
+        attempt, out, last = TaskContext.get().taskAttemptId(), None, None
+        done: list[tuple] = []
+
+        def close() -> None:
+            name, temp, stream, book, n = out
+            book.close()
+            size = stream.tell()
+            stream.close()
+            final = f"{root}/{name}.xlsx"
+            store.move(temp, final)
+            done.append((last[0], final, len(book.titles), n, size))
+
+        for b in batches:
+            for workbook, sheet, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last is None or last[0] != workbook:
+                    if out:
+                        close()
+                    name = re.sub(r'[\x00-\x1f/\\\\:*?"<>|]', "_", workbook).strip() or "_"
+                    temp = f"{root}/_{name}.{attempt}.tmp"
+                    store.create_dir(root, recursive=True)
+                    stream = store.open_output_stream(temp)
+                    out, last = [name, temp, stream, _Book(stream), 0], (workbook, None)
+                if last[1] != sheet:
+                    out[3].begin(sheet)
+                    last = (workbook, sheet)
+                out[3].row(cells or [])
+                out[4] += 1
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True) if done else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    found = placed.mapInArrow(write, "workbook string, path string, sheets int, rows long, bytes long")
+    return cut(found)  # written once, when this is called
+
+
+def write_csv_files(df: DataFrame, to: str, files: int | None = None, order: Sequence[Column | str] = ()) -> None:
+    """CSV files below `to`, each with a byte order mark and a header, nulls as blanks: written by the executors, as many as
+    `files`, in ranges of the order where there is one. The mark is the header's first sign."""
+    first, *rest = df.columns
+    own = df.select(F.col(f"`{first}`").alias("\ufeff" + first), *[F.col(f"`{c}`") for c in rest])
+    by = [F.col("\ufeff" + first) if isinstance(c, str) and c == first else c for c in order]
+    own = own.repartitionByRange(files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by) if by else own.repartition(files) if files else own
+    own.write.mode("overwrite").csv(to, header=True, nullValue="", emptyValue="", escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(path: str, df: DataFrame) -> None:

@@ -20,6 +20,8 @@ from .whitening import integers, matrix
 K = 5
 #: Entries of a block; its rows are as many as have so many entries, one at least.
 ENTRIES = 1 << 19
+#: Tasks at most: more blocks than that come to a task one after another.
+TASKS = 20_000
 #: Queries between two writings of their picks.
 QUERIES = 2048
 
@@ -89,7 +91,8 @@ def top_k(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_c
     blocks = max(1, -(-found.n * dim // ENTRIES))
     candidates = own.select(F.pmod("at", F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "at", "id", "x")
     queries = own.where(F.coalesce(is_query, F.lit(False))).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "at", "id", "x")
-    placed = candidates.union(queries).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")
+    tasks = min(blocks, TASKS)
+    placed = candidates.union(queries).repartitionById(tasks, F.pmod("block", F.lit(tasks))).sortWithinPartitions("block", "asks")
     schema = pa.schema([("at", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.decimal128(38, 0))])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

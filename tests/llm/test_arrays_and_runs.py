@@ -190,9 +190,10 @@ def plain_search(rows, k=5):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("entries", [1 << 19, 64])
-def test_search_against_all_pairs(spark, monkeypatch, entries):
+@pytest.mark.parametrize("entries, tasks", [(1 << 19, 20_000), (64, 20_000), (64, 3)])
+def test_search_against_all_pairs(spark, monkeypatch, entries, tasks):
     monkeypatch.setattr(exact_search, "ENTRIES", entries)
+    monkeypatch.setattr(exact_search, "TASKS", tasks)
     rng = np.random.default_rng(2)
     rows = [(k, np.where(rng.random(7) < 0.4, 0, rng.integers(-3, 4, 7) / 4).tolist()) for k in range(-60, 220)]
     rows += [(100, rows[5][1]), (100, rows[5][1]), (None, rows[6][1]), (150, None), (151, [None] * 7), (152, [float("nan")] * 7), (200, [1.0, 2.0]), (250, [])]

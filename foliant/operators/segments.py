@@ -52,9 +52,13 @@ def ranges(segments: DataFrame, units: DataFrame, unit: Sequence[str] = ("unit_i
     return stretch(counts, {"_upto": Scan("sum", "count")}, order, batch).withColumn("start", F.col("_upto") - F.col("count")).drop("_upto")
 
 
-def encode(segments: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """Segments with the key of their text without dates, and the dictionary: a row for each key, first place and count."""
+def encode(segments: DataFrame, text: str, order: str, save: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Segments with the key of their text without dates, and the dictionary: a row for each key, first place and count.
+
+    save: dates are found once, for where both tables are used; the segments are then a table in the shared folder.
+    """
     marked = segments.withColumn("norm", with_dates_marked(strip(text))).withColumn("dates", dates(strip(text)))
+    marked = cut(marked) if save else marked
     # the texts themselves are the key; their digest, which the cache goes by, is worked out once for each
     found = marked.groupBy("norm").agg(F.min(order).alias("first"), F.count("*").alias("refs"))
     return marked, found.select(F.sha2("norm", 256).alias("key"), "norm", "first", "refs")

@@ -377,7 +377,7 @@ def _loud(values: list[str]) -> list[str]:
 @query(f"select o_orderkey, t, replace(norm, 'Order', 'ORDER') as target, 'ok' as status, replace(t, 'Order', 'ORDER') as rendered from ({_DATED})")
 def unique_map_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique texts go through a provider once, and back to every segment with its dates."""
-    encoded, dictionary = segments.encode(_dated(spark, sf_dir), "t", "o_orderkey")
+    encoded, dictionary = segments.encode(_dated(spark, sf_dir), "t", "o_orderkey", save=True)
     return segments.write_back(encoded, segments.map_unique(dictionary, None, _loud), "t")
 
 

@@ -144,7 +144,7 @@ def sums_along_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with d as (select norm, row_number() over (order by min(o_orderkey)) - 1 as u from ({_DATED}) group by norm) select o_orderkey, u as uniq_idx from ({_DATED}) join d using (norm)")
 def dictionary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with the number of their text, by the place at which it is first seen."""
-    return segments.indexed(*segments.encode(_dated(spark, sf_dir), "t", "o_orderkey"))[0].select("o_orderkey", "uniq_idx")
+    return segments.indexed(*segments.encode(_dated(spark, sf_dir), "t", "o_orderkey", save=True))[0].select("o_orderkey", "uniq_idx")
 
 
 # ---- a store that changes in part

@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import SKIPPABLE
 from ..lineage import cut
 
 # Name spaces of the formats.
@@ -72,27 +73,59 @@ def workbook(content: bytes) -> list[tuple[str, list[list[str]]]]:
         return out
 
 
-def document_units(content: bytes, tables: bool = True, skip_numbers: bool = True) -> list[tuple[str, str, list[list[str]] | None, str | None]]:
-    """Paragraphs and tables in order; without blanks, bare numbers and lines of a table of contents."""
+#: Why an element of a document is no unit: nothing in it, a field or a line of a table of contents, numbers alone.
+EMPTY, FIELD, NUMBER = "empty", "field", "number"
+
+
+def document_elements(content: bytes, skip_numbers: bool = True) -> list[tuple[str, str, list[list[str]] | None, str | None, str | None]]:
+    """Paragraphs and tables of a document in order: id, kind, rows, text, and why it is no unit (null if it is one). Numbers count
+    on over both kinds, so that an id is the element's place. A table without a letter is empty."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    out, p, t = [], 0, 0
-    for child in body:
+    out = []
+    said = lambda x: "".join(t.text or "" for t in x.iter(f"{_W}t")).strip()
+    for place, child in enumerate(c for c in body if c.tag in (f"{_W}p", f"{_W}tbl")):
         if child.tag == f"{_W}p":
             style = child.find(f"{_W}pPr/{_W}pStyle")
-            text = "".join(x.text or "" for x in child.iter(f"{_W}t")).strip()
-            toc = style is not None and (style.get(f"{_W}val") or "").lower().startswith("toc")
-            if text and not toc and not (skip_numbers and re.fullmatch(r"[\d\s.,%-]+", text)):
-                out.append((f"p{p}", "text", None, text))
-            p += 1
-        elif child.tag == f"{_W}tbl":
-            if tables:
-                rows = [["".join(x.text or "" for x in cell.iter(f"{_W}t")).strip() for cell in row.iter(f"{_W}tc")] for row in child.iter(f"{_W}tr")]
-                out.append((f"t{t}", "table", rows, None))
-            t += 1
+            name = (style.get(f"{_W}val") or "") if style is not None else ""
+            text, field = said(child), any(next(child.iter(f"{_W}{x}"), None) is not None for x in ("fldChar", "fldSimple", "instrText"))
+            why = EMPTY if not text else FIELD if field or name.lower().startswith("toc") or name.startswith("目录") else NUMBER if skip_numbers and re.fullmatch(_NUMBERS, text) else None
+            out.append((f"p{place}", "text", None, text, why))
+        else:
+            rows = [[said(cell) for cell in row.iter(f"{_W}tc")] for row in child.iter(f"{_W}tr")]
+            out.append((f"t{place}", "table", rows, None, None if any(re.search("[A-Za-z\u4e00-\u9fff]", c) for r in rows for c in r) else EMPTY))
     return out
 
 
+_NUMBERS = SKIPPABLE.removeprefix("^").removesuffix("$").replace("(?U)", "")
+
+
+def document_units(content: bytes, tables: bool = True, skip_numbers: bool = True) -> list[tuple[str, str, list[list[str]] | None, str | None]]:
+    """Paragraphs and tables in order; without blanks, bare numbers, fields and lines of a table of contents."""
+    return [x[:4] for x in document_elements(content, skip_numbers) if x[4] is None and (tables or x[1] == "text")]
+
+
+def read_document_elements(spark: SparkSession, path: str, skip_numbers: bool = True) -> DataFrame:
+    """All elements of documents below a path, with why they are no units (`skipped`, null if they are)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            out = [(p, *x) for p, c in zip(own["path"], own["content"], strict=True) for x in document_elements(bytes(c), skip_numbers)]
+            yield pd.DataFrame(out, columns=["path", "unit_id", "unit_type", "rows", "text", "skipped"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "content").mapInPandas(read, "path string, unit_id string, unit_type string, rows array<array<string>>, text string, skipped string")
+
+
+def document_stats(elements: DataFrame) -> DataFrame:
+    """By document: paragraphs, tables, how many were skipped for which reason, units, and characters of the units."""
+    cells = F.aggregate(F.flatten("rows"), F.lit(0), lambda n, x: n + F.length(x))
+    chars = F.when(F.col("skipped").isNull(), F.coalesce(F.length("text"), cells))
+    of = lambda why: F.count_if(F.col("skipped") == why)
+    kind = lambda k: F.count_if(F.col("unit_type") == k)
+    return elements.groupBy("path").agg(kind("text").alias("paragraphs"), kind("table").alias("tables"), of(EMPTY).alias("skipped_empty"), of(NUMBER).alias("skipped_number"), of(FIELD).alias("skipped_field"), F.count_if(F.col("skipped").isNull()).alias("units"), F.coalesce(F.sum(chars), F.lit(0)).alias("text_chars"))
+
+
 def _units(kind: str, **options):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:

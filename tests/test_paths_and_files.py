@@ -112,3 +112,16 @@ def test_csv_files_have_a_mark_each(spark, tmp_path):
     assert len(found) == 3 and all(t.startswith(b"\xef\xbb\xbfk,v\n") for t in texts)
     lines = [x for t in texts for x in t.decode("utf-8-sig").splitlines()[1:]]
     assert lines[:3] == ["0,", '1,"ü,""x"" "', "2,"] and len(lines) == 20
+
+
+def test_documents_tell_what_they_leave_out(spark, tmp_path):
+    p = lambda text, more="", style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}{more}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    table = lambda *rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    body = p("Heading") + p("") + table(("a", "1"), ("b", "2")) + p("12/3") + p("Contents", style="TOC1") + p("Page", "<w:r><w:fldChar/></w:r>") + table(("1", "2")) + p("End")
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    r = office.document_stats(office.read_document_elements(spark, str(tmp_path))).first()
+    assert (r.paragraphs, r.tables, r.skipped_empty, r.skipped_number, r.skipped_field, r.units, r.text_chars) == (6, 2, 2, 1, 2, 3, 14)
+    units = office.read_documents(spark, str(tmp_path)).collect()
+    assert [(u.unit_id, u.text) for u in units] == [("p0", "Heading"), ("t2", None), ("p7", "End")]
+    assert [u.unit_id for u in office.read_documents(spark, str(tmp_path), tables=False).collect()] == ["p0", "p7"]

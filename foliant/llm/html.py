@@ -170,14 +170,14 @@ def _doubt(node: Node) -> str:
     """Why an element may be none of the main text: its tag (or role), its name, or one of NEVER; blank if nothing says so."""
     if node.tag in ("html", "body", "main", "article"):
         return ""
-    in_article = any(n.tag in ("article", "main") for n in _up(node))
-    if node.tag in DOUBTED or node.role or node.tag == "header" and not in_article:
+    in_article = lambda: any(n.tag in ("article", "main") for n in _up(node))  # noqa: E731  asked of headers alone: pages can be deep
+    if node.tag in DOUBTED or node.role or node.tag == "header" and not in_article():
         return "tag"
     if node.tag == "header" or node.good:
         return ""
     if node.names & NAMES:
         return "never" if node.names & NEVER else "name"
-    return "name" if "header" in node.names and not node.names & GOOD and not in_article else ""
+    return "name" if "header" in node.names and not node.names & GOOD and not in_article() else ""
 
 
 def _drop(root: Node, is_cut) -> list[Node]:
@@ -219,24 +219,36 @@ def _prune(root: Node) -> None:
             marked.add(node.parent)
     least = MOST * own[root][1] if root in own else 0.0
     spared = {n for n, d in doubts.items() if n in own and own[n][0] >= LEAST_PARAGRAPHS and own[n][1] >= least and (d == "name" or n in marked)}
-    while alone:
-        outer: dict[Node, Node | None] = {}
-        for node in order:
-            above = outer.get(node.parent) if node.parent else None
-            outer[node] = above or (node if node in doubts and node not in spared else None)
-        if any(outer[n] is None and (n in alone or n.size and n.tag in ("article", "main", "h1")) for n in order):
-            break
+
+    def within(start: Node) -> tuple[list[Node], bool]:
+        """The next doubtful elements inside, and whether there is a paragraph, article or heading outside of them."""
+        found, free, todo = [], False, [start]
+        while todo:
+            node = todo.pop()
+            if node is not start and node in doubts and node not in spared:
+                found.append(node)
+                continue
+            free |= node in alone or bool(node.size) and node.tag in ("article", "main", "h1")
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        return found, free
+
+    if alone:
         says = lambda n: (n in marked, bool(n.names & GOOD), own[n][1])
-        able = [n for n in dict.fromkeys(outer[m] for m in alone) if own[n][0] >= LEAST_PARAGRAPHS and (doubts[n] != "never" or n.names - NAMES - PLAIN or n in marked)]
-        if not able:
-            break
-        spared.add(max(able, key=says))
+        outer, free = within(root)
+        while not free:
+            able = [n for n in outer if n in own and own[n][0] >= LEAST_PARAGRAPHS and (doubts[n] != "never" or n.names - NAMES - PLAIN or n in marked)]
+            if not able:
+                break
+            best = max(able, key=says)
+            spared.add(best)
+            inner, free = within(best)
+            outer = [n for n in outer if n is not best] + inner
     _drop(root, lambda n: n in doubts and n not in spared)
     menus = {n for n in spared if doubts[n] == "tag"}
     if menus:  # links that stand in them are still menus
         _measure(root)
-        within = {c for n in menus for c in n.children if isinstance(c, Node) and c not in own and c.size and density(c) >= 0.5}
-        _drop(root, lambda n: n in within)
+        links = {c for n in menus for c in n.children if isinstance(c, Node) and c not in own and c.size and density(c) >= 0.5}
+        _drop(root, lambda n: n in links)
 
 
 def _is_paragraph(text: str, owner: Node) -> bool:

@@ -61,7 +61,7 @@ def distinct_count(a: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of a's shingles that b has; 1 of an empty a."""
+    """Estimated share of a's shingles that b has; 1 of an empty a, null where either sketch is null."""
     j = resemblance(a, b, k)
     both = j * (distinct_count(a, k) + distinct_count(b, k)) / (1 + j)
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
@@ -131,7 +131,13 @@ def edited(text: Column, after: Column) -> Column:
 
 
 def edit_likeness(docs: DataFrame, buckets: int, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
-    """Per row: fingerprints of the text and of its edited text, and likeness to that and to the next document."""
+    """Per row: fingerprints of the text and of its edited text, and likeness to that and to the next document.
+
+    A null text counts as empty: its fingerprint is empty, and like that of another empty text (1) and unlike all others (0).
+    Texts of any length are taken whole. Null ids come first, equal ids go by their texts, and rows that repeat another are
+    rows of their own, each the next of the one before. A lone row is its own next; an empty table gives no rows. Other
+    columns are ignored.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows, buckets, {"own": sketch(F.col("text"), k, size)})
     rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited"), "own", "next_own")

@@ -197,7 +197,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redacted_column(text: Column) -> Column:
-    """A column of texts with every span replaced; nulls and empty texts stay, equal texts come out equal."""
+    """A column of texts with every span replaced; nulls and empty texts stay, equal texts come out equal, long ones are scanned
+    whole, and an empty table gives an empty column."""
 
     @F.arrow_udf("string")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

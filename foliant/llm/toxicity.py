@@ -217,7 +217,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def score_column(model: Model, text: Column) -> Column:
-    """The score of a column of texts, for filters that keep a table's other columns. A null text is scored as an empty one."""
+    """The score of a column of texts, for filters that keep a table's other columns. A null text is scored as an empty one, equal
+    texts alike, long ones whole; an empty table gives no scores."""
 
     @F.arrow_udf("double")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

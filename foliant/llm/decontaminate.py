@@ -1,22 +1,24 @@
 """Benchmark decontamination: an Aho-Corasick automaton over normalised benchmark texts, each document scanned once.
 
-Words are coded as two characters of two alphabets (a mark stands for every word that the benchmark hasn't), so that the
-automaton runs over words, not over letters, with few branches at each state whatever the number of words; an
-occurrence's end is a word's index, and indices map back to code points.
-
-The benchmark is a query set of stated size that all documents meet in blocks: parts of at most PART_WORDS words, each
-with an automaton of its own (about 1.6 KB a word: some 160 MB in a Python worker at the bound). A worker builds a part's
-automaton once and keeps it for its next tasks. Items longer than a part are cut into stretches that overlap by a window
-less one word, so that no window is lost. One part is the usual case; hits of several parts are joined by document.
+The automaton runs over words, not over letters, and lies in flat arrays: its tree is one sorted array of (state, word)
+keys, where a key's place is the state it leads to, beside an array of links to the longest shorter match. That is 13
+bytes a state, at most 13 states a word of the benchmark, and the vocabulary. Texts are cut into lanes that begin a
+window early, so that many lanes take a step at once; an occurrence's end is a word's index, and indices map back to
+code points.
+
+The benchmark is a query set of stated size: up to PART_WORDS words are one automaton, built once on the driver and
+broadcast (195 bytes a word, and 150 for each different one: 690 MB at most at the bound, in each Python worker). A
+larger one is met in parts of that size, one after another; items longer than a part are cut into stretches that
+overlap by a window less one word, so that no window is lost, and hits of several parts are joined by document.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, saved, spread
 
 #: Words of the benchmark in one automaton.
-PART_WORDS = 100_000
-_SECOND = 0x2000  # where the second alphabet begins; both are no larger than the root of PART_WORDS
+PART_WORDS = 2_000_000
+#: Words that are scanned at once, and of a lane; one longer text is scanned alone.
+SCAN_WORDS, LANE = 1 << 18, 64
 WINDOW = 13
 _SEPARATE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -39,47 +42,148 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_SEPARATE).split() if text else []
 
 
-class _Codes(dict):
-    def __missing__(self, key: bytes) -> str:
-        return "\x00\x00"
-
-
 class Automaton:
-    """Windows of all items; items with an equal window share its entry."""
+    """Windows of all items; items with an equal window share its state.
+
+    State 0 is the root, and the states of each depth follow one another. Word 0 stands for every word that the benchmark
+    hasn't and for the end of a text: it leads to the root from everywhere.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int = WINDOW) -> None:
-        import ahocorasick
-
-        distinct = sorted({w for _, own in items for w in own})
-        base = math.isqrt(len(distinct)) + 1
-        self.codes = _Codes((w, chr(1 + i // base) + chr(_SECOND + i % base)) for i, w in enumerate(distinct))
-        self.items = [k for k, _ in items]
-        owners: dict[str, tuple[int, ...]] = {}
-        for k, (_, own) in enumerate(items):
-            coded = "".join(map(self.codes.__getitem__, own))
-            for key in {coded[i : i + 2 * size] for i in range(0, max(1, len(coded) - 2 * size + 1), 2)} - {""}:
-                owners[key] = (*owners.get(key, ()), k)
-        self.automaton = ahocorasick.Automaton()
-        for key, who in owners.items():
-            self.automaton.add_word(key, (len(key) // 2, who))
-        self.empty = not owners
-        if owners:
-            self.automaton.make_automaton()
-
-    def hits(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Ranges of words inside occurrences, joined where they touch, and the items they come from."""
-        if self.empty or not text:
-            return [], set()
-        ranges: list[list[int]] = []
-        found: set[int] = set()
-        for last, (length, own) in self.automaton.iter("".join(map(self.codes.__getitem__, text))):
-            end = (last + 1) // 2
-            start = end - length
-            while ranges and ranges[-1][1] >= start:  # a longer window may end later and begin earlier
-                start = min(start, ranges.pop()[0])
-            ranges.append([start, end])
-            found.update(own)
-        return [(a, b) for a, b in ranges], found
+        self.vocabulary, self.code = sorted({w for _, own in items for w in own}), None
+        self.items, self.size = [k for k, _ in items], size
+        code, lengths = self._codes(), np.array([len(own) for _, own in items], np.int64)
+        flat = np.fromiter((code[w] for _, own in items for w in own), np.int32, int(lengths.sum()))
+        n = np.where(lengths > size, lengths - size + 1, np.minimum(lengths, 1))  # windows of each item
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), n)
+        at = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(n) - n), n) + np.arange(len(owner))
+        self._grow(flat, at, np.minimum(lengths, size)[owner], owner)
+
+    def _codes(self) -> dict[bytes, int]:
+        return dict(zip(self.vocabulary, range(1, len(self.vocabulary) + 1), strict=True))
+
+    def _grow(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray, owner: np.ndarray) -> None:
+        """The tree depth by depth; links and ends of a depth come from those above it."""
+        self.keys, self.fail, self.first = np.empty(0, np.int64), np.zeros(1, np.int32), np.zeros(len(self.vocabulary) + 1, np.int32)
+        self.level, ends, state, who = [0, 1], [], np.zeros(len(at), np.int64), owner
+        for depth in range(self.size):
+            below, inverse = np.unique(state << 32 | flat[at + depth], return_inverse=True)
+            if not len(below):
+                break
+            parent, word = below >> 32, (below & 0xFFFFFFFF).astype(np.int32)
+            if depth:
+                fail = self._step(self.fail[parent].astype(np.int64), word)
+            else:
+                fail = np.zeros(len(below), np.int32)
+                self.first[word] = np.arange(1, len(below) + 1)
+            self.keys, self.fail = np.concatenate([self.keys, below]), np.concatenate([self.fail, fail.astype(np.int32)])
+            state = self.level[-1] + inverse
+            self.level.append(self.level[-1] + len(below))
+            ended = length == depth + 1
+            ends.append(np.unique(state[ended] << 32 | who[ended]))
+            at, length, state, who = at[~ended], length[~ended], state[~ended], who[~ended]
+        pairs = np.concatenate(ends) if ends else np.empty(0, np.int64)  # (state, item), in order, as states rise with depth
+        self.owner = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.ended, start = np.unique(pairs >> 32, return_index=True)
+        self.bounds = np.append(start, len(pairs))
+        self.hit = np.zeros(self.level[-1], bool)
+        self.hit[self.ended] = True
+        for a, b in zip(self.level[1:], self.level[2:]):
+            self.hit[a:b] |= self.hit[self.fail[a:b]]
+
+    def _step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The next state of each lane: down the tree, or by links until there is a way down."""
+        out = self.first[word]
+        if not len(self.keys):
+            return out
+        live = np.flatnonzero((state > 0) & (word > 0))
+        s, w = state[live].astype(np.int64), word[live]
+        while len(live):
+            key = s << 32 | w
+            to = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[to] == key
+            out[live[found]] = to[found] + 1
+            live, s, w = live[~found], self.fail[s[~found]].astype(np.int64), w[~found]
+            on = s > 0
+            live, s, w = live[on], s[on], w[on]
+        return out
+
+    def ends(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words at which an entry ends, in order, and their states."""
+        lead, lanes = self.size - 1, -(-len(text) // LANE)
+        own = np.zeros(lead + lanes * LANE, np.int32)
+        own[lead : lead + len(text)] = text
+        at, state, found = np.arange(lanes) * LANE, np.zeros(lanes, np.int32), []
+        for step in range(lead + LANE):
+            state = self._step(state, own[at + step])
+            if step >= lead and len(lane := np.flatnonzero(self.hit[state])):
+                found.append((lane * LANE + step - lead, state[lane]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        place, state = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place)
+        return place[order], state[order]
+
+    def hits(self, texts: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set[int]]]:
+        """Of each text the ranges of words inside occurrences, joined where they touch, and the items they come from."""
+        out: list[tuple[list[tuple[int, int]], set[int]]] = [([], set()) for _ in texts]
+        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        place, state = self.ends(np.concatenate([x for t in texts for x in (t, np.zeros(1, np.int32))]) if texts else np.empty(0, np.int32))
+        if not len(place):
+            return out
+        doc = np.searchsorted(starts, place, "right") - 1
+        end, longest, chain, seen = place - starts[doc] + 1, np.zeros(len(place), np.int64), state.copy(), []
+        rows = np.arange(len(place))
+        while len(rows):
+            k = np.minimum(np.searchsorted(self.ended, chain), len(self.ended) - 1)
+            full = self.ended[k] == chain
+            depth = np.searchsorted(self.level, chain, "right") - 1
+            longest[rows[full]] = np.maximum(longest[rows[full]], depth[full])
+            seen.append(np.unique(doc[rows[full]] << 32 | k[full]))
+            chain = self.fail[chain]
+            more = self.hit[chain]
+            rows, chain = rows[more], chain[more]
+        for pair in np.unique(np.concatenate(seen)).tolist():
+            d, k = pair >> 32, pair & 0xFFFFFFFF
+            out[d][1].update(self.owner[self.bounds[k] : self.bounds[k + 1]].tolist())
+        for d, a, b in zip(doc.tolist(), (end - longest).tolist(), end.tolist(), strict=True):
+            ranges = out[d][0]
+            while ranges and ranges[-1][1] >= a:  # a longer window may end later and begin earlier
+                a = min(a, ranges.pop()[0])
+            ranges.append((a, b))
+        return out
+
+    def scan(self, texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+        """Number of words, ranges and items of each text, in order."""
+        code, held, n = self._known(), [], 0
+        for text in texts:
+            own = words(text)
+            held.append(np.fromiter(map(code.get, own, repeat(0)), np.int32, len(own)))
+            n += len(own)
+            if n >= SCAN_WORDS:
+                yield from self._scanned(held)
+                held, n = [], 0
+        yield from self._scanned(held)
+
+    def _scanned(self, held: list[np.ndarray]) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+        for own, (ranges, found) in zip(held, self.hits(held), strict=True):
+            yield len(own), ranges, found
+
+    def _known(self) -> dict[bytes, int]:
+        """Codes of words; the list of words goes once they have codes."""
+        if self.code is None:
+            self.code, self.vocabulary = self._codes(), []
+        return self.code
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vocabulary": b" ".join(self.code or self.vocabulary), "code": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.vocabulary = self.vocabulary.split()
+
+    def named(self, found: set[int]) -> list[str]:
+        return sorted({self.items[i] for i in found} - {None})
 
 
 def word_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,20 +238,11 @@ class Parts:
             self.pieces = saved(numbered.join(F.broadcast(known), ["slice", "within"]).drop("slice", "within"), "pieces")
         self.window = window
 
-    def held(self, part: int) -> Broadcast:
-        rows = [(r.item, bytes(r.words).split()) for r in self.pieces.where(F.col("part") == part).sort("item", "words").collect()]
-        return self.pieces.sparkSession.sparkContext.broadcast(rows)
-
-
-_built: dict[str, Automaton] = {}
-
+    def rows(self, part: int) -> list[tuple[str | None, list[bytes]]]:
+        return [(r.item, bytes(r.words).split()) for r in self.pieces.where(F.col("part") == part).sort("item", "words").collect()]
 
-def _automaton(token: str, held: Broadcast, window: int) -> Automaton:
-    """Built once in a worker process, which keeps the last one."""
-    if token not in _built:
-        _built.clear()
-        _built[token] = Automaton(held.value, window)
-    return _built[token]
+    def held(self, part: int) -> Broadcast:
+        return self.pieces.sparkSession.sparkContext.broadcast(Automaton(self.rows(part), self.window))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
@@ -160,40 +255,36 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     docs = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
     parts = Parts(bench, item_col, item_text, window, part_words)
 
-    def scan(held: Broadcast, token: str):
+    def scan(held: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(token, held, window)
             for b in batches:
                 out: list[tuple] = []
-                for k, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                    own = words(text)
-                    ranges, found = automaton.hits(own)
-                    out.append((k, len(own), sum(y - x for x, y in ranges), sorted({automaton.items[i] for i in found} - {None}), ranges, word_spans(text.decode(), ranges) if ranges else []))
+                texts = as_bytes(b.column(1))
+                for k, text, (n, ranges, found) in zip(b.column(0).to_pylist(), texts, held.value.scan(texts), strict=True):
+                    out.append((k, n, sum(y - x for x, y in ranges), held.value.named(found), ranges, word_spans(text.decode(), ranges) if ranges else []))
                 if out:
                     yield _arrow(*map(list, zip(*out, strict=True)))
 
         return run
 
     if parts.n == 1:
-        return docs.mapInArrow(scan(parts.held(0), uuid.uuid4().hex), SCHEMA)
+        return docs.mapInArrow(scan(parts.held(0)), SCHEMA)
     row = F.sha2(F.concat_ws("\x00", F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
     return _in_blocks(docs.withColumn("row", row), parts).drop("row")
 
 
 def _in_blocks(rows: DataFrame, parts: Parts) -> DataFrame:
     """Rows (id, text, row) against part after part; each part's hits are a table, joined to the rows by row at the end."""
-    found, window = None, parts.window
+    found = None
     schema = pa.schema([("row", pa.string()), ("items", pa.list_(pa.string())), ("hit_words", _ARROW_SPANS)])
 
-    def scan(held: Broadcast, token: str):
+    def scan(held: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(token, held, window)
             for b in batches:
                 out: list[list] = [[], [], []]
-                for k, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                    ranges, own = automaton.hits(words(text))
+                for k, (_, ranges, own) in zip(b.column(0).to_pylist(), held.value.scan(as_bytes(b.column(1))), strict=True):
                     if ranges:
-                        for to, x in zip(out, (k, sorted({automaton.items[i] for i in own} - {None}), [{"start": x, "end": y} for x, y in ranges]), strict=True):
+                        for to, x in zip(out, (k, held.value.named(own), [{"start": x, "end": y} for x, y in ranges]), strict=True):
                             to.append(x)
                 yield batch(schema, out)
 
@@ -201,7 +292,7 @@ def _in_blocks(rows: DataFrame, parts: Parts) -> DataFrame:
 
     for part in range(parts.n):
         held = parts.held(part)
-        own = saved(rows.select("row", "text").mapInArrow(scan(held, uuid.uuid4().hex), "row string, items array<string>, hit_words array<struct<start:int,end:int>>").distinct(), "hits")
+        own = saved(rows.select("row", "text").mapInArrow(scan(held), "row string, items array<string>, hit_words array<struct<start:int,end:int>>").distinct(), "hits")
         held.destroy()
         found = own if found is None else found.union(own)
     hits = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("hit_words")).alias("at"))  # a row for each part at most
@@ -241,17 +332,12 @@ def clean(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col
         own = docs.select(F.lit(None).cast("long").alias("id"), text.alias("text"), F.sha2(text, 256).alias("row")).where("row is not null").distinct()
         dirty = _in_blocks(own, parts).where(contaminated()).select(F.col("row").alias("_dirty")).distinct()
         return docs.join(dirty, F.sha2(text, 256) == F.col("_dirty"), "left_anti")
-    held, token = parts.held(0), uuid.uuid4().hex
+    held = parts.held(0)
 
     @F.arrow_udf("boolean")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = _automaton(token, held, window)
         for own in texts:
-            out = []
-            for text in as_bytes(own):
-                of = words(text)
-                hit = sum(b - a for a, b in automaton.hits(of)[0])
-                out.append(hit == 0 or 20 * hit < len(of))
-            yield pa.array(out, pa.bool_())
+            hit = ((n, sum(b - a for a, b in ranges)) for n, ranges, _ in held.value.scan(as_bytes(own)))
+            yield pa.array([h == 0 or 20 * h < n for n, h in hit], pa.bool_())
 
     return docs.where(judge(F.col(f"`{text_col}`")))

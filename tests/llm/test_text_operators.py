@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import pickle
 import random
 import time
 import re
@@ -74,12 +75,34 @@ def test_parts_hold_every_window_and_stay_below_their_bound(spark):
     own = random.Random(1)
     items = [(str(k), " ".join(f"w{own.randrange(900)}" for _ in range(own.choice([3, 13, 40, 300])))) for k in range(30)]
     parts = decontaminate.Parts(spark.createDataFrame([*items, *items], "item_id string, text string"), "item_id", "text", 13, 200)
-    held = [parts.held(i).value for i in range(parts.n)]
+    held = [parts.rows(i) for i in range(parts.n)]
     assert parts.n > 9 and all(sum(len(w) for _, w in own) <= 200 for own in held)
     windows = lambda rows: {(k, tuple(w[i : i + 13])) for k, w in rows for i in range(max(1, len(w) - 12))}
     assert windows([(k, t.encode().split()) for k, t in items]) == windows([x for own in held for x in own])
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_automaton_in_lanes_agrees_with_plain_search(seed):
+    own = random.Random(seed)
+    vocab = [f"w{i}" for i in range(own.choice([1, 2, 3, 8]))]
+    line = lambda n, words=vocab: " ".join(own.choice(words) for _ in range(n))
+    items = [(k, line(own.choice([1, 2, 5, 12, 13, 14, 30]))) for k in range(own.choice([0, 1, 5, 12]))]
+    texts = [" ".join([line(own.choice([0, 1, 20, 200]), [*vocab, "zz"]), own.choice(items)[1] if items else "", line(3)]) for _ in range(20)] + ["", None]
+    automaton = pickle.loads(pickle.dumps(decontaminate.Automaton([(str(k), decontaminate.words(t.encode())) for k, t in items])))
+    for text, (n, ranges, found) in zip(texts, automaton.scan([None if t is None else t.encode() for t in texts]), strict=True):
+        assert (n, sum(b - a for a, b in ranges), automaton.named(found)) == plain_contamination(text, items)
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_texts_longer_than_a_scan(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SCAN_WORDS", 50)
+    item = [b"i%d" % i for i in range(40)]
+    automaton = decontaminate.Automaton([("a", item), ("b", item[3:5])])
+    texts = [b" ".join([b"x"] * n + item + [b"y"] * n + item[1:20]) for n in range(0, 300, 7)]
+    for i, (n, ranges, found) in enumerate(automaton.scan(texts)):
+        assert (n, ranges, found) == (14 * i + 59, [(7 * i, 7 * i + 40), (14 * i + 40, 14 * i + 59)] if i else [(0, 59)], {0, 1})
+
+
 def test_more_distinct_words_than_characters(spark):
     many = spark.range(24).selectExpr("id as item_id", "array_join(transform(sequence(id * 50000, id * 50000 + 49999), x -> concat('w', x)), ' ') as text")
     line = lambda a, n=13: " ".join(f"w{i}" for i in range(a, a + n))

@@ -1,10 +1,12 @@
 """WARC: a deterministic sharded writer and a reader.
 
 Ids are cut into shards by an exact histogram, refined where ids lie close together, so equal inputs give equal files
-whatever the partitioning; each shard is one task's. A shard's records are sorted, each is a gzip member of its own, and
-a file is closed when its compressed size reaches the limit. Files are written under a name of the task attempt and
-renamed when complete, over what an earlier attempt may have left; the manifest, written last, lists what counts, so
-that files of lost attempts are never read.
+whatever the partitioning; each shard is one task's, and there are as many as keep them within SHARD_BYTES. A shard's
+records are sorted, each is a gzip member of its own, and a file is closed when its compressed size reaches the limit.
+Files are written under a name of the task attempt and, when complete, renamed to one that names shard, part and
+digest. So attempts at one task, also at the same time, can only bring the same bytes under the same name, and nothing
+that is complete is ever deleted or written over. The manifest, put last in place of an earlier one, says what counts:
+files of lost attempts are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, fragments, spread
 
-CELLS, SPLIT, ROLL_BYTES, REVISIT_FROM = 65_536, 64, 8_000_000, 100
+CELLS, SPLIT, ROLL_BYTES, SHARD_BYTES, REVISIT_FROM = 65_536, 64, 8_000_000, 256_000_000, 100
 CHUNK = 1 << 16
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no time of capture
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -79,8 +81,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raw = rest[n + 4 :]
 
 
-def _shards(pages: DataFrame, n: int, cells: int = CELLS) -> list[tuple[int, int]]:
-    """First id and shard: id ranges of about equal bytes, from counts of all rows in a bounded number of cells.
+def _shards(pages: DataFrame, n: int, cells: int = CELLS, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int]]:
+    """First id and shard: id ranges of about equal bytes, n of them or as many as the bytes need, from counts of all rows in bounded cells.
 
     Cells of more than a quarter of a shard are cut again and again until they are light enough or hold one id, so that
     a few far-off ids don't put all others into one cell.
@@ -96,7 +98,9 @@ def _shards(pages: DataFrame, n: int, cells: int = CELLS) -> list[tuple[int, int
     while True:
         inside = inside.withColumn("cell", F.expr(f"cast(cell + cast((id - cell) div {width} as decimal(20,0)) * cast('{width}' as decimal(20,0)) as decimal(38,0))"))
         todo = {int(r.cell): r.bytes for r in inside.groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()}
-        most = most or max(1, sum(todo.values()) // (4 * n))
+        if most is None:
+            n = max(n, -(-sum(todo.values()) // shard_bytes))
+            most = max(1, sum(todo.values()) // (4 * n))
         heavy = {k for k, x in todo.items() if x > most and width > 1}  # 4n at most
         done |= {k: x for k, x in todo.items() if k not in heavy}
         if not heavy:
@@ -122,12 +126,17 @@ def _store(uri: str):
 
 
 def _settle(store, temp: str, final: str) -> None:
-    """Renames a whole file. One of an earlier attempt, which has the same bytes, gives way, as not every store overwrites."""
+    """Renames a whole file to a name that holds its digest, unless another attempt has brought it: then that one stays."""
     from pyarrow import fs
 
-    if store.get_file_info(final).type != fs.FileType.NotFound:
-        store.delete_file(final)
-    store.move(temp, final)
+    there = lambda: store.get_file_info(final).type != fs.FileType.NotFound
+    if not there():
+        try:
+            return store.move(temp, final)
+        except OSError:
+            if not there():  # the store refuses to rename onto a file that came just now
+                raise
+    store.delete_file(temp)
 
 
 def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, date: str = DATE) -> list[dict]:
@@ -140,6 +149,7 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     n = fragments(spark)
     bounds = _shards(rows, n)
+    n = max([n, *(shard + 1 for _, shard in bounds)])
     long = F.octet_length("html") >= REVISIT_FROM
     digest = F.when(long, F.sha2(F.col("html").cast("binary"), 256))
     repeated = rows.where(long).groupBy(digest.alias("digest")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -163,8 +173,8 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
             nonlocal out
             if out:
                 out["to"].close()
-                name = f"shard-{out['shard']:06d}-{out['part']:05d}.warc.gz"
-                _settle(store, f"{root}/_temporary/{attempt}-{name}", f"{root}/{name}")
+                name = f"shard-{out['shard']:06d}-{out['part']:05d}-{out['sha'].hexdigest()[:16]}.warc.gz"
+                _settle(store, out["temp"], f"{root}/{name}")
                 files.append((name, out["records"], out["bytes"], out["sha"].hexdigest()))
                 out = None
 
@@ -185,9 +195,9 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
                 elif not out:
                     part = 0
                 if not out:
-                    name = f"shard-{shard:06d}-{part:05d}.warc.gz"
+                    temp = f"{root}/_temporary/{attempt}-{shard:06d}-{part:05d}.warc.gz"
                     store.create_dir(f"{root}/_temporary", recursive=True)
-                    out = {"shard": shard, "part": part, "records": 0, "bytes": 0, "sha": hashlib.sha256(), "to": store.open_output_stream(f"{root}/_temporary/{attempt}-{name}", compression=None)}
+                    out = {"shard": shard, "part": part, "records": 0, "bytes": 0, "sha": hashlib.sha256(), "temp": temp, "to": store.open_output_stream(temp, compression=None)}
                 press = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = press.compress(record(k, url, payload, refers, date)) + press.flush()
                 out["to"].write(data)
@@ -216,16 +226,18 @@ def _bucket(firsts: list[int], shards: list[int]):
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a whole file in the place of an earlier one, in one step where the file system has it (HDFS does)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    temp, final = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = jvm.org.apache.hadoop.fs
+    temp, final = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp"), hadoop.Path(path)
     fs = final.getFileSystem(conf)
     stream = fs.create(temp, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(final, False)
-    if not fs.rename(temp, final):
-        raise OSError(f"can't commit {path}")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0] + "/_temporary"), True)
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(final.toUri(), conf).rename(temp, final, how)
+    fs.delete(hadoop.Path(path.rsplit("/", 1)[0] + "/_temporary"), True)
 
 
 def read_warc(spark: SparkSession, at: str) -> DataFrame:

@@ -236,6 +236,23 @@ def test_archives_round_trip(spark, tmp_path, roll):
     assert first.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
 
 
+def test_archives_are_written_again_without_a_loss(spark, tmp_path):
+    """A second run into the same folder, and one of other pages, leave every file of the first as it was."""
+    to, pages = f"file://{tmp_path}/w", spark.createDataFrame([(k, "u", f"{k} " * 90) for k in range(50)], "page_id long, url string, html string")
+    first = warc.write_warc(pages, to, roll_bytes=500)
+    before = {f["file"]: (tmp_path / "w" / f["file"]).stat().st_mtime_ns for f in first}
+    assert warc.write_warc(pages, to, roll_bytes=500) == first and len(first) > 8
+    other = warc.write_warc(pages.where("page_id > 20"), to, roll_bytes=500)
+    assert {k: (tmp_path / "w" / k).stat().st_mtime_ns for k in before} == before
+    assert all(hashlib.sha256((tmp_path / "w" / f["file"]).read_bytes()).hexdigest() == f["sha256"] for f in first + other)
+    assert warc.read_warc(spark, to).count() == 29 and not [p for p in (tmp_path / "w").iterdir() if p.name.endswith((".tmp", "_temporary"))]
+
+
+def test_shards_are_as_many_as_the_bytes_need(spark):
+    rows = spark.createDataFrame([(k, "x" * 500) for k in range(100)], "id long, html string")
+    assert len(warc._shards(rows, 2, shard_bytes=10_000)) == 10 and len(warc._shards(rows, 2)) == 2
+
+
 def test_repeated_rows_have_one_response(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "y" * 100), (1, "u", "y" * 100)], "page_id long, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/w")
@@ -318,6 +335,17 @@ def test_a_later_attempt_settles_over_an_earlier_file():
     warc._settle(store, "b-temp", "final")
     assert store.files == {"final": b"x"}
 
+    class Late(Strict):
+        """Another attempt's file comes between the look and the rename."""
+
+        def move(self, old, new):
+            self.files[new] = b"x"
+            raise OSError("exists")
+
+    store = Late()
+    warc._settle(store, "a-temp", "final")
+    assert store.files == {"b-temp": b"x", "final": b"x"}
+
 
 def test_records_of_damaged_and_long_files():
     page = warc.record(1, "u", "é".encode() * 200_000, None)

@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -153,7 +154,7 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
     long = F.octet_length("html") >= REVISIT_FROM
     digest = F.when(long, F.sha2(F.col("html").cast("binary"), 256))
     repeated = rows.where(long).groupBy(digest.alias("digest")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shard = F.coalesce(_bucket([b[0] for b in bounds], [b[1] for b in bounds]), F.lit(0)) if bounds else F.lit(0)
+    shard = _shard(bounds)
     # ids alone meet the repeated payloads; what they refer to then travels beside the pages, which are moved once
     marks = rows.where(long).select("id", digest.alias("digest")).join(repeated, "digest")
     nothing = F.lit(None).cast("string")
@@ -213,16 +214,16 @@ def write_warc(pages: DataFrame, to: str, *, id_col: str = "page_id", url_col: s
     return files
 
 
-def _bucket(firsts: list[int], shards: list[int]):
-    """The shard of an id, by halving the bounds."""
+def _shard(bounds: list[tuple[int, int]]):
+    """The shard of an id, by search in the sorted bounds, however many these are; null ids are in the first."""
+    firsts, shards = (np.array([b[i] for b in bounds or [(0, 0)]], np.int64) for i in (0, 1))
 
-    def half(a: int, b: int):
-        if b - a == 1:
-            return F.lit(shards[a])
-        m = (a + b) // 2
-        return F.when(F.col("id") < F.lit(firsts[m]), half(a, m)).otherwise(half(m, b))
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(firsts, ids.fill_null(int(firsts[0])).to_numpy(zero_copy_only=False), "right") - 1
+        return pa.array(shards[np.maximum(at, 0)], pa.int32())
 
-    return F.when(F.col("id").isNotNull(), half(0, len(firsts)))
+    return shard(F.col("id"))
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:

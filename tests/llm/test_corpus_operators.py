@@ -250,7 +250,12 @@ def test_archives_are_written_again_without_a_loss(spark, tmp_path):
 
 def test_shards_are_as_many_as_the_bytes_need(spark):
     rows = spark.createDataFrame([(k, "x" * 500) for k in range(100)], "id long, html string")
-    assert len(warc._shards(rows, 2, shard_bytes=10_000)) == 10 and len(warc._shards(rows, 2)) == 2
+    bounds = warc._shards(rows, 2, shard_bytes=10_000)
+    assert len(bounds) == 10 and len(warc._shards(rows, 2)) == 2
+    many = [(k, k // 3) for k in range(-60_000, 60_000, 3)]  # more than an expression could hold
+    ids = spark.createDataFrame([(-60_000,), (-59_998,), (-1,), (0,), (59_999,), (1 << 60,), (None,)], "id long")
+    assert [r[0] for r in ids.select(warc._shard(many)).collect()] == [-20_000, -20_000, -1, 0, 19_999, 19_999, -20_000]
+    assert [r[0] for r in ids.select(warc._shard([])).collect()] == [0] * 7
 
 
 def test_repeated_rows_have_one_response(spark, tmp_path):

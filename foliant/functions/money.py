@@ -95,7 +95,8 @@ def cents_in_words(cents: Column | str) -> Column:
 
 
 def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
+    """f of a value that is worked out once, however often f uses it. Within another `_bound`, f uses its own value alone:
+    a function in Python can't be given an expression whose inner lambda reads an outer one's variable."""
     return F.get(F.transform(F.array(x), f), 0)
 
 
@@ -107,10 +108,11 @@ def _in_words(c: Column) -> Column:
     for found, put in (("零[^零|]?", "零"), ("零+", "零"), (r"零\|", "|"), (r"(^|\|)零", "$1")):
         text = F.regexp_replace(text, found, put)
 
-    def joined(sections: Column) -> Column:
-        zero = lambda i: (whole >= 10 ** (4 * i + 4)) & (whole % 10 ** (4 * i) > 0)
+    def joined(own: Column) -> Column:
+        sections, n = own["sections"], own["n"]
+        zero = lambda i: (n >= 10 ** (4 * i + 4)) & (n % 10 ** (4 * i) > 0)
         return F.concat(*[F.when(sections[3 - i] != "", F.concat(sections[3 - i], F.lit(GROUPS[i]))).when(zero(i), "零").otherwise("") for i in (3, 2, 1, 0)], F.lit("元"))
 
     said = lambda d, unit: F.when(d > 0, F.concat(F.substring(F.lit(NUMERALS), (d + 1).cast("int"), F.lit(1)), F.lit(unit))).otherwise("")
     tail = F.when((tenths == 0) & (rest == 0), "整").when(rest == 0, F.concat(said(tenths, "角"), F.lit("整"))).otherwise(F.concat(F.when((tenths == 0) & (whole > 0), "零").otherwise(said(tenths, "角")), said(rest, "分")))
-    return F.when(c == 0, "零元整").when(whole < 10**16, F.concat(F.when(whole > 0, _bound(F.split(text, r"\|"), joined)).otherwise(""), tail))
+    return F.when(c == 0, "零元整").when(whole < 10**16, F.concat(F.when(whole > 0, _bound(F.struct(F.split(text, r"\|").alias("sections"), whole.alias("n")), joined)).otherwise(""), tail))

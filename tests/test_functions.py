@@ -123,6 +123,12 @@ def test_amounts_in_words(spark):
 READ = {"1140000": 11400.0, "（人民币）叁佰元整": 300.0, "伍仟肆佰肆拾元正": 5440.0, "壹拾万元整": 100000.0, "拾伍元": 15.0, "伍角": 0.5, "三万二千元": 32000.0, "rubbish": None, "": None, None: None, "51184": 511.84, "玖元零伍分": 9.05}
 
 
+def test_amounts_go_to_words_and_back_in_one_expression(spark):
+    cents = [0, 5, 100, 1_005, 1_000_001, 10_000_000_500, 50_000_000_000_000]
+    rows = spark.createDataFrame([(c,) for c in cents], "c long")
+    assert [r.n for r in rows.select("c", money.words_to_amount(money.cents_in_words("c")).alias("n")).orderBy("c").collect()] == [c / 100 for c in cents]
+
+
 def test_amounts_read_from_words(spark):
     rows = spark.createDataFrame([(t,) for t in READ], "t string")
     got = {r.t: r.n for r in rows.select("t", money.words_to_amount("t").alias("n")).collect()}

@@ -1,13 +1,13 @@
 """Removal of repeated byte strings by column-wise construction of a collection's Burrows-Wheeler transform.
 
 Equal windows have equal anchors (the k-gram of the smallest hash), so only texts' stretches around anchors that occur
-twice can repeat; those stretches are cut out, dealt by anchor, and equal ones are merged. Of an anchor's different
-stretches the transform and common prefixes are built column by column (see bwt.py); suffixes between which no common
+twice can repeat. Anchors are dealt with the digests of their stretches: of equal stretches all but the earliest are
+marked there, and only where an anchor has different ones is the earliest of each cut out, dealt by anchor and compared.
+Of these the transform and common prefixes are built column by column (see bwt.py); suffixes between which no common
 prefix falls under the window's length begin with one window, of which all but the earliest occurrence are marked. The
 marks go back to the documents.
 
-A task keeps the earliest of equal stretches and marks the others itself, so that a passage that is everywhere reaches
-its anchor once from each task, not once from each document.
+So a copy costs a digest and a mark, not its bytes, however many there are.
 """
 
 from __future__ import annotations
@@ -24,12 +24,20 @@ from pyspark.sql import functions as F
 from . import bwt
 from .anchors import GRAM, anchors
 from .common import as_bytes, batch, fragments, spread
-from .jaccard import _LOW, _PACKED, _U, _pack, _unpack
+
+_U = np.uint64
 
 WINDOW = 100
-FLUSH, HELD, SYMBOLS = 1 << 19, 1 << 15, 1 << 18  # anchors held, stretches held, symbols of a transform (but for one anchor)
+FLUSH, SYMBOLS = 1 << 19, 1 << 18  # anchors held, symbols of a transform (but for one anchor)
 BUCKETS, AT_ONCE = 8, 500  # buckets of anchors for each fragment, texts taken at once
 _NONE = -(1 << 63)  # stands for a null id: before all others
+#: Of anchors: low bytes of the hash, the stretch's digest, its start, its windows less one, the anchor's place in it.
+_ANCHOR = (("token", 6), ("digest", 8), ("start", 4), ("more", 1), ("at", 1))
+_WIDTH = sum(n for _, n in _ANCHOR)
+_SENT = pa.schema([("fragment", pa.int32()), ("rows", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("anchors", pa.binary())])
+_SENT_SQL = "fragment int, rows binary, ids binary, counts binary, anchors binary"
+_COPY = np.dtype([("start", "<u4"), ("more", "u1")])
+_WANTED = np.dtype([("token", "<u8"), ("start", "<u4"), ("more", "u1"), ("at", "u1")])
 _STRETCH = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("seg", pa.binary()), ("at", pa.int32()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("marks", pa.binary())])
 _STRETCH_SQL = "bucket int, key long, seg binary, at int, id long, row long, start long, marks binary"
 _MARKS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("marks", pa.binary())])
@@ -43,49 +51,108 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(n: int, window: int):
-    """Anchors of all texts, to their fragments, with the row and the place."""
+    """Anchors of all texts, to their fragments, with the row, its id and the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in _slices(batches):
-            for row, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                place, own, _, _ = anchors(text, window)
+            for k, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
+                place, own, first, last = anchors(text, window)
                 if len(place):
-                    held.append((row, place, own))
+                    digests = [xxhash.xxh3_64_intdigest(text[a:e]) for a, e in zip(first.tolist(), (last + window).tolist(), strict=True)]
+                    held.append((row, _NONE if k is None else k, own, np.array(digests, _U), first.astype(np.uint32), (last - first).astype(np.uint8), (place - first).astype(np.uint8)))
                     size += len(place)
                 if size >= FLUSH:
-                    yield from send(held)
+                    yield send(held)
                     held, size = [], 0
         if held:
-            yield from send(held)
-
-    def send(held: list[tuple]) -> list[pa.RecordBatch]:
-        tokens = np.concatenate([x[2] for x in held])
-        owner = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
-        at = ((tokens >> _U(32)) * _U(n) >> _U(32)).astype(np.uint16)
-        rows = np.array([x[0] for x in held], np.int64)
-        return _pack("fragment", at, tokens & _LOW, owner, rows, np.zeros(len(rows)), np.concatenate([x[1] for x in held]).astype(np.int64)).to_batches()
+            yield send(held)
+
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        rows, ids = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+        tokens, digests, starts, more, places = (np.concatenate([x[i] for x in held]) for i in range(2, 7))
+        owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        # by low bits: an anchor is the smallest of many hashes, so most begin with zeros
+        fragment = ((tokens & _U(0xFFFFFFFF)) * _U(n) >> _U(32)).astype(np.int32)
+        order = np.argsort(fragment, kind="stable")
+        fragment, owner = fragment[order], owner[order]
+        fields = [x[order] for x in (tokens, digests, starts, more, places)]
+        cuts = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1]))).tolist()
+        out: list[list] = [[] for _ in _SENT]
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            new = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
+            who = owner[a:b][new]
+            own = [x[a:b] for x in fields]
+            steps = np.diff(own[2], prepend=np.uint32(0))  # small numbers, of which a byte each is set by side, compress well
+            steps[new] = own[2][new]
+            own[2] = steps
+            planes = [np.ascontiguousarray(x).view(np.uint8).reshape(b - a, -1)[:, :width].T.tobytes() for x, (_, width) in zip(own, _ANCHOR, strict=True)]
+            for to, x in zip(out, (int(fragment[a]), rows[who].tobytes(), ids[who].tobytes(), np.diff(new, append=b - a).astype(np.uint32).tobytes(), b"".join(planes)), strict=True):
+                to.append(x)
+        return batch(_SENT, out)
 
     return run
 
 
-def _repeated(blocks: int):
-    """Of a fragment: places whose anchor occurs elsewhere too, by row."""
-
-    def count(t: pa.Table) -> pa.Table:
-        tokens, rows, _ = _unpack(t)
-        places = np.frombuffer(b"".join(t.column("freqs").to_pylist()), np.int64)
-        order = np.argsort(tokens)
-        same = tokens[order][1:] == tokens[order][:-1]
-        kept = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
-        rows, places = rows[kept], places[kept]
-        order = np.lexsort((places, rows))
-        rows, places = rows[order], places[order]
-        cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))[: len(rows)])
-        ends = [*cuts[1:].tolist(), len(rows)]
-        return pa.table([pa.array(rows[cuts], pa.int64()), pa.array([places[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)] if len(cuts) else [], pa.binary())], names=["mark_row", "places"])
-
-    return count
+def _field(raw: bytes, name: str) -> np.ndarray:
+    """A field of packed anchors."""
+    m, names = len(raw) // _WIDTH, [x for x, _ in _ANCHOR]
+    width = dict(_ANCHOR)[name]
+    before = sum(w for _, w in _ANCHOR[: names.index(name)])
+    own = np.frombuffer(raw, np.uint8, m * width, m * before).reshape(width, m).T
+    if width == 1:
+        return own.ravel()
+    out = np.zeros((m, 8 if width > 4 else 4), np.uint8)
+    out[:, :width] = own
+    return out.view(_U if width > 4 else np.uint32).ravel()
+
+
+def _strings(x: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values of so many items each."""
+    ends = np.concatenate(([0], np.cumsum(counts) * x.dtype.itemsize))
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def _repeated(t: pa.Table) -> pa.Table:
+    """Of a fragment: by row, stretches of which an equal one comes earlier, and the earliest ones of anchors with different ones."""
+    raws = t.column("anchors").to_pylist()
+    tokens = np.concatenate([_field(raw, "token") for raw in raws])
+    order = np.argsort(tokens)
+    same = tokens[order][1:] == tokens[order][:-1]
+    again = np.zeros(len(tokens), bool)
+    again[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    tokens, parts, at = tokens[again], [], 0
+    del order, same
+    for raw, rows, ids, counts in zip(raws, *(t.column(c).to_pylist() for c in ("rows", "ids", "counts")), strict=True):
+        m = len(raw) // _WIDTH
+        kept, counts = again[at : at + m], np.frombuffer(counts, np.uint32)
+        at += m
+        start = np.cumsum(_field(raw, "start"), dtype=np.int64)
+        start -= np.repeat(np.concatenate(([0], start[np.cumsum(counts)[:-1] - 1])), counts)
+        parts.append([np.repeat(np.frombuffer(x, np.int64), counts)[kept] for x in (rows, ids)] + [start[kept]] + [_field(raw, c)[kept] for c in ("digest", "more", "at")])
+    rows, ids, start, digest, more, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, ids, digest, tokens))
+    tokens, rows, ids, start, digest, more, place = (x[order] for x in (tokens, rows, ids, start, digest, more, place))
+    anchor = np.concatenate(([True], tokens[1:] != tokens[:-1]))[: len(tokens)]
+    head = anchor | np.concatenate(([True], digest[1:] != digest[:-1]))[: len(tokens)]
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    late = ~head & ((ids != ids[lead]) | (start != start[lead]))
+    which = np.cumsum(anchor) - 1
+    want = head & (np.bincount(which[head], minlength=1)[which] > 1)
+    order = np.lexsort((start, ids, rows))
+    order = order[(late | want)[order]]
+    tokens, rows, ids, start, more, place, late, want = (x[order] for x in (tokens, rows, ids, start, more, place, late, want))
+    new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])))[: len(rows)]
+    group, n = np.cumsum(new) - 1, int(new.sum())
+
+    def packed(kind: np.dtype, own: np.ndarray) -> pa.Array:
+        out = np.zeros(int(own.sum()), kind)
+        for name, x in (("token", tokens), ("start", start), ("more", more), ("at", place)):
+            if name in kind.names:
+                out[name] = x[own]
+        return _strings(out, np.bincount(group[own], minlength=n))
+
+    return pa.table([pa.array(rows[new], pa.int64()), pa.array(ids[new], pa.int64()), packed(_COPY, late), packed(_WANTED, want)], names=["mark_row", "mark_id", "copies", "wanted"])
 
 
 class _Marks:
@@ -106,48 +173,30 @@ class _Marks:
 
 
 def _stretches(buckets: int, window: int):
-    """Texts with their repeated places to stretches; of equal ones the earliest, marks for the others."""
+    """Texts with what was found of them to the stretches wanted, and marks for copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple] = {}
-        marks = _Marks()
-        size = 0
         for b in _slices(batches):
-            for k, row, text, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-                if not lists:
-                    continue
+            cut, done = [], []
+            for k, row, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 k = _NONE if k is None else k
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in lists]))
-                place, own, first, last = anchors(text, window)
-                for i in np.flatnonzero(np.isin(place, wanted)).tolist():
-                    a, e = int(first[i]), int(last[i]) + window
-                    seg = text[a:e]
-                    key = xxhash.xxh3_128_digest(seg)
-                    had = best.get(key)
-                    if had is None:
-                        best[key] = (int(own[i]), seg, int(place[i]) - a, k, row, a)
-                        size += 1
-                    elif (k, a) < had[3:6:2]:
-                        marks.add(had[4], had[3], had[5], had[5] + len(seg))
-                        best[key] = (*had[:3], k, row, a)
-                    elif (k, a) > had[3:6:2]:
-                        marks.add(row, k, a, e)
-            if size >= HELD:
-                yield from send(best, marks)
-                best, marks, size = {}, _Marks(), 0
-        yield from send(best, marks)
-
-    def send(best: dict, marks: _Marks) -> Iterator[pa.RecordBatch]:
-        rows = list(best.values())
-        for at in range(0, len(rows), 5_000):
-            part = rows[at : at + 5_000]
-            keys = np.array([x[0] for x in part], _U)
-            bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
-            yield batch(_STRETCH, [bucket.tolist(), keys.view(np.int64).tolist(), *([x[i] for x in part] for i in range(1, 6)), [None] * len(part)])
-        done = marks.table()
-        if done:
-            none = [None] * len(done)
-            yield batch(_STRETCH, [[x[0] % buckets for x in done], none, none, none, [x[1] for x in done], [x[0] for x in done], none, [x[2] for x in done]])
+                found = [x for x in found or () if x["mark_id"] == k]
+                wanted = np.frombuffer(b"".join(x["wanted"] for x in found), _WANTED)
+                for token, a, more, at in wanted.tolist():
+                    cut.append((token, text[a : a + more + window], at, k, row, a))
+                copies = np.frombuffer(b"".join(x["copies"] for x in found), _COPY)
+                if len(copies):
+                    a = copies["start"].astype(np.int64)
+                    runs = removed_runs([np.stack((a, a + copies["more"] + window), axis=1).tobytes()])
+                    done.append((row, k, np.array(runs, np.int64).tobytes()))
+            for at in range(0, len(cut), 5_000):
+                part = cut[at : at + 5_000]
+                keys = np.array([x[0] for x in part], _U)
+                bucket = ((keys >> _U(16)) * _U(buckets) >> _U(32)).astype(np.int32)
+                yield batch(_STRETCH, [bucket.tolist(), keys.view(np.int64).tolist(), *([x[i] for x in part] for i in range(1, 6)), [None] * len(part)])
+            if done:
+                none = [None] * len(done)
+                yield batch(_STRETCH, [[x[0] % buckets for x in done], none, none, none, [x[1] for x in done], [x[0] for x in done], none, [x[2] for x in done]])
 
     return run
 
@@ -250,18 +299,18 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null counts as empty; texts shorter than the window lose nothing across rows. A null id comes before all others.
     Of rows with equal ids the start alone decides; rows equal in id and text are one, and both keep what it keeps.
-    The window is longer than an anchor's k-gram and at most 127 bytes (a stretch then has at most 254).
+    The window is longer than an anchor's k-gram and at most 127 bytes (a stretch then has at most 254). Stretches are told
+    apart by their anchor's 48 bits and 64 bits of their own.
     """
     if not GRAM < window <= 127:
         raise ValueError(f"a window of {window} bytes")
     n = min(65_535, fragments(docs.sparkSession))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))).select("id", F.xxhash64("id", "text").alias("row"), "text")
-    cut = rows.select("row", "text").mapInArrow(_found(n, window), _PACKED.format("fragment") + ", freqs binary")
-    places = cut.groupBy("fragment").applyInArrow(_repeated(n), "mark_row long, places binary")
-    places = places.groupBy("mark_row").agg(F.collect_list("places").alias("places"))  # of one row: no more than it has anchors
+    found = rows.mapInArrow(_found(n, window), _SENT_SQL).groupBy("fragment").applyInArrow(_repeated, "mark_row long, mark_id long, copies binary, wanted binary")
+    found = found.groupBy("mark_row").agg(F.collect_list(F.struct("mark_id", "copies", "wanted")).alias("found"))  # of one row: no more than it has anchors
     # the texts are dealt by row once; both joins use that exchange
-    held = rows.join(places, rows.row == places.mark_row, "left").select("id", "row", "text", "places")
+    held = rows.join(found, rows.row == found.mark_row, "left").select("id", "row", "text", "found")
     stretches = held.mapInArrow(_stretches(BUCKETS * n, window), _STRETCH_SQL)
     marks = stretches.groupBy("bucket").applyInArrow(_marked(window, symbols), "row long, id long, marks binary")
     marks = marks.groupBy(F.col("row").alias("mark_row")).agg(F.collect_list(F.struct("id", "marks")).alias("found"))

@@ -133,6 +133,37 @@ def test_repeated_bytes(spark, symbols):
     assert got == brute_removed(rows)
 
 
+def test_copies_cost_marks_and_no_bytes():
+    """Of texts that are all copies no stretch is cut out; where two differ around an anchor, one of each is."""
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    whole = "".join(rnd.choices("abcdefgh ", k=3000))
+    other = whole[:1500] + "#" + whole[1501:]
+
+    def sent(texts):
+        rows = pa.record_batch({"id": list(range(len(texts))), "row": list(range(len(texts))), "text": texts})
+        fragments = pa.Table.from_batches(list(suffix_dedup._found(1, 100)(iter([rows]))))
+        found = suffix_dedup._repeated(fragments).to_pylist()
+        held = pa.record_batch({"id": rows.column(0), "row": rows.column(1), "text": rows.column(2), "found": [[x for x in found if x["mark_row"] == i] for i in range(len(texts))]})
+        cut = pa.Table.from_batches(list(suffix_dedup._stretches(4, 100)(iter([held])))).to_pylist()
+        return [x["seg"] for x in cut if x["seg"]], {x["id"]: suffix_dedup.removed_runs([x["marks"]]) for x in cut if x["marks"]}
+
+    assert sent([whole] * 50) == ([], {i: [(0, 3000)] for i in range(1, 50)})
+    segments, _ = sent([whole, other] * 25)
+    assert 0 < len(segments) == len(set(segments)) < 20
+    assert all(x in f"{whole} {other}".encode() for x in segments)
+
+
+def test_anchors_are_dealt_evenly():
+    import pyarrow as pa
+
+    text = "".join(random.Random(12).choices("abcdefgh ", k=100_000))
+    rows = pa.record_batch({"id": [1], "row": [1], "text": [text]})
+    sizes = [len(x) for b in suffix_dedup._found(8, 100)(iter([rows])) for x in b.column(4).to_pylist()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * min(sizes)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "".join(random.Random(2).choices("abcdefgh ", k=300))
     got = suffix_dedup.repeated_bytes(docs(spark, [(1, text), (1, text), (2, text), (None, text)]), with_kept=True).collect()

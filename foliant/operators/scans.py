@@ -87,3 +87,10 @@ def stretch(rows: DataFrame, scans: Mapping[str, Scan], order: Sequence[Column |
     upto, ahead = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
     made = {"count": lambda s: F.row_number().over(w).cast("long"), "sum": lambda s: F.sum(s.column).over(upto), "last": lambda s: F.last(s.column, ignorenulls=True).over(upto), "before": lambda s: F.last(s.column, ignorenulls=True).over(ahead), "previous": lambda s: F.lag(s.column).over(w)}
     return rows.withColumns({name: made[s.kind](s) for name, s in scans.items()})
+
+
+def dealt(rows: DataFrame, *by: str, most: int = 2_000_000) -> DataFrame:
+    """Rows dealt by columns to as many tasks as give each some `most` rows, where the session's number of partitions would give
+    them more: what a task holds to sort doesn't grow with the table then. Counts the rows (of Parquet, by its footers)."""
+    n = -(-rows.count() // most)
+    return rows.repartition(n, *by) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

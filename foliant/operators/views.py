@@ -236,14 +236,33 @@ def compile_view(rows: DataFrame, view: View, *, keys: Sequence[str] = (), page:
         rows = rows.where(passes(t))
     if view.mode == "record" or view.split:
         return _records(rows, view, keys, page, order)
-    pages = _grouped(_slots(rows, view, keys, page, order), view, keys)
+    slots = _slots(rows, view, keys, page, order)
+    if view._folds() and view.mode == "value":
+        return _made(_folded(slots, view, keys), view, keys, {})
+    pages = _grouped(slots, view, keys)
     fields = view._lists()
     gathered = [F.array_sort(F.collect_list(F.struct(F.col("_page").alias("page"), F.col(f"_{f}").alias("v")))).alias(f"_{f}") for f in fields]
     tests = view._tests()
     gathered = [F.bool_or(f"_t{i}").alias(f"_t{i}") for i in range(len(tests))] if view._folds() else gathered
     groups = pages.groupBy(*keys, "_key", "_group").agg(F.min("_page").alias("_low"), F.max("_page").alias("_high"), F.count("*").alias("_n"), *gathered)
-    own = {f: F.col(f"_{f}") for f in fields}
-    flags = {t: F.col(f"_t{i}") for i, t in enumerate(tests)} if view._folds() else None
+    return _made(groups, view, keys, {f: F.col(f"_{f}") for f in fields})
+
+
+def _folded(slots: DataFrame, view: View, keys: Sequence[str]) -> DataFrame:
+    """Groups by value of pages with flags: pages of a value are one row before any are set in order, where blank ones look
+    for the value made last, which was made on its first page."""
+    flags = [F.bool_or(f"_t{i}").alias(f"_t{i}") for i in range(len(view._tests()))]
+    blank = F.when(F.col("_own").isNull(), F.col("_page")).alias("_blank")
+    few = slots.groupBy(*keys, "_own", blank).agg(F.min("_page").alias("_low"), F.max("_page").alias("_high"), F.count("*").alias("_n"), *flags)
+    key = [F.col("_own")]
+    if view.blank_joins_previous:
+        few, key = stretch(few, {"_latest": Scan("last", "_own")}, ["_low"], keys), [F.col("_own"), F.col("_latest")]
+    few = few.withColumn("_key", F.coalesce(*key, F.lit(view.untitled)))
+    return few.groupBy(*keys, "_key").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_n").alias("_n"), *flags)
+
+
+def _made(groups: DataFrame, view: View, keys: Sequence[str], own: dict[str, Column]) -> DataFrame:
+    flags = {t: F.col(f"_t{i}") for i, t in enumerate(view._tests())} if view._folds() else None
     out = [_aggregate(a, view, own).alias(a.column) for a in view.aggregates]
     if view.verdict:
         lists = {} if flags else {f: F.flatten(F.transform(c, lambda p: p["v"])) for f, c in own.items()}

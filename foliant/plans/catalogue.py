@@ -133,7 +133,9 @@ def view_evidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def view_verdict_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_orderpriority"), "l_orderkey").withColumn("page", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    # numbered before the join, which needs no order of its own then
+    lines = scans.dealt(lines, "l_orderkey").withColumn("page", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_orderpriority"), "l_orderkey")
     rules = (Rule("returned", all=(Test("l_returnflag", "eq", "R"), Test("o_orderstatus", "eq", "F"))), Rule("watch", any=(Test("l_linestatus", "eq", "O"), Test("o_orderpriority", "eq", "1-URGENT"))))
     view = View(mode="value", field="o_orderstatus", aggregates=(Aggregate("lines", "page_count"),), verdict="verdict", rules=rules, default="fine")
     return compile_view(rows, view, keys=["l_orderkey"], order=["page"]).withColumnRenamed("l_orderkey", "o_orderkey")

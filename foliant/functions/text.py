@@ -131,15 +131,24 @@ def year_month(path: Column | str) -> tuple[Column, Column, Column]:
 
     The sign of the year is required, and that of the (last) month.
     """
+    return months_of(months_named(path))
+
+
+def months_named(path: Column | str) -> Column:
+    """A file name's `year/month/last month` as they stand there, blank where there is none: what months_of reads."""
     name = basename(path)
+    found = [F.regexp_replace(name, f"(?s)^.*?{pattern}.*$", to) for pattern, to in ((MONTHS, "$1/$2/$3"), (MONTH, "$1/$2/"))]  # a name has no stroke
+    return F.when(F.contains(found[0], F.lit("/")), found[0]).when(F.contains(found[1], F.lit("/")), found[1]).when(name.isNotNull(), "//")
+
+
+def months_of(named: Column | str) -> tuple[Column, Column, Column]:
     pad = lambda m: F.when(m == "", "").otherwise(F.lpad(m, 2, "0"))
-    ranged = name.rlike(MONTHS)
-    pick = lambda i: F.when(ranged, F.regexp_extract(name, MONTHS, i)).otherwise(F.regexp_extract(name, MONTH, i))
-    return pick(1), pad(pick(2)), F.when(ranged, pad(F.regexp_extract(name, MONTHS, 3))).otherwise("")
+    year, month, last = (F.split_part(col(named), F.lit("/"), F.lit(i)) for i in (1, 2, 3))
+    return year, pad(month), F.coalesce(pad(last), F.lit(""))
 
 
 def basename(path: Column | str) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column | str) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ABSENT, basename, is_absent, value, year_month
+from ..functions.text import ABSENT, basename, is_absent, months_named, months_of, value
 from .scans import Scan, stretch
 
 KEY = ("file_hash", "source_path")
@@ -80,10 +80,11 @@ def union_stores(stores: Sequence[DataFrame], path: str = "source_path") -> Data
     for i, s in enumerate(stores):
         own = s.withColumn("store", F.lit(i))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    year, month, last = year_month(path)
-    out = out.withColumn("source_file", basename(path)).withColumn("year", year)
-    out = out.withColumn("month", F.when(last == "", month).otherwise(F.concat(month, F.lit("-"), last)))
-    return out.orderBy(F.coalesce(year.try_cast("int"), F.lit(9999)), F.coalesce(month.try_cast("int"), F.lit(99)), "store", path)
+    # names are read once, not for each column and each part of the order
+    out = out.withColumn("_named", months_named(path)).withColumn("source_file", basename(path))
+    year, month, last = months_of("_named")
+    out = out.withColumn("year", year).withColumn("month", F.when(last == "", month).otherwise(F.concat(month, F.lit("-"), last)))
+    return out.orderBy(F.coalesce(year.try_cast("int"), F.lit(9999)), F.coalesce(month.try_cast("int"), F.lit(99)), "store", path).drop("_named")
 
 
 def fill_key(rows: DataFrame, key: str, keys: Sequence[str], order: Sequence[str], marks: tuple[str, ...] = ABSENT) -> DataFrame:

@@ -39,3 +39,22 @@ def test_inventories_and_old_manifests(spark):
     assert {r.path: r.records for r in files.inventory(own, spark.createDataFrame([("/a",), ("/a",)], "path string")).collect()} == {"/a": 2, "/b": 0}
     made = spark.sql("select * from values ('new', timestamp '2024-02-20 00:00:00'), ('old', timestamp '2024-01-01 00:00:00'), ('none', null) t(k, created_at)")
     assert {r.k for r in files.unpruned(made, F.lit("2024-03-01 00:00:00").cast("timestamp")).collect()} == {"new", "none"}
+
+
+def test_dealt_holds_so_many_rows_a_task(spark):
+    from foliant.operators import scans
+
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    assert scans.dealt(rows, "k", most=100).rdd.getNumPartitions() == 10
+    assert scans.dealt(rows, "k").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_stores_order_without_reading_names_again(spark):
+    from foliant.operators import records
+
+    names = ["/a/2023年4月.csv", "/a/x2023年11月-2024年1月.xlsx", "/a/2023-4.csv", None, "/a/", "/a/b\n2023年 3 月 - 5 月"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "n int, source_path string")
+    df = records.union_stores([rows])
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp") < 9
+    got = {r.n: (r.year, r.month) for r in df.collect()}
+    assert got == {0: ("2023", "04"), 1: ("2023", "11-01"), 2: ("", ""), 3: (None, None), 4: ("", ""), 5: ("2023", "03-05")}

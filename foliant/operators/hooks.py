@@ -45,7 +45,7 @@ def page_sums(records: DataFrame, page: Sequence[str], debit: str, credit: str,
     cells that hold no amount count as nothing."""
     rows = records if is_total is None else records.where(~is_total)
     # a page's different texts are read, not those of all its lines
-    own = rows.groupBy(*page, F.nullif(value(words), F.lit("")).alias("_words")).agg(F.coalesce(F.sum(money.to_cents(debit)), F.lit(0)).alias("_d"), F.coalesce(F.sum(money.to_cents(credit)), F.lit(0)).alias("_c"))
+    own = rows.groupBy(*page, F.when(F.col(words) != "", F.nullif(value(words), F.lit(""))).alias("_words")).agg(F.coalesce(F.sum(money.to_cents(debit)), F.lit(0)).alias("_d"), F.coalesce(F.sum(money.to_cents(credit)), F.lit(0)).alias("_c"))
     own = own.withColumn("_said", F.round(money.words_to_amount("_words") * 100, 0).cast("long"))
     found = own.groupBy(*page).agg(F.sum("_d").alias("debit"), F.sum("_c").alias("credit"), F.min("_said").alias("_low"), F.max("_said").alias("_high"))
     conflict = F.coalesce(F.col("_low") != F.col("_high"), F.lit(False))

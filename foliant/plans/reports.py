@@ -178,16 +178,17 @@ def amount_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as debit with the sum in words (open lines name another), as credit but for returns, and a total row."""
     c = F.round(F.col("l_extendedprice") * 100, 0).cast("long")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", c.alias("c"), (F.col("l_linestatus") == "O").alias("open"), (F.col("l_returnflag") == "R").alias("back"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", c.alias("c"), F.coalesce(F.col("l_linestatus") == "O", F.lit(False)).alias("open"), (F.col("l_returnflag") == "R").alias("back"))
     # words are worked out for each order, not for each of its lines
     sums = lines.groupBy("l_orderkey").agg(F.sum("c").alias("s"), F.bool_or("open").alias("_o"), F.bool_or(~F.col("open")).alias("_c"))
     sums = sums.select("l_orderkey", "s", F.when(F.col("_c"), money.cents_in_words("s")).alias("right"), F.when(F.col("_o"), money.cents_in_words(F.col("s") + 1)).alias("off"))
-    amount = money.normalize_amount(F.col("c").cast("string"))
     row = lambda debit, credit, words, account: F.struct(debit.alias("debit"), credit.alias("credit"), words.alias("words"), F.lit(account).alias("account"))
-    blank, said = F.lit(""), F.when(F.col("open"), F.col("off")).otherwise(F.col("right"))
-    rows = F.array_compact(F.array(row(amount, blank, said, "x"), F.when(~F.col("back"), row(blank, amount, blank, "y"))))
-    own = lines.join(sums.drop("s"), "l_orderkey").select("l_orderkey", F.inline(rows))
-    total = sums.select("l_orderkey", F.inline(F.array(row(money.normalize_amount(F.col("s").cast("string")), blank, blank, "合计"))))
+    amount, blank, said = F.col("amount"), F.lit(""), F.when(F.col("open"), F.col("off")).otherwise(F.col("right"))
+    debit, credit = row(amount, blank, said, "x"), row(blank, amount, blank, "y")
+    # an amount is written once for both of its rows
+    own = lines.join(sums.drop("s"), "l_orderkey").withColumn("amount", money.normalize_amount(F.col("c").cast("string")))
+    own = own.select("l_orderkey", F.inline(F.when(~F.col("back"), F.array(debit, credit)).otherwise(F.array(debit))))
+    total = sums.select("l_orderkey", money.normalize_amount(F.col("s").cast("string")).alias("debit"), blank.alias("credit"), blank.alias("words"), F.lit("合计").alias("account"))
     return hooks.page_sums(own.union(total), ["l_orderkey"], "debit", "credit", "words", F.col("account") == "合计")
 
 

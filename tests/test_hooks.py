@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import browse, hooks, runs
+from foliant.plans import catalogue, reports
 
 FIELDS = ("总账科目", "借方金额", "贷方金额", "合计大写", "备注")
 
@@ -98,3 +100,21 @@ def test_states_move_and_trees_go(spark):
     assert {r.pipeline_id: (r.runs, r.active) for r in runs.reference_counts(spark.createDataFrame([("p", "running"), ("p", "failed")], "pipeline_id string, status string")).collect()} == {"p": (2, 1)}
     assert runs.newest(spark.createDataFrame([("f", 1), ("f", 2)], "k string, t int"), ["k"], ["t"]).first().t == 2
     assert [r.message for r in runs.latest_progress(spark.createDataFrame([("r", "x", 1), ("r", None, 2)], "run_id string, message string, event_id int")).collect()] == ["x"]
+
+
+def test_sums_of_pages(spark):
+    rows = [("a", "1,234.50", "", "壹仟贰佰叁拾肆元伍角整", "x"), ("a", "", " 1234.5　", " ", "y"), ("a", "9.99", "9.99", "玖元整", "合计"), ("b", "0.10", None, "壹角整", "x"), ("b", "x", "0.10", "壹分", "y"), ("c", "12.345", "1e3", None, "x"), ("d", "1.00", "1.00", "壹元贰角整", "x")]
+    got = hooks.page_sums(spark.createDataFrame(rows, "page string, d string, c string, w string, account string"), ["page"], "d", "c", "w", F.col("account") == "合计")
+    assert sorted(map(tuple, got.collect())) == [("a", 123450, 123450, 123450, False, True), ("b", 10, 10, None, True, False), ("c", 1234, 100000, None, False, False), ("d", 100, 100, 120, False, False)]
+
+
+def test_balance_of_orders_reads_lines_twice_and_equals_its_sql(spark, tmp_path):
+    rows = [(1, 1, 100.25, "R", "O"), (1, 2, 7.0, "N", "F"), (2, 1, 0.0, "A", "F"), (3, 1, 12345.67, None, "F"), (3, 2, 1.0, "N", "F"), (4, 1, 20.0, "N", None), (5, 1, 99999999.99, "N", "F"), (6, 1, 0.01, "N", "O"), (6, 2, 0.99, "R", "O")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = reports.page_balance(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.ORACLE_SQL["page_balance"]).fetchall())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # once for the sums and once for the lines; words are put together from tables
+    assert plan.count("Relation [") == 2 and "translate(" not in plan
